@@ -68,16 +68,17 @@ def word_hashes(words: list[bytes], seed: int = 0) -> np.ndarray:
     return np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
 
 
-def gram_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k consecutive entries of h, from differences of prefix sums."""
-    n = len(h)
-    if n < k:
-        return np.empty(0, np.uint64)
-    power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _ODD, np.uint64)]), dtype=np.uint64)
-    back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - k, _INVERSE, np.uint64)]), dtype=np.uint64)
-    total = np.cumsum(h * power, dtype=np.uint64)
-    total = np.concatenate([[np.uint64(0)], total])
-    return mix64((total[k:] - total[:-k]) * back)
+class Segments:
+    """Hashes of runs of consecutive entries of h, from differences of prefix sums."""
+
+    def __init__(self, h: np.ndarray):
+        n = len(h)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _ODD, np.uint64)]), dtype=np.uint64)[:n]
+        self._back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n - 1, 0), _INVERSE, np.uint64)]), dtype=np.uint64)[:n]
+        self._total = np.concatenate([[np.uint64(0)], np.cumsum(h * power, dtype=np.uint64)])
+
+    def at(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return mix64((self._total[stop] - self._total[start]) * self._back[start] + (stop - start).astype(np.uint64))
 
 
 def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
