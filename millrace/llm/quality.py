@@ -10,11 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import sample_labelled
+
 #: Characters of a piece.
 PIECE = 2048
 
@@ -59,36 +60,26 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
     return w
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-        dict_pieces: int = 2500, dict_bytes: int = 112_640, fit_docs: int = 1500, fit_chars: int = 60_000) -> QualityModel:
-    """Learn from ``labelled`` rows (label 1 good, 0 bad).  Rows with a null text, null label or empty text are left out.
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
+        per_class: int = 2500, max_chars: int = 60_000, dict_bytes: int = 112_640) -> QualityModel:
+    """Learn from ``docs`` whose key is in ``labels`` (label 1 good, 0 bad); rows with nulls or empty texts are left out.
 
-    Bounds of the sample, per class: ``dict_pieces`` pieces train a dictionary and ``fit_docs`` whole texts of at most
-    ``fit_chars`` characters fit the curve; the two are drawn from different rows by a hash of the key.
+    Bounds of the sample: ``per_class`` labelled texts of each class, none over ``max_chars`` characters.  Half of them
+    train the dictionaries and the other half fit the curve, which is then shifted to the classes' own frequencies.
     """
-    rows = labelled.where(F.col(text).isNotNull() & (F.col(text) != "") & F.col(label).isin(0, 1))
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
-    half = F.pmod(F.xxhash64("k"), F.lit(2))
-    cut = F.transform(
-        F.sequence(F.lit(0), ((F.length("t") - 1) / PIECE).cast("int")),
-        lambda i: F.struct(i.alias("i"), F.substring(F.col("t"), i * PIECE + 1, F.lit(PIECE)).alias("p")),
-    )
-    dicts, sample = [], []
+    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars)
+    dicts = []
     for y in (1, 0):
-        pieces = rows.where((half == 0) & (F.col("y") == y)).select("k", F.explode(cut).alias("c"))
-        got = pieces.orderBy(F.xxhash64("k", "c.i"), "k").limit(dict_pieces).select("c.p").collect()
-        parts = [r.p.encode("utf-8", "replace") for r in got] or [b" "]
+        parts = [p for r in got[::2] if r.y == y for p in _pieces(r.t)[:8]] or [b" "]
         dicts.append(_dictionary(parts, dict_bytes))
-        whole = rows.where((half == 1) & (F.col("y") == y) & (F.length("t") <= fit_chars))
-        sample += whole.orderBy(F.xxhash64("k", F.lit(1)), "k").limit(fit_docs).collect()
     model = QualityModel(dicts[0], dicts[1], np.array([0.0, 1.0, 0.0, 0.0]))
     coders = model.coders()
-    y = np.array([r.y for r in sample], float)
+    y = np.array([r.y for r in got[1::2]], float)
     if len(set(y)) == 2:
-        model.weights = _logistic(np.array([_features(r.t, coders) for r in sample]) * 10, y)
-        share = {r.y: r["count"] for r in rows.groupBy("y").count().collect()}
+        model.weights = _logistic(np.array([_features(r.t, coders) for r in got[1::2]]) * 10, y)
+        share = {r[label]: r["count"] for r in labels.where(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
         drawn = y.sum() / (len(y) - y.sum())
-        model.weights[0] += np.log(share[1] / share[0] / drawn)  # back to the classes' own frequencies
+        model.weights[0] += np.log(share[1] / share[0] / drawn)
     return model
 
 
@@ -99,9 +90,13 @@ def _dictionary(parts: list[bytes], size: int) -> bytes:
         return b"".join(parts)[-size:]
 
 
-def score(docs: DataFrame, model: QualityModel, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, score): a double between 0 and 1 per row.  A null text counts as an empty one."""
-    schema = docs.select(key).withColumn("score", F.lit(0.0)).schema
+def score(docs: DataFrame, model: QualityModel, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """(key, score), or with ``carry`` (key, text, carried columns, score): a double between 0 and 1 per row.
+
+    A null text counts as an empty one.  Carried columns named ``score`` are replaced.
+    """
+    rows = docs.select(key, text, *[c for c in carry or [] if c != "score"])
+    schema = (rows if carry is not None else rows.select(key)).withColumn("score", F.lit(0.0)).schema
 
     def run(batches):
         coders = model.coders()
@@ -109,6 +104,6 @@ def score(docs: DataFrame, model: QualityModel, *, key: str = "doc_id", text: st
         for pdf in batches:
             x = np.array([_features(t, coders) for t in pdf[text]]).reshape(-1, 3) * 10
             z = np.clip(w[0] + x @ w[1:], -30, 30)
-            yield pd.DataFrame({key: pdf[key], "score": 1 / (1 + np.exp(-z))})
+            yield (pdf if carry is not None else pdf[[key]]).assign(score=1 / (1 + np.exp(-z)))
 
-    return docs.select(key, text).mapInPandas(run, schema)
+    return rows.mapInPandas(run, schema)

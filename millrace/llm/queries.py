@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import pii, quality, toxicity
+from millrace.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,16 +16,37 @@ def _fold(n: int):
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, with the windows of the best alignment."""
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents linked by 4-word shingles at a similarity of 0.85 or more."""
+    return ngram_join.similar_groups(_table(spark, sf_dir, "documents"), k=4, num=85, den=100)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of personal data in every document."""
     return pii.digest(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words left in every document once passages of earlier documents are removed."""
+    cut = substring_dedup.dedup(_table(spark, sf_dir, "documents"), window=50)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines dropped from every document as boilerplate of its source."""
+    cut = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.QualityModel:
     """Learnt from the labelled rows outside the held-out fold."""
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    train = docs.where(_fold(4) != 2).select("doc_id", "text").join(labels, "doc_id")
-    return quality.fit(train)
+    labels = _table(spark, sf_dir, "labels").where(_fold(4) != 2)
+    return quality.fit(docs, labels, label="quality")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,18 +56,35 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (_fold(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A training schedule of all documents whose blocks hold the target weights."""
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with the sentences that carry it."""
     docs = _table(spark, sf_dir, "documents")
-    labels = _table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    model = toxicity.fit(docs.where(_fold(5) != 0).select("doc_id", "text").join(labels, "doc_id"))
-    scored = toxicity.score(docs, model)
+    labels = _table(spark, sf_dir, "labels").where(_fold(5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels, label="toxic"))
     return scored.select(
         "doc_id", (_fold(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         "n_sentences", "worst_start", "worst_end", "offending",
     )
 
 
-QUERIES = {"op3_pii": op3_pii, "op8_quality": op8_quality, "op10_toxicity": op10_toxicity}
-
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_decontaminate": op1_decontaminate,
+    "op2_ngram_join": op2_ngram_join,
+    "op3_pii": op3_pii,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
+    "op10_toxicity": op10_toxicity,
+}
+
+SQL: dict[str, str] = {
+    "op1_decontaminate": decontaminate.sql(),
+    "op7_line_dedup": line_dedup.SQL,
+    "op9_mixing": mixing.sql(),
+}

@@ -47,6 +47,22 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int):
+    """At most ``per_class`` texts of each label 0 and 1, as rows (k, t, y), collected for training.
+
+    The keys are chosen from the label table by their hash; that list is bounded by ``2 * per_class`` rows, so it is
+    broadcast and one scan of the texts is enough.  Texts that are null, empty or over ``max_chars`` are left out.
+    """
+    marks = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(label).alias("y"))
+    chosen = None
+    for y in (0, 1):
+        part = marks.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
+        chosen = part if chosen is None else chosen.union(part)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(1, max_chars))
+    got = rows.join(F.broadcast(chosen), "k").select("k", "t", "y").collect()
+    return sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r.k)), r.y, r.t))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

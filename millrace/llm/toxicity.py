@@ -15,9 +15,10 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.shared import sample_labelled
+
 BITS = 18
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _WORD = re.compile(r"\w+")
@@ -59,26 +60,24 @@ def _bag(text: str | None, index: _Index) -> tuple[list[tuple[int, int]], np.nda
             owner += [len(spans)] * len(ids)
             words += ids
             spans.append(m.span())
-    return spans, np.array(owner, np.int64), np.array(words, np.int64)
+    return spans, np.array(owner, np.int32), np.array(words, np.int32)
 
 
 def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(labelled: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label", max_docs: int = 4000,
-        max_chars: int = 30_000, min_docs: int = 5, epochs: int = 80, rate: float = 0.1, ridge: float = 1e-5) -> ToxicityModel:
-    """Train on at most ``max_docs`` labelled texts of each class, none over ``max_chars`` characters (bounds of the
+def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
+        per_class: int = 2500, max_chars: int = 30_000, min_docs: int = 5, epochs: int = 80, rate: float = 0.1, ridge: float = 1e-5) -> ToxicityModel:
+    """Train on at most ``per_class`` labelled texts of each class, none over ``max_chars`` characters (bounds of the
     sample alone), chosen by a hash of the key.  Features of fewer than ``min_docs`` of them get no weight, as they would
-only learn single documents by heart.  Null labels and texts are left out."""
-    rows = labelled.where(F.col(text).isNotNull() & F.col(label).isin(0, 1) & (F.length(text) <= max_chars))
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("y"))
-    got = [r for y in (0, 1) for r in rows.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(max_docs).collect()]
-    index, bags = _Index(), []
+    only learn single documents by heart.  Null labels and texts are left out."""
+    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars)
+    index = _Index()
     sent_doc, sent_of, word_of, sents = [], [], [], 0
     for d, r in enumerate(got):
         spans, owner, words = _bag(r.t, index)
-        sent_doc.append(np.full(len(spans), d))
+        sent_doc.append(np.full(len(spans), d, np.int32))
         sent_of.append(owner + sents)
         word_of.append(words)
         sents += len(spans)
@@ -87,7 +86,7 @@ only learn single documents by heart.  Null labels and texts are left out."""
         return ToxicityModel(w, b)
     sent_doc, sent_of, word_of = map(np.concatenate, (sent_doc, sent_of, word_of))
     y = np.array([r.y for r in got], float)
-    pairs = np.unique(word_of * np.int64(len(y)) + sent_doc[sent_of]) // len(y)
+    pairs = np.unique(word_of.astype(np.int64) * len(y) + sent_doc[sent_of]) // len(y)
     known, in_docs = np.unique(pairs, return_counts=True)
     often = np.zeros(1 << BITS, bool)
     often[known[in_docs >= min_docs]] = True
