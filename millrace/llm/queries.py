@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from millrace.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,16 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked by a cosine of 0.95 or more."""
+    return embedding_dedup.link(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines dropped from every document as boilerplate of its source."""
     cut = line_dedup.dedup(_table(spark, sf_dir, "documents"))
@@ -77,6 +87,8 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op3_pii": op3_pii,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_html": op5_html,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
