@@ -1,0 +1,33 @@
+"""A Bloom filter as a table of 64-bit words: built with partial aggregation, merged by OR and probed by a join."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: Bits and hash functions for a million keys at one false positive in a hundred thousand.
+BITS, HASHES = 27_584_639, 10
+
+
+def _positions(key: Column, bits: int, hashes: int) -> Column:
+    a, b = (F.pmod(h, F.lit(1 << 40)) for h in (F.xxhash64(key), F.xxhash64(key, F.lit("second"))))
+    return F.transform(F.sequence(F.lit(0), F.lit(hashes - 1)), lambda i: F.pmod(a + i * b, F.lit(bits)))
+
+
+def build(keys: DataFrame, key: str = "key", bits: int = BITS, hashes: int = HASHES) -> DataFrame:
+    """(word, bits64) of all words that are not zero, at most ``bits / 64`` rows."""
+    at = keys.select(F.explode(_positions(F.col(key), bits, hashes)).alias("p"))
+    return at.groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 as int)))").alias("bits64"))
+
+
+def merge(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Sketch of the union of both key sets: how an incremental update is applied."""
+    return a.union(b).groupBy("word").agg(F.bit_or("bits64").alias("bits64"))
+
+
+def probe(keys: DataFrame, sketch: DataFrame, key: str = "key", bits: int = BITS, hashes: int = HASHES) -> DataFrame:
+    """Distinct keys that may be in the sketch; none that is in it is lost."""
+    at = keys.select(key).distinct().select(key, F.explode(F.array_distinct(_positions(F.col(key), bits, hashes))).alias("p"))
+    hit = at.withColumn("word", F.floor(F.col("p") / 64)).join(sketch, "word", "left")
+    on = F.expr("coalesce(bits64 & shiftleft(1L, cast(p % 64 as int)), 0) <> 0")
+    return hit.groupBy(key).agg(F.min(on).alias("all_set")).where("all_set").select(key)
