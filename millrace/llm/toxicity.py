@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence probabilities joined by noisy-or, learnt from document labels.
 
-A sentence's logit is a constant plus one learnt weight per distinct hashed feature: its words and the first four and
-five letters of longer words, so that inflected forms share what is learnt.  A document is toxic with
+A sentence's logit is a constant plus the learnt weights of its distinct words; a word's weight is the sum over its
+hashed features, itself and the first four to seven letters of a longer word, so that inflected forms share what is
+learnt.  A document is toxic with
 probability ``1 - prod(1 - p_sentence)``; the gradient of the document likelihood reaches the sentences through it, so
 only document labels are needed, and afterwards the sentences with the highest probability are the offending ones.
 """
@@ -30,37 +31,29 @@ class ToxicityModel:
     bias: float
 
 
-class _Index:
-    """Hashed feature numbers of words, with a bounded memo."""
+def _features(word: str) -> list[int]:
+    low = word.lower()
+    forms = [low] + [f"{low[:k]}~" for k in (4, 5, 6, 7) if len(low) > k]
+    return [xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in forms]
 
-    def __init__(self):
-        self.memo: dict[str, tuple[int, ...]] = {}
 
-    def __call__(self, words: set[str]) -> set[int]:
-        memo, out = self.memo, set()
-        if len(memo) > 300_000:
-            memo.clear()
-        for w in words:
-            ids = memo.get(w)
-            if ids is None:
-                low = w.lower()
-                forms = [low] + [f"{low[:k]}~" for k in (4, 5) if len(low) > k]
-                ids = memo[w] = tuple(xxhash.xxh32_intdigest(x.encode("utf-8", "replace")) & ((1 << BITS) - 1) for x in forms)
-            out.update(ids)
-        return out
+class _Memo(dict):
+    """What a function gives for each word, remembered up to a bound."""
 
+    def __init__(self, function):
+        super().__init__()
+        self.function = function
 
-def _bag(text: str | None, index: _Index) -> tuple[list[tuple[int, int]], np.ndarray, np.ndarray]:
-    """Sentence spans, and (sentence, word) pairs, distinct within a sentence."""
-    spans, owner, words = [], [], []
-    for m in _SENTENCE.finditer(text or ""):
-        found = _WORD.findall(m[0])
-        if found:
-            ids = index(set(found))
-            owner += [len(spans)] * len(ids)
-            words += ids
-            spans.append(m.span())
-    return spans, np.array(owner, np.int32), np.array(words, np.int32)
+    def __missing__(self, word: str):
+        if len(self) > 300_000:
+            self.clear()
+        value = self[word] = self.function(word)
+        return value
+
+
+def sentences(text: str | None) -> list[tuple[int, int, set[str]]]:
+    """(start, end, distinct words) of each sentence that has words."""
+    return [(*m.span(), found) for m in _SENTENCE.finditer(text or "") if (found := set(_WORD.findall(m[0])))]
 
 
 def _sigmoid(z):
@@ -68,24 +61,30 @@ def _sigmoid(z):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-        per_class: int = 2500, max_chars: int = 30_000, min_docs: int = 5, epochs: int = 80, rate: float = 0.1, ridge: float = 1e-5) -> ToxicityModel:
+        per_class: int = 2500, max_chars: int = 30_000, **options) -> ToxicityModel:
     """Train on at most ``per_class`` labelled texts of each class, none over ``max_chars`` characters (bounds of the
-    sample alone), chosen by a hash of the key.  Features of fewer than ``min_docs`` of them get no weight, as they would
-    only learn single documents by heart.  Null labels and texts are left out."""
+    sample alone), chosen by a hash of the key.  Null labels and texts are left out; ``options`` go to ``train``."""
     got = sample_labelled(docs, labels, key, text, label, per_class, max_chars)
-    index = _Index()
+    return train([r.t for r in got], [r.y for r in got], **options)
+
+
+def train(texts: list[str], labels: list[int], *, min_docs: int = 5, epochs: int = 80, rate: float = 0.1, ridge: float = 1e-4) -> ToxicityModel:
+    """Fit by gradient steps on all texts at once.  Features of fewer than ``min_docs`` texts get no weight, as they would
+    only learn single documents by heart."""
+    memo = _Memo(_features)
     sent_doc, sent_of, word_of, sents = [], [], [], 0
-    for d, r in enumerate(got):
-        spans, owner, words = _bag(r.t, index)
-        sent_doc.append(np.full(len(spans), d, np.int32))
-        sent_of.append(owner + sents)
-        word_of.append(words)
-        sents += len(spans)
+    for d, t in enumerate(texts):
+        for _, _, found in sentences(t):
+            ids = [i for w in found for i in memo[w]]
+            sent_doc.append(d)
+            sent_of.append(np.full(len(ids), sents, np.int32))
+            word_of.append(np.array(ids, np.int32))
+            sents += 1
     w, b = np.zeros(1 << BITS), -4.0
-    if not sents or len({r.y for r in got}) < 2:
+    if not sents or len(set(labels)) < 2:
         return ToxicityModel(w, b)
-    sent_doc, sent_of, word_of = map(np.concatenate, (sent_doc, sent_of, word_of))
-    y = np.array([r.y for r in got], float)
+    sent_doc, sent_of, word_of = np.array(sent_doc, np.int32), np.concatenate(sent_of), np.concatenate(word_of)
+    y = np.array(labels, float)
     pairs = np.unique(word_of.astype(np.int64) * len(y) + sent_doc[sent_of]) // len(y)
     known, in_docs = np.unique(pairs, return_counts=True)
     often = np.zeros(1 << BITS, bool)
@@ -119,18 +118,18 @@ def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: s
 
     def run(batches):
         w, b = shared.value
-        index = _Index()
+        memo = _Memo(lambda word: float(w[_features(word)].sum()))
         for pdf in batches:
             out = []
             for t in pdf[text]:
-                spans, owner, words = _bag(t, index)
-                if not spans:
+                parts = sentences(t)
+                if not parts:
                     out.append((0.0, 0, None, None, ""))
                     continue
-                p = _sigmoid(np.bincount(owner, w[words], len(spans)) + b)
+                p = _sigmoid(np.array([sum([memo[x] for x in found]) for _, _, found in parts]) + b)
                 k = int(p.argmax())
-                bad = ",".join(f"{spans[i][0]}:{spans[i][1]}" for i in np.flatnonzero(p >= at_least))
-                out.append((float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), len(spans), *spans[k], bad))
+                bad = ",".join(f"{parts[i][0]}:{parts[i][1]}" for i in np.flatnonzero(p >= at_least))
+                out.append((float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), len(parts), parts[k][0], parts[k][1], bad))
             got = pd.DataFrame(out, columns=["score", "n_sentences", "worst_start", "worst_end", "offending"])
             got.insert(0, key, pdf[key].to_numpy())
             yield got.astype({"worst_start": "Int64", "worst_end": "Int64"})
