@@ -149,7 +149,7 @@ def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "redacted") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, in ``out``; overlapping spans are merged."""
-    schema = docs.drop(out).withColumn(out, F.lit("")).schema
+    schema = docs.drop(out).withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches):
         auto = _automaton()
