@@ -231,3 +231,21 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: i
     """``docs`` without those near copies that have a smaller id in their group; repeated rows of a kept id all stay."""
     groups = similar_groups(docs, key=key, text=text, k=k, num=num, den=den).where(f"{key} != component_id").select(key).distinct()
     return docs.join(groups, key, "left_anti")
+
+
+def sql(k: int = 4, num: int = 85, den: int = 100) -> str:
+    """DuckDB SQL for ``similar_groups`` of the documents table: all pairs that share a shingle."""
+    return f"""
+with recursive w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) = 0 then [] when len(ws) < {k} then [array_to_string(ws, ' ')]
+    else list_transform(range(1, len(ws) - {k - 2}), lambda i: array_to_string(ws[i:i + {k - 1}], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (select p.a, p.b from p join n x on p.a = x.doc_id join n y on p.b = y.doc_id where {den} * p.c >= {num} * (x.n + y.n - p.c)),
+e as (select a, b from l union all select b, a from l),
+r as (select a as src, b as dst from e union select r.src, e.b from r join e on r.dst = e.a),
+m as (select src, min(dst) as low from r group by src)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) as component_id
+from documents d left join n using (doc_id) left join m on m.src = d.doc_id
+"""

@@ -97,6 +97,8 @@ QUERIES = {
 
 SQL: dict[str, str] = {
     "op1_decontaminate": decontaminate.sql(),
+    "op2_ngram_join": ngram_join.sql(),
+    "op4_substring_dedup": substring_dedup.sql(),
     "op7_line_dedup": line_dedup.SQL,
     "op9_mixing": mixing.sql(),
 }

@@ -14,8 +14,6 @@ result stays the same.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -169,6 +167,16 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
     return rows.mapInPandas(cut, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string")
 
 
-def kept_digest(kept: str) -> str:
-    """What the query's kept_sha256 holds for a text (for comparisons)."""
-    return hashlib.sha256(kept.encode()).hexdigest()
+def sql(window: int = 50) -> str:
+    """DuckDB SQL for ``dedup`` of the documents table, with the digest of the kept words."""
+    return f"""
+with w as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+v as (select doc_id, unnest(range(1, len(ws) - {window - 2})) as i, unnest(list_transform(range(1, len(ws) - {window - 2}),
+    lambda i: md5(array_to_string(ws[i:i + {window - 1}], ' ')))) as h from w where len(ws) >= {window}),
+f as (select h, min(doc_id) as first from v group by h),
+gone as (select distinct doc_id, unnest(range(i, i + {window})) as pos from v join f using (h) where first < doc_id),
+words as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) as pos from w),
+kept as (select doc_id, count(*) as n, string_agg(word, ' ' order by pos) as t from words anti join gone using (doc_id, pos) group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, (len(ws) - coalesce(k.n, 0))::bigint as n_removed, sha256(coalesce(k.t, '')) as kept_sha256
+from w left join kept k using (doc_id)
+"""
