@@ -11,9 +11,11 @@ Steps, all distributed:
 1. one pass over the texts sends each token, as 32 bits within its hash range, to the range's task;
 2. a range counts in how many different sets each token occurs, finds equal sets, and returns the repeated tokens;
 3. per set, the prefixes; equal sets are represented by their smallest id;
-4. each representative is verified against one centre, the pivot that most of its prefix tokens agree on;
-5. the pairs left between different components, in all orders, are verified; so a group of thousands of near copies
-   costs one comparison per member, yet no link between components is missed;
+4. in a few rounds, each representative is verified against one centre outside its component, the pivot that most of its
+   prefix tokens agree on;
+5. the pairs left between different components, where enough tokens follow the common one, are verified if they meet in
+   all orders; so a group of thousands of near copies costs a few comparisons per member, yet no link between
+   components is missed;
 6. connected components of the verified links.
 
 A token's identity is its range and 32 bits: 37 bits at half a GB and more as the ranges grow with the input.
@@ -21,6 +23,7 @@ A token's identity is its range and 32 bits: 37 bits at half a GB and more as th
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +37,13 @@ from millrace.llm.shared import Scratch, connected_components, mix64, word_hashe
 #: Number of global orders whose prefixes must all meet.
 ORDERS = 3
 #: Tokens that one range task holds, on average.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 2_000_000
+#: Rounds in which each set is compared with one other set only, before pairs are joined.
+STARS = 2
+#: Ids of copies up to which they are sent to all executors, instead of shuffling the texts.
+BROADCAST_IDS = 500_000
+#: Head of a range's tokens of a set: range and number.
+_PART = "<II"
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -121,13 +130,14 @@ def _in_range(pdf: pd.DataFrame) -> pd.DataFrame:
     mine, level = mine[often], np.minimum(255, 8 * np.log2(df[often])).astype(np.uint8)
     stop = np.cumsum(kept)
     at = np.flatnonzero(first)
-    part, rows = int(pdf["part"].iloc[0]), []
-    for j in np.flatnonzero((kept > 0) | (sizes[at] > 0)):
-        i, a, b = at[j], stop[j] - kept[j], stop[j]
-        rows.append((ids[i], rep[i], int(sizes[i]), part, mine[a:b].tobytes(), level[a:b].tobytes()))
-    for i in np.flatnonzero(~first & (sizes > 0)):
-        rows.append((ids[i], rep[i], int(sizes[i]), part, b"", b""))
-    return pd.DataFrame(rows, columns=["id", "rep", "n", "part", "tokens", "levels"])
+    part, blobs = int(pdf["part"].iloc[0]), np.full(len(ids), None, object)
+    for j in np.flatnonzero(kept):
+        a, b = stop[j] - kept[j], stop[j]
+        blobs[at[j]] = struct.pack(_PART, part, b - a) + mine[a:b].tobytes() + level[a:b].tobytes()
+    told = np.zeros(len(ids), bool)
+    told[at[kept > 0]] = True
+    told |= sizes > 0
+    return pd.DataFrame({"id": ids[told], "rep": rep[told], "n": sizes[told].astype(np.int64), "part": blobs[told]})
 
 
 def _prefixes(num: int, den: int):
@@ -135,25 +145,29 @@ def _prefixes(num: int, den: int):
 
     def one(n: int, parts) -> tuple[float | None, bytes | None, list | None]:
         n_prefix = n - (num * n + den - 1) // den + 1
-        have = sum(len(p["levels"]) for p in parts)
+        heads = [struct.unpack_from(_PART, p) for p in parts]
+        have = sum(k for _, k in heads)
         room = n_prefix - (n - have)
         if room <= 0:
             return None, None, None
-        tokens = np.concatenate([np.frombuffer(p["tokens"], np.uint32).astype(np.uint64) | np.uint64(int(p["part"]) << 32) for p in parts])
-        level = np.concatenate([np.frombuffer(p["levels"], np.uint8) for p in parts])
+        read = lambda p, k, kind, at: np.frombuffer(p, kind, k, at)
+        tokens = np.concatenate([read(p, k, np.uint32, 8).astype(np.uint64) | np.uint64(r << 32) for p, (r, k) in zip(parts, heads)])
+        level = np.concatenate([read(p, k, np.uint8, 8 + 4 * k) for p, (_, k) in zip(parts, heads)])
         pre = []
         for k in range(ORDERS):
             cls = level if k == 0 else level >> 3
-            pre.append(tokens[np.lexsort((mix64(tokens ^ _MIX[k]), cls))[:room]].astype(np.int64).tolist())
+            pre.append(tokens[np.lexsort((mix64(tokens ^ _MIX[k]), cls))[:room]].astype(np.int64))
         return (n - have) / n, np.sort(tokens).tobytes(), pre
 
     def run(batches):
-        for pdf in batches:
-            got = [one(n, parts) if i == r else (None, None, None) for i, r, n, parts in zip(pdf["id"], pdf["rep"], pdf["n"], pdf["parts"])]
-            yield pd.DataFrame({
-                "id": pdf["id"], "rep": pdf["rep"], "n": pdf["n"], "lone": pd.Series([g[0] for g in got], dtype=float),
-                "tokens": [g[1] for g in got], "prefixes": [g[2] for g in got],
-            })
+        for whole in batches:
+            for at in range(0, len(whole), 1000):
+                pdf = whole.iloc[at : at + 1000]
+                got = [one(n, parts) if i == r else (None, None, None) for i, r, n, parts in zip(pdf["id"], pdf["rep"], pdf["n"], pdf["parts"])]
+                yield pd.DataFrame({
+                    "id": pdf["id"].to_numpy(), "rep": pdf["rep"].to_numpy(), "n": pdf["n"].to_numpy(), "lone": pd.Series([g[0] for g in got], dtype=float),
+                    "tokens": [g[1] for g in got], "prefixes": [g[2] for g in got],
+                })
 
     return run
 
@@ -187,38 +201,44 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sent = rows.where("id is not null").mapInPandas(
         _send(ranges, k, "id", "text"), "part int, ids binary, same binary, counts binary, sizes binary, tokens binary"
     )
-    back = sent.groupBy("part").applyInPandas(_in_range, "id long, rep long, n long, part int, tokens binary, levels binary")
-    sets = back.groupBy("id").agg(F.max("rep").alias("rep"), F.max("n").alias("n"), F.collect_list(F.struct("part", "tokens", "levels")).alias("parts"))
+    back = sent.groupBy("part").applyInPandas(_in_range, "id long, rep long, n long, part binary")
+    sets = back.groupBy("id").agg(F.max("rep").alias("rep"), F.max("n").alias("n"), F.collect_list("part").alias("parts"))
     sets = scratch.save(sets.mapInPandas(_prefixes(num, den), "id long, rep long, n long, lone double, tokens binary, prefixes array<array<long>>"))
 
     nodes = sets.where("tokens is not null")
     fits = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    first = nodes.select("id", "n", "lone", F.explode(F.col("prefixes")[0]).alias("token"))
-    pivots = first.groupBy("token").agg(F.min(F.struct("lone", "id", "n")).alias("pivot"), F.count("*").alias("c")).where("c > 1")
-    votes = first.join(pivots.select("token", F.col("pivot.id").alias("a"), F.col("pivot.n").alias("na")), "token")
-    votes = votes.where("a != id").withColumnRenamed("n", "nb").where(fits).groupBy("id", "a").agg(F.count("*").alias("c"))
-    star = votes.groupBy("id").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
-    star = scratch.save(star.withColumnRenamed("id", "b"))
+    # what two sets can share from their first common token on, against what they must share
+    reach = F.expr(f"{num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        b = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
-        a = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-        return pairs.join(b, "b").join(a, "a").mapInPandas(_verify(num, den), "a long, b long")
-
-    links = scratch.save(verified(star))
-    groups = connected_components(scratch, links, "a", "b")
-    entries = nodes.select("id", "n", F.posexplode("prefixes").alias("k", "ts")).select("id", "n", "k", F.explode("ts").alias("token"))
-    placed = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("k", "token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("k", "token")
-    placed = scratch.save(placed.join(mixed, ["k", "token"], "left_semi"))
-    x = placed.select("k", "token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    y = placed.select("k", "token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    pairs = x.join(y, ["k", "token"]).where("a < b and ca != cb").where(fits)
-    pairs = pairs.groupBy("a", "b").agg(F.expr("bit_or(shiftleft(1, k))").alias("seen")).where(f"seen = {(1 << ORDERS) - 1}").select("a", "b")
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = scratch.save(verified(scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))))
-    whole = links.union(more)
-    groups = connected_components(scratch, whole, "a", "b")
+        side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("prefixes").alias(f"p{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
+        for k in range(1, ORDERS):
+            both = both.where(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
+        return both.select("a", "b", "na", "nb", "ta", "tb").mapInPandas(_verify(num, den), "a long, b long")
+
+    entries = nodes.select("id", "n", F.posexplode(F.col("prefixes")[0]).alias("at", "token"), "lone")
+    entries = entries.select("id", "n", "token", "lone", (F.round(F.col("lone") * F.col("n")).cast("long") + F.col("at")).alias("p"))
+    placed, links, tried = entries.withColumn("component", F.col("id")), None, None
+    for r in range(STARS):
+        central = F.col("lone") if r == 0 else F.xxhash64("id", F.lit(r))
+        pivot = F.min(F.struct(central.alias("rank"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca")))
+        mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("pivot")).where("lo < hi")
+        votes = placed.withColumnsRenamed({"n": "nb", "p": "pb"}).join(mixed.select("token", "pivot.a", "pivot.na", "pivot.pa", "pivot.ca"), "token")
+        votes = votes.where("component != ca").where(fits).where(reach).groupBy("id", "a").agg(F.count("*").alias("c"))
+        star = votes.groupBy("id").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
+        star = scratch.save(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
+        new = scratch.save(verified(star))
+        links, tried = (new, star) if tried is None else (links.union(new), tried.union(star))
+        groups = connected_components(scratch, links, "a", "b")
+        again = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        mixed = again.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+        placed = scratch.save(again.join(mixed, "token", "left_semi"))
+    x = placed.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca"))
+    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
+    pairs = x.join(y, "token").where("a < b and ca != cb").where(fits).where(reach).select("a", "b").distinct()
+    more = scratch.save(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+    groups = connected_components(scratch, links.union(more), "a", "b")
 
     found = sets.select("id", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     found = scratch.save(found.select("id", "n", F.coalesce("component", "rep").alias("component_id")))
@@ -229,8 +249,10 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``docs`` without those near copies that have a smaller id in their group; repeated rows of a kept id all stay."""
-    groups = similar_groups(docs, key=key, text=text, k=k, num=num, den=den).where(f"{key} != component_id").select(key).distinct()
-    return docs.join(groups, key, "left_anti")
+    scratch = Scratch(docs.sparkSession, "keep-first")
+    gone = similar_groups(docs, key=key, text=text, k=k, num=num, den=den, scratch=scratch).where(f"{key} != component_id").select(key).distinct()
+    gone = scratch.save(gone)
+    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
 
 
 def sql(k: int = 4, num: int = 85, den: int = 100) -> str:
