@@ -4,10 +4,10 @@ Pages are read into blocks of text.  The token streams of a host's pages (block
 sorted into a suffix array, by prefix doubling as far as ``run`` tokens, which is all that long repeats need; runs that
 occur on two distinct pages or more are covered.  What counts as main text:
 
-* a page with an article (or else a main) element: its blocks, except menus, headers, footers, sidebars, notices, adverts,
-  forms, comments, scripts and styles inside it.  Passages of articles may repeat on other pages, so these blocks are
+* menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles never do;
+* blocks of an article (or else a main) element: passages of articles may repeat on other pages, so these blocks are
   protected from the suffix array;
-* any other page: blocks outside such chrome, less the words that are covered by runs.
+* all other blocks, beside an article as on a page without one, less the words that are covered by runs.
 
 Hosts with many pages are divided into shards of ``SHARD`` pages by a hash, each with a suffix array of its own: menus and
 footers repeat within any shard, so no host is gathered in one task.
@@ -173,9 +173,8 @@ def main_texts(pages: list[str | None], run: int = 8) -> list[str]:
         region, _, bad, text = read[k][b]
         if bad:
             continue
-        if regions[k]:
-            if region == ("article" if "article" in regions[k] else "main"):
-                kept[k].append(text)
+        if regions[k] and region == ("article" if "article" in regions[k] else "main"):
+            kept[k].append(text)
         else:
             rest = [w for w, c in zip(words, covered[at : at + len(words)]) if not c]
             if rest:

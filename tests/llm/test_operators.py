@@ -161,6 +161,13 @@ def test_html(spark):
     assert got[5].text == "unclosed <"
 
 
+def test_html_text_beside_an_article(spark):
+    same = "<div>our shop sends all orders within two days of the payment to any town</div>"
+    rows = [(i, f"http://h.example/{i}", f"<body><h1>lead {i} alone</h1><article><p>story {i}</p></article><p>after {i}</p>{same}</body>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"lead {i} alone\nstory {i}\nafter {i}" for i in range(6)}
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 3, 300)
