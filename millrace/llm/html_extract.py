@@ -1,16 +1,16 @@
-"""Main text of web pages, with a suffix array over each host's pages to find its boilerplate.
+"""Main text of web pages, with suffix arrays over each host's pages to find its boilerplate.
 
 Pages are read into blocks of text.  The token streams of a host's pages (block tags and words) are concatenated and
-sorted into a suffix array, by prefix doubling as far as ``run`` tokens, which is all that long repeats need; runs that
-occur on two distinct pages or more are covered.  What counts as main text:
+sorted into suffix arrays, by prefix doubling as far as ``run`` tokens, one for each shard of ``SHARD`` pages.  A shard
+names the runs that may be boilerplate; they are then counted over all distinct pages of the host, so that the result does
+not depend on the shards and no host is gathered in one task.  What counts as main text:
 
 * menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles never do;
-* blocks of an article (or else a main) element: passages of articles may repeat on other pages, so these blocks are
-  protected from the suffix array;
-* all other blocks, beside an article as on a page without one, less the words that are covered by runs.
-
-Hosts with many pages are divided into shards of ``SHARD`` pages by a hash, each with a suffix array of its own: menus and
-footers repeat within any shard, so no host is gathered in one task.
+* blocks of an article (or else a main) element do, less runs on half of the host's pages; if less than half of the
+  article were left, it is kept whole;
+* all other blocks do, beside an article as on a page without one, less runs on a tenth of the host's pages, long runs on
+  three pages and runs that are chrome on another page.  A page without an article that would lose nine tenths of its text
+  is a near copy rather than boilerplate and kept whole.
 """
 
 from __future__ import annotations
@@ -24,12 +24,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Scratch
+from millrace.llm.shared import Scratch, Segments, mix64, word_hashes
 
 #: Pages of a host that share a suffix array.
 SHARD = 64
-#: Hosts with more than one shard up to which they are sent to all executors.
+#: Hosts, and pages with boilerplate, up to which they are sent to all executors; beyond it they are shuffled.
 BROADCAST_HOSTS = 100_000
+#: The same for runs and copied pages.
+BROADCAST_ROWS = 500_000
+
+# Kinds of tokens and levels of runs.
+TEXT, ARTICLE, CHROME = range(3)
+LONG, SHORT, STRONG = 1, 2, 3
+# Shares of the words that must be left of an article, and of a page without one; otherwise it is kept whole.
+LEFT_OF_ARTICLE, LEFT_OF_PAGE = 0.5, 0.1
 
 # Elements and class words.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -127,75 +135,192 @@ def blocks(source: str | None) -> list[tuple[str, str, bool, str]]:
     return out
 
 
-def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
-    """Which tokens lie in a run of ``run`` tokens that two distinct pages hold; pages are consecutive in ``tokens``."""
+def runs(tokens: np.ndarray, page: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix array as far as ``run`` tokens: starts of runs that lie in one page, in order of their tokens, and where in
+    it each distinct run begins; pages are consecutive in ``tokens``."""
     n = len(tokens)
-    covered = np.zeros(n, bool)
     if n < run:
-        return covered
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
     have = 1
     while have < run:
         step = min(have, run - have)
         rank = np.unique(rank[: len(rank) - step] * np.int64(n + 1) + rank[step:], return_inverse=True)[1].astype(np.int64)
         have += step
-    order = np.argsort(rank, kind="stable")  # the suffixes in order of their first ``run`` tokens
+    order = np.argsort(rank, kind="stable")
     order = order[page[order] == page[order + run - 1]]
     if not len(order):
-        return covered
-    first = np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
-    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
-    start = order[np.repeat(low < high, np.diff(np.append(first, len(order))))]
+        return order, order
+    return order, np.flatnonzero(np.concatenate([[True], rank[order][1:] != rank[order][:-1]]))
+
+
+def _cover(n: int, start: np.ndarray, run: int) -> np.ndarray:
     edge = np.zeros(n + 1, np.int64)
     np.add.at(edge, start, 1)
     np.add.at(edge, start + run, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def _number(word: str) -> int:
-    return xxhash.xxh64_intdigest(word.encode("utf-8", "replace")) >> 1
-
-
-def main_texts(pages: list[str | None], run: int = 8) -> list[str]:
-    """Main text of each of a host's pages."""
-    read = [blocks(p) for p in pages]
-    tokens, page, spans = [], [], []
-    for k, found in enumerate(read):
-        for b, (_, tag, _, text) in enumerate(found):
-            words = text.split(" ")
-            spans.append((k, b, len(tokens) + 1, words))
-            tokens += [_number(f"<{tag}>"), *map(_number, words)]
-            page += [k] * (len(words) + 1)
-    covered = repeated(np.array(tokens, np.int64), np.array(page, np.int64), run)
-    kept: list[list[str]] = [[] for _ in pages]
-    regions = [{r for r, _, bad, _ in found if r and not bad} for found in read]
-    for k, b, at, words in spans:
-        region, _, bad, text = read[k][b]
-        if bad:
-            continue
-        if regions[k] and region == ("article" if "article" in regions[k] else "main"):
-            kept[k].append(text)
-        else:
-            rest = [w for w, c in zip(words, covered[at : at + len(words)]) if not c]
-            if rest:
-                kept[k].append(" ".join(rest))
-    return ["\n".join(x) for x in kept]
+def repeated(tokens: np.ndarray, page: np.ndarray, run: int) -> np.ndarray:
+    """Which tokens lie in a run of ``run`` tokens that two distinct pages hold; pages are consecutive in ``tokens``."""
+    order, first = runs(tokens, page, run)
+    if not len(order):
+        return np.zeros(len(tokens), bool)
+    low, high = np.minimum.reduceat(page[order], first), np.maximum.reduceat(page[order], first)
+    return _cover(len(tokens), order[np.repeat(low < high, np.diff(np.append(first, len(order))))], run)
+
+
+class _Page:
+    """Blocks of a page, its token hashes, the kind of each token (text, article or chrome) and the hash of each run."""
+
+    def __init__(self, host: str, source: str | None, run: int):
+        self.blocks = blocks(source)
+        regions = {r for r, _, bad, _ in self.blocks if r and not bad}
+        main = "article" if "article" in regions else "main"
+        words, kinds, self.spans = [], [], []
+        for region, tag, bad, text in self.blocks:
+            kind = CHROME if bad else ARTICLE if region == main else TEXT
+            parts = text.split(" ")
+            self.spans.append((kind, len(words) + 1, parts))
+            words += [f"<{tag}>", *parts]
+            kinds += [kind] * (len(parts) + 1)
+        self.tokens = word_hashes([w.encode("utf-8", "replace") for w in words])
+        n, edge = max(0, len(words) - run + 1), np.zeros((3, len(words) + 1), np.int64)
+        at = np.arange(n)
+        self.hashes = np.empty(0, np.int64)
+        self.inside = np.zeros((3, n), np.int64)  # how many tokens of each kind a run has
+        if n:
+            self.hashes = mix64(Segments(self.tokens).at(at, at + run) ^ np.uint64(xxhash.xxh64_intdigest(host.encode("utf-8", "replace")))).astype(np.int64)
+            edge[:, 1:] = np.cumsum(np.array(kinds) == np.array([[TEXT], [ARTICLE], [CHROME]]), axis=1)
+            self.inside = edge[:, run:] - edge[:, :-run]
+
+    def text(self, level: dict[int, int] | None, run: int) -> str:
+        """What is left without the runs of ``level`` (see ``boilerplate``)."""
+        n = len(self.tokens)
+        gone = {TEXT: np.zeros(n, bool), ARTICLE: np.zeros(n, bool)}
+        if level:
+            of = np.array([level.get(h, 0) for h in self.hashes.tolist()])
+            lone = _cover(len(of), np.flatnonzero(of >= LONG), 1)
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], lone, [0]])))
+            starts = [np.arange(a, b) for a, b in zip(edge[::2], edge[1::2]) if b - a > run]  # 2 * run tokens and more
+            gone[TEXT] = _cover(n, np.concatenate([np.flatnonzero(of >= SHORT), *starts]).astype(np.int64), run)
+            gone[ARTICLE] = _cover(n, np.flatnonzero(of >= STRONG), run)
+            least = LEFT_OF_ARTICLE if any(k == ARTICLE for k, _, _ in self.spans) else LEFT_OF_PAGE
+            guarded = ARTICLE if least == LEFT_OF_ARTICLE else TEXT
+            left = np.concatenate([~gone[guarded][a : a + len(x)] for k, a, x in self.spans if k == guarded] or [[True]])
+            if left.mean() < least:
+                gone[guarded][:] = False
+        kept = []
+        for kind, at, parts in self.spans:
+            if kind != CHROME:
+                rest = [w for w, g in zip(parts, gone[kind][at : at + len(parts)]) if not g]
+                if rest:
+                    kept.append(" ".join(rest))
+        return "\n".join(kept)
+
+
+def candidates(host: str, pages: list[str | None], run: int, least_share: float, whole: bool) -> np.ndarray:
+    """Hashes of the runs of one shard that may be boilerplate of the host, from the shard's suffix array.
+
+    Runs with a token outside articles and chrome need the host's count, unless the shard is the ``whole`` host and no
+    other page holds them.  A run of an article is on ``least_share`` of the host's pages only if it is on that share of
+    the pages of some shard.
+    """
+    read = [_Page(host, p, run) for p in pages]
+    tokens = np.concatenate([p.tokens for p in read]) if read else np.empty(0, np.uint64)
+    page = np.repeat(np.arange(len(read)), [len(p.tokens) for p in read])
+    order, first = runs(tokens, page, run)
+    if not len(order):
+        return np.empty(0, np.int64)
+    pad = lambda x: np.concatenate([x, np.zeros(min(run - 1, len(p.tokens)), x.dtype)])
+    hashes, loose, fixed = [], [], []
+    for p in read:
+        hashes.append(pad(p.hashes))
+        loose.append(pad(p.inside[TEXT]))
+        fixed.append(pad(p.inside[ARTICLE]))
+    hashes, loose, fixed = np.concatenate(hashes), np.concatenate(loose)[order], np.concatenate(fixed)[order]
+    size = np.diff(np.append(first, len(order)))
+    group = np.repeat(np.arange(len(first)), size)
+    holders = np.bincount(np.unique(group * len(read) + page[order]) // len(read), minlength=len(first))
+    ok = (np.maximum.reduceat(loose, first) > 0) & (holders > (1 if whole else 0))
+    enough = holders >= least_share * len(read)
+    if whole:
+        enough &= holders > 3
+    ok |= (np.maximum.reduceat(fixed, first) > 0) & enough
+    return hashes[order[first[ok]]]
+
+
+def boilerplate(rows: DataFrame, scratch: Scratch, run: int, shard: int, share: float, protect: float) -> DataFrame | None:
+    """(p, runs) of pages that hold boilerplate, as hashes of runs and their levels; None if there is none.
+
+    ``rows`` has host, p (a hash of host and page, so copies of a page are one), k (of key and url) and html_.  STRONG runs
+    are on the share ``protect`` of a host's distinct pages and on 4 at least; SHORT ones on ``share`` and 3, or on 2 of
+    which one has them in its chrome; LONG ones on 3, and count only where they make up ``2 * run`` tokens or more.
+    """
+    rows = rows.where("html_ is not null")
+    same = scratch.save(rows.groupBy("host", "p").agg(F.min("k").alias("one"), F.count("*").alias("n")))
+    small = lambda df, most: F.broadcast(df) if df.count() <= most else df
+    hosts = small(scratch.save(same.groupBy("host").agg(F.count("*").alias("pages"))), BROADCAST_HOSTS)
+    copies = small(scratch.save(same.where("n > 1").select("p", "one")), BROADCAST_ROWS)
+    rows = rows.join(hosts, "host").join(copies, "p", "left").where("one is null or one = k")
+    rows = rows.select("host", "p", "html_", "pages", F.pmod("k", F.ceil(F.col("pages") / shard)).cast("int").alias("shard"))
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("p")
+        return pd.DataFrame({"h": candidates(pdf["host"].iloc[0], list(pdf["html_"]), run, protect, pdf["pages"].iloc[0] <= shard)})
+
+    found = scratch.save(rows.groupBy("host", "shard").applyInPandas(find, "h long").distinct())
+    count = found.count()
+    if not count:
+        return None
+    known = rows.sparkSession.sparkContext.broadcast(np.array(sorted(r.h for r in found.collect()), np.int64)) if count <= BROADCAST_ROWS else None
+
+    def look(batches):
+        for pdf in batches:
+            out = []
+            for host, p, source, n in zip(pdf["host"], pdf["p"], pdf["html_"], pdf["pages"]):
+                got = _Page(host, source, run)
+                ok = np.isin(got.hashes, known.value) if known else np.ones(len(got.hashes), bool)
+                if ok.any():
+                    chrome = set(got.hashes[ok & (got.inside[CHROME] == run)].tolist())
+                    out += [(h, p, h in chrome, n) for h in set(got.hashes[ok].tolist())]
+            yield pd.DataFrame(out, columns=["h", "p", "chrome", "pages"])
+
+    hits = rows.select("host", "p", "html_", "pages").mapInPandas(look, "h long, p long, chrome boolean, pages long")
+    hits = scratch.save(hits if known else hits.join(found, "h", "left_semi"))
+    n, pages = F.col("n"), F.col("pages")
+    level = (
+        F.when(n >= F.greatest(F.lit(4), pages * protect), STRONG)
+        .when((n >= F.greatest(F.lit(3), pages * share)) | F.col("chrome") & (n >= 2), SHORT).when(n >= 3, LONG)
+    )
+    levels = hits.groupBy("h").agg(F.count_distinct("p").alias("n"), F.max("chrome").alias("chrome"), F.max("pages").alias("pages"))
+    levels = small(scratch.save(levels.select("h", level.alias("level")).where("level is not null")), BROADCAST_ROWS)
+    marks = hits.select("h", "p").distinct().join(levels, "h")
+    return small(scratch.save(marks.groupBy("p").agg(F.collect_list(F.struct("h", "level")).alias("runs"))), BROADCAST_HOSTS)
+
 
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", run: int = 8, shard: int = SHARD,
+            share: float = 0.1, protect: float = 0.5) -> DataFrame:
+    """(key, url, text, n_chars) of every page.  A null page has an empty text; pages without a host form one group.
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", run: int = 8, shard: int = SHARD) -> DataFrame:
-    """(key, url, text, n_chars) of every page.  A null page has an empty text; pages without a host form one group."""
+    ``shard`` sets the work of a task, not the result; for ``share`` and ``protect`` see ``boilerplate``.
+    """
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     rows = pages.select(F.col(key), F.col(url).alias("url_"), F.col(html).alias("html_"), host.alias("host"))
-    large = pages.groupBy(host.alias("host")).agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")).where("shards > 1")
-    large = Scratch(pages.sparkSession, "html-extract").save(large)
-    if large.count() <= BROADCAST_HOSTS:
-        large = F.broadcast(large)
-    rows = rows.join(large, "host", "left")
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64(F.col(key), "url_"), F.coalesce("shards", F.lit(1))).cast("int")).drop("shards")
+    rows = rows.withColumn("p", F.xxhash64("host", "html_")).withColumn("k", F.xxhash64(F.col(key), "url_"))
+    marks = boilerplate(rows.select("host", "p", "k", "html_"), Scratch(pages.sparkSession, "html-extract"), run, shard, share, protect)
+    if marks is None:
+        rows = rows.withColumn("runs", F.lit(None).cast("array<struct<h:bigint,level:int>>"))
+    else:
+        rows = rows.join(marks, "p", "left")
     kind = pages.schema[key].dataType.simpleString()
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        texts = main_texts(list(pdf["html_"]), run)
-        return pd.DataFrame({key: pdf[key], "url": pdf["url_"], "text": texts, "n_chars": [len(t) for t in texts]})
+    def cut(batches):
+        for pdf in batches:
+            texts = []
+            for source, host, found in zip(pdf["html_"], pdf["host"], pdf["runs"]):
+                level = None if found is None else {r["h"]: r["level"] for r in found}
+                texts.append(_Page(host, source, run).text(level, run))
+            yield pd.DataFrame({key: pdf[key], "url": pdf["url_"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.groupBy("host", "shard").applyInPandas(group, f"{key} {kind}, url string, text string, n_chars long")
+    return rows.select(key, "url_", "html_", "host", "runs").mapInPandas(cut, f"{key} {kind}, url string, text string, n_chars long")

@@ -168,6 +168,26 @@ def test_html_text_beside_an_article(spark):
     assert got == {i: f"lead {i} alone\nstory {i}\nafter {i}" for i in range(6)}
 
 
+def test_html_repeats_of_a_host(spark):
+    rng = random.Random(3)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    menu, copied, near, phrase = say(20), say(40), say(60), say(8)
+    own = [say(30) for _ in range(300)]
+    rows = [(i, f"http://large.example/{i}", f"<p>{own[i]}</p>" + (f"<div>{menu}</div>" if i % 60 == 0 else "")) for i in range(300)]
+    rows[7] = (7, rows[7][1], f"<p>{own[7]} {phrase} {own[7][::-1]}</p>")
+    rows[8] = (8, rows[8][1], f"<p>{own[8]} {phrase} {own[8][::-1]}</p>")
+    rows += [(400 + i, f"http://small.example/{i}", f"<p>{copied}</p>") for i in range(4)]
+    rows += [(500 + i, f"http://near.example/{i}", f"<p>{near} {say(2)}</p>") for i in range(5)]
+    rows += [(600 + i, f"http://art.example/{i}", f"<article><p>{own[i]}</p><p>{menu}</p></article>") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_extract.extract(pages).collect()}
+    assert all(got[i] == own[i] for i in range(0, 300, 60))  # a menu of 5 pages among 300
+    assert all(phrase in got[i] for i in (7, 8))  # a phrase of two pages is no boilerplate
+    assert all(got[400 + i] == copied for i in range(4)) and all(near in got[500 + i] for i in range(5))
+    assert all(got[600 + i] == own[i] for i in range(6))  # repeated inside each article
+    assert got == {r.page_id: r.text for r in html_extract.extract(pages, shard=7).collect()}
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 3, 300)
