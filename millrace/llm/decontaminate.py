@@ -6,6 +6,10 @@ and joined with the benchmark's.  A match holds only if its slots agree: on one
 equal benchmark values must stand for equal document values.  So a question asked again with other numbers or names is
 found, while texts that share no more than a pattern with contradicting values are not.
 
+In text capitalised throughout every word looks like a name, so words without case and placeholders are compared next to
+the templates: a verbatim window counts for documents and items that no template joins.  A first pass over all documents
+looks up only each ``stride``-th block of ``window - stride + 1`` such words, of which every window holds one.
+
 Only built-in functions are used.
 """
 
@@ -46,19 +50,34 @@ def canonical(text: Column) -> Column:
     return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 2, F.size(parts) - 2))
 
 
+def literal(text: Column) -> Column:
+    """One lower-case word without outer punctuation for each of ``words``."""
+    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
+    s = F.concat(F.lit(" "), F.lower(flat), F.lit(" "))
+    parts = F.split(F.regexp_replace(s, rf"(?<= ){_PUNCT}++|{_PUNCT}++(?= )", ""), " ")
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.slice(parts, 2, F.size(parts) - 2))
+
+
 def _windows(tokens: Column, window: int) -> Column:
     """Hashes of all windows, in order."""
     at = F.sequence(F.lit(1), F.size(tokens) - window + 1)
     return F.when(F.size(tokens) >= window, F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, window))))
 
 
+def _blocks(tokens: Column, size: int, stride: int) -> Column:
+    """Hashes of each ``stride``-th window of ``size``."""
+    at = F.sequence(F.lit(1), F.size(tokens) - size + 1, F.lit(stride))
+    return F.when(F.size(tokens) >= size, F.transform(at, lambda i: F.xxhash64(F.slice(tokens, i, size))))
+
+
 def _core(word: Column) -> Column:
     return F.regexp_replace(word, rf"^{_PUNCT}+|{_PUNCT}+$", "")
 
 
 def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
             window: int = 8, literals: int = 5) -> DataFrame:
-    """(key, item, shift, n_windows, n_slots): consistent alignments of documents and benchmark items.
+    """(key, item, shift, n_windows, n_slots): consistent alignments of documents and benchmark items, by templates or else
+    by verbatim windows, which have no slots.
 
     ``n_windows`` counts the windows of the alignment, ``n_slots`` its distinct slot values.  Windows with fewer than
     ``literals`` ordinary words are no evidence and left out, as are items and texts shorter than a window and rows
@@ -94,9 +113,31 @@ def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
     values = values.groupBy("d", "i", "shift", "kind", "iv").agg(F.count("*").alias("n"))
     values = values.groupBy("d", "i", "shift").agg(F.max("n").alias("most"), F.count("*").alias("n_slots"))
     runs = runs.join(values, ["d", "i", "shift"], "left").where(F.coalesce("most", F.lit(1)) == 1)
+    runs = scratch.save(runs.select("d", "i", "shift", "n_windows", "n_slots"))
+    verbatim = _verbatim(rows, items, item, item_text, window, literals, scratch)
+    runs = runs.unionByName(verbatim.join(runs.select("d", "i").distinct(), ["d", "i"], "left_anti"), allowMissingColumns=True)
     return runs.select(F.col("d").alias(key), F.col("i").alias(item), "shift", "n_windows", F.coalesce("n_slots", F.lit(0)).cast("long").alias("n_slots"))
 
 
+def _verbatim(rows: DataFrame, items: DataFrame, item: str, item_text: str, window: int, literals: int, scratch: Scratch) -> DataFrame:
+    """(d, i, shift, n_windows) of alignments by windows of equal words, whatever their case, with ``literals`` words that
+    are no number."""
+    stride = max(1, window // 3 + 1)
+    size = window - stride + 1
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    bench = items.where(F.col(item).isNotNull()).select(F.col(item).alias("i"), literal(F.col(item_text)).alias("c")).where(F.size("c") >= window)
+    bench = bench.select("i", "c", F.posexplode(_windows(F.col("c"), window)).alias("ip", "h")).select("i", "ip", "h", F.slice("c", F.col("ip") + 1, window).alias("ic"))
+    bench = scratch.save(bench.where(F.size(F.filter("ic", lambda x: ~x.rlike(r"^[0-9.,:/]*$"))) >= literals))
+    parts = small(scratch.save(bench.select(F.explode(_blocks(F.col("ic"), size, 1)).alias("h")).distinct()))
+    hits = rows.select("d", literal(F.col("t")).alias("c")).select("d", F.explode(_blocks(F.col("c"), size, stride)).alias("h"))
+    hits = small(scratch.save(hits.join(parts, "h", "left_semi").select("d").distinct()))
+    again = rows.join(hits, "d", "left_semi").select("d", literal(F.col("t")).alias("c"))
+    again = again.select("d", "c", F.posexplode(_windows(F.col("c"), window)).alias("dp", "h"))
+    again = again.join(small(bench.select("h").distinct()), "h", "left_semi").select("d", "dp", "h", F.slice("c", F.col("dp") + 1, window).alias("dc"))
+    both = again.join(bench, "h").where("dc = ic").select("d", "i", (F.col("dp") - F.col("ip")).cast("long").alias("shift"), "ip")
+    return both.groupBy("d", "i", "shift").agg(F.countDistinct("ip").alias("n_windows"))
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", item: str = "item_id", **options) -> DataFrame:
     """(key, item, n_windows, n_slots) of the best alignment of each document and item."""
     found = matches(docs, items, key=key, item=item, **options)

@@ -264,6 +264,15 @@ def test_decontamination_slots(spark):
     assert decontaminate.leaks(docs, items.limit(0)).count() == 0
 
 
+def test_decontamination_of_capitalised_text(spark):
+    text = "the train from Rome leaves at 12 and needs 3 hours to reach the north of Rome again"
+    items = spark.createDataFrame([(1, text), (2, "Every Word Of This Title Has One Capital Letter At Least")], "item_id long, text string")
+    rows = [text.upper(), "so it said: " + text.title(), "every word of this title has one capital letter", text.replace("needs", "takes").upper(), "1 2 3 4 5 6 7 8 9"]
+    rows += ["x " * n + text.upper()[text.index("leaves") : text.index(" north")] for n in range(4)]  # 11 words at any offset
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), items).collect()}
+    assert got == {(i, 1) for i in (0, 1, 3, 5, 6, 7, 8)} | {(2, 2)}
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 5)), "big" if i % 10 else "small", "x", "y") for i in range(500)] + [(900, None, "big", "x", "y"), (901, "a b", None, "x", "y")]
     docs = spark.createDataFrame(rows, DOCS)
