@@ -53,7 +53,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     h = mix64(word_hashes(words))
-    if len(words) <= k:
+    if len(words) < k:
         out = np.full(1, len(words), np.uint64)
         for x in h:
             out = mix64(out * _MIX[0] + x)

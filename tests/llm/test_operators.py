@@ -87,6 +87,11 @@ def test_ngram_join_hot_group(spark):
     assert got == components(sets, lambda a, b: 100 * len(a & b) >= 85 * len(a | b))
 
 
+def test_ngram_join_text_of_one_shingle(spark):
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(table(spark, ["a a a a", "a a a a a", "a a a"]), k=4, num=85).collect()}
+    assert got == {0: 0, 1: 0, 2: 2}
+
+
 def test_ngram_join_empty_and_null_keys(spark):
     assert ngram_join.similar_groups(table(spark, [])).count() == 0
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
