@@ -278,6 +278,38 @@ def test_decontamination_of_capitalised_text(spark):
     assert got == {(i, 1) for i in (0, 1, 3, 5, 6, 7, 8)} | {(2, 2)}
 
 
+def test_decontamination_short_items_and_slots_both_ways(spark):
+    items = spark.createDataFrame([
+        (1, "why does the old mill turn"), (2, "one two three"), (3, "a boat with Anna and one with Berta leaves the quay at dawn"), (4, None), (5, ""),
+    ], "item_id long, text string")
+    rows = [
+        "he asked: Why does the old mill turn, again", "one two three", "so a boat with Carla and one with Doris leaves the quay at dawn",
+        "so a boat with Carla and one with Carla leaves the quay at dawn", "the old mill turn why does", None, "", "x " * 200_000 + "why does the old mill turn",
+    ]
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(table(spark, rows), items).collect()}
+    assert found == {(0, 1), (2, 3), (7, 1)}
+
+
+def test_decontamination_repeated_rows_nulls_and_names(spark):
+    text = "the train from Rome leaves at 12 and needs 3 hours to reach the north of Rome again"
+    items = spark.createDataFrame([(1, text, "d"), (1, "x " + text.replace("12", "14"), "d"), (None, text, "d")], "item_id long, text string, doc_id string")
+    schema = "doc_id long, text string, h string, item_id string, gram string, d string"
+    rows = [(1, text), (1, text), (1, text.replace("12", "15")), (2, "quiet"), (None, text), (3, None), (3, text)]
+    docs = spark.createDataFrame([(i, t, "h", "i", "g", "d") for i, t in rows], schema)
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, items).collect()} == {(1, 1), (3, 1)}
+    kept = decontaminate.clean(docs, items)
+    assert kept.columns == docs.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 2]
+    assert decontaminate.clean(docs.limit(0), items).count() == 0 and decontaminate.clean(docs, items.limit(0)).count() == len(rows)
+
+
+def test_decontamination_without_broadcasts(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    docs, items = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/benchmark.parquet")
+    want = sorted(map(tuple, decontaminate.leaks(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, decontaminate.leaks(docs, items).collect())) == want
+
+
 def test_mixing(spark):
     rows = [(i, " ".join(["w"] * (1 + i % 5)), "big" if i % 10 else "small", "x", "y") for i in range(500)] + [(900, None, "big", "x", "y"), (901, "a b", None, "x", "y")]
     docs = spark.createDataFrame(rows, DOCS)
