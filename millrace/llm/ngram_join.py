@@ -1,29 +1,31 @@
 """N-gram Jaccard join with prefix filters under several global token orders.
 
-A text's set holds its distinct word shingles.  Two texts can only reach the threshold if they share a token within
-the first ``n - ceil(t * n) + 1`` tokens of any global order, so candidates must meet in the prefixes of all ``ORDERS``
-orders before they are verified.  Every order puts rare tokens first (document frequency, exact over the whole table)
-and breaks ties its own way; a token that only one set holds can never be shared and takes its place in the prefix
-without being indexed, so texts without a near copy mostly drop out here.
+A text's set holds its distinct word shingles.  Two sets that reach the threshold ``t`` share a token within the first
+``n - ceil(t * n) + 1`` tokens of any global order; candidates must meet in the prefixes of ``ORDERS`` orders before they
+are verified.  The first order is made of two: by hash, a set is cut to its *head*, which is longer than the prefix by a
+twentieth of the set and ``SLACK`` tokens, so that linked sets must share at least so many tokens of their heads (``_least``).
+Within the heads tokens are ordered by their exact document frequency over all heads, rare ones first, and the prefix for
+that overlap is indexed.  So frequencies need a fifth of the tokens and all tokens of short texts; a set of which too few
+head tokens occur in another head can have no partner and drops out.  The other orders are by hash alone.
 
 Steps, all distributed:
 
-1. one pass over the texts sends each token, as 32 bits within its hash range, to the range's task;
-2. a range counts in how many different sets each token occurs, finds equal sets, and returns the repeated tokens;
-3. per set, the prefixes; equal sets are represented by their smallest id;
-4. in a few rounds, each representative is verified against one centre outside its component, the pivot that most of its
-   prefix tokens agree on;
-5. the pairs left between different components, where enough tokens follow the common one, are verified if they meet in
-   all orders; so a group of thousands of near copies costs a few comparisons per member, yet no link between
-   components is missed;
+1. one pass over the texts gives each set's size, 128-bit fingerprint and head; equal sets are represented by their smallest id;
+2. head tokens are counted with partial aggregation; the repeated ones are joined back to their sets, whose prefixes follow;
+3. the sets that have a prefix are read again, with all tokens and their prefixes in the other orders;
+4. in a few rounds, each of them is verified against one centre outside its component, the pivot that most of its prefix
+   tokens agree on;
+5. the pairs left between different components, of sizes that can link and where enough tokens follow the common one, are
+   verified if they meet in all orders; so a group of thousands of near copies costs a few comparisons per member, yet no
+   link between components is missed;
 6. connected components of the verified links.
 
-A token's identity is its range and 32 bits: 37 bits at half a GB and more as the ranges grow with the input.
+Joins on tokens and ids read two written tables, so that Spark can split a frequent token or a set with many links.
 """
 
 from __future__ import annotations
 
-import struct
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +38,14 @@ from millrace.llm.shared import Scratch, connected_components, mix64, word_hashe
 
 #: Number of global orders whose prefixes must all meet.
 ORDERS = 3
-#: Tokens that one range task holds, on average.
-RANGE_TOKENS = 2_000_000
+#: A head is longer than a prefix by one token in SPARE of the set and by SLACK.
+SPARE, SLACK = 20, 32
 #: Rounds in which each set is compared with one other set only, before pairs are joined.
 STARS = 2
-#: Ids of copies up to which they are sent to all executors, instead of shuffling the texts.
+#: Ids up to which they are sent to all executors, instead of shuffling the texts.
 BROADCAST_IDS = 500_000
-#: Head of a range's tokens of a set: range and number.
-_PART = "<II"
+#: Tokens of the sets that a Python worker holds at once.
+HELD_TOKENS = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -65,111 +67,79 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _send(ranges: int, k: int, key: str, text: str):
-    """Per batch of texts, one row for each range with the tokens that fall into it."""
-
-    def flush(ids, sets) -> Iterator[tuple]:
-        sizes = np.array([len(s) for s in sets])
-        every = np.concatenate(sets)
-        part = ((every >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        count = np.bincount(owner * ranges + part, minlength=len(sets) * ranges).reshape(len(sets), ranges)
-        low = every.astype(np.uint32)[np.argsort(part, kind="stable")]
-        stop = np.cumsum(count.sum(0))
-        ids = np.array(ids, np.int64)
-        same = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
-        home = np.array([p for p in part[np.cumsum(sizes) - sizes]])
-        for r in np.flatnonzero(count.sum(0)):
-            at = np.flatnonzero(count[:, r])
-            yield (
-                int(r), ids[at].tobytes(), same[at].tobytes(), count[at, r].astype(np.uint32).tobytes(),
-                np.where(home[at] == r, sizes[at], 0).astype(np.uint32).tobytes(), low[stop[r] - count[:, r].sum() : stop[r]].tobytes(),
-            )
+def _need(n: int, num: int, den: int) -> int:
+    """Tokens of a set of ``n`` that any linked set shares."""
+    return -(-num * n // den)
 
-    def run(batches):
-        ids, sets, held = [], [], 0
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf[key], pdf[text]):
-                s = shingles(t, k)
-                if len(s):
-                    ids.append(i)
-                    sets.append(s)
-                    held += len(s)
-                if held >= 2_000_000:
-                    rows += flush(ids, sets)
-                    ids, sets, held = [], [], 0
-            if rows:
-                yield pd.DataFrame(rows, columns=["part", "ids", "same", "counts", "sizes", "tokens"])
-        if ids:
-            yield pd.DataFrame(list(flush(ids, sets)), columns=["part", "ids", "same", "counts", "sizes", "tokens"])
 
-    return run
+def _rest(n: int, num: int, den: int) -> int:
+    """Tokens outside the head; it never falls as n grows."""
+    return max(0, (SPARE * num - den) * n // (SPARE * den) - SLACK)
 
 
-def _in_range(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Document frequencies in one hash range: rows of repeated tokens per representative, and each text's profile."""
-    read = lambda c, kind: np.concatenate([np.frombuffer(b, kind) for b in pdf[c]])
-    ids, same, counts, sizes, tokens = (
-        read(c, k) for c, k in (("ids", np.int64), ("same", np.uint64), ("counts", np.uint32), ("sizes", np.uint32), ("tokens", np.uint32))
-    )
-    counts = counts.astype(np.int64)
-    order = np.lexsort((ids, counts, same))
-    new = np.ones(len(ids), bool)
-    new[1:] = (same[order][1:] != same[order][:-1]) | (counts[order][1:] != counts[order][:-1])
-    rep = np.empty(len(ids), np.int64)
-    rep[order] = ids[order][new][np.cumsum(new) - 1]
-    first = np.zeros(len(ids), bool)
-    first[order[new]] = True
-    mine = tokens[np.repeat(first, counts)]
-    _, inverse, df = np.unique(mine, return_inverse=True, return_counts=True)
-    df = df[inverse]
-    often = df > 1
-    owner = np.repeat(np.arange(first.sum()), counts[first])[often]
-    kept = np.bincount(owner, minlength=first.sum())
-    mine, level = mine[often], np.minimum(255, 8 * np.log2(df[often])).astype(np.uint8)
-    stop = np.cumsum(kept)
-    at = np.flatnonzero(first)
-    part, blobs = int(pdf["part"].iloc[0]), np.full(len(ids), None, object)
-    for j in np.flatnonzero(kept):
-        a, b = stop[j] - kept[j], stop[j]
-        blobs[at[j]] = struct.pack(_PART, part, b - a) + mine[a:b].tobytes() + level[a:b].tobytes()
-    told = np.zeros(len(ids), bool)
-    told[at[kept > 0]] = True
-    told |= sizes > 0
-    return pd.DataFrame({"id": ids[told], "rep": rep[told], "n": sizes[told].astype(np.int64), "part": blobs[told]})
-
-
-def _prefixes(num: int, den: int):
-    """Per set: its repeated tokens and their first ones in each order, where a partner is possible at all."""
-
-    def one(n: int, parts) -> tuple[float | None, bytes | None, list | None]:
-        n_prefix = n - (num * n + den - 1) // den + 1
-        heads = [struct.unpack_from(_PART, p) for p in parts]
-        have = sum(k for _, k in heads)
-        room = n_prefix - (n - have)
-        if room <= 0:
-            return None, None, None
-        read = lambda p, k, kind, at: np.frombuffer(p, kind, k, at)
-        tokens = np.concatenate([read(p, k, np.uint32, 8).astype(np.uint64) | np.uint64(r << 32) for p, (r, k) in zip(parts, heads)])
-        level = np.concatenate([read(p, k, np.uint8, 8 + 4 * k) for p, (_, k) in zip(parts, heads)])
-        pre = []
-        for k in range(ORDERS):
-            cls = level if k == 0 else level >> 3
-            pre.append(tokens[np.lexsort((mix64(tokens ^ _MIX[k]), cls))[:room]].astype(np.int64))
-        return (n - have) / n, np.sort(tokens).tobytes(), pre
+def _least(n: int, num: int, den: int) -> int:
+    """Tokens that the heads of linked sets share at least.
 
-    def run(batches):
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                pdf = whole.iloc[at : at + 1000]
-                got = [one(n, parts) if i == r else (None, None, None) for i, r, n, parts in zip(pdf["id"], pdf["rep"], pdf["n"], pdf["parts"])]
-                yield pd.DataFrame({
-                    "id": pdf["id"].to_numpy(), "rep": pdf["rep"].to_numpy(), "n": pdf["n"].to_numpy(), "lone": pd.Series([g[0] for g in got], dtype=float),
-                    "tokens": [g[1] for g in got], "prefixes": [g[2] for g in got],
-                })
+    Of the common tokens, those outside a head come last by hash, so at most ``_rest`` of the larger set are lost.  Rounding
+    may give the smaller set one more than the larger one, which the one less here makes up for.
+    """
+    return max(1, _need(n, num, den) - _rest(n, num, den) - 1)
 
-    return run
+
+def _sql_rest(n: str, num: int, den: int) -> str:
+    return f"greatest(0L, ({SPARE * num - den}L * {n}) div {SPARE * den}L - {SLACK}L)"
+
+
+def _order(tokens: np.ndarray, k: int) -> np.ndarray:
+    """The tokens in the k-th order by hash; the tokens themselves are hashes, and 0 is their own order."""
+    return tokens[np.argsort(mix64(tokens ^ _MIX[k]), kind="stable")] if k else tokens
+
+
+def _marks(tokens: np.ndarray) -> tuple[int, int]:
+    """The set's fingerprint as two signed integers."""
+    mark = xxhash.xxh3_128_intdigest(tokens.tobytes())
+    return tuple(int(x) for x in np.array([mark >> 64, mark & ((1 << 64) - 1)], np.uint64).astype(np.int64))
+
+
+def _in_parts(batches, size, columns: list[str], make) -> Iterator[pd.DataFrame]:
+    """Rows that ``make`` gives for each text, as frames of a bounded number of tokens."""
+    rows, held = [], 0
+    for pdf in batches:
+        for row in zip(*[pdf[c] for c in pdf.columns]):
+            got, n = make(*row)
+            if got is not None:
+                rows.append(got)
+                held += n + size
+            if held >= HELD_TOKENS:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, held = [], 0
+    if rows:
+        yield pd.DataFrame(rows, columns=columns)
+
+
+def _heads(k: int, num: int, den: int):
+    """(id, n, s1, s2, head) of each text."""
+
+    def one(i, text):
+        s = shingles(text, k)
+        head = s[: len(s) - _rest(len(s), num, den)]
+        return (i, len(s), *_marks(s), head.astype(np.int64)), len(head)
+
+    return lambda batches: _in_parts(batches, 20, ["id", "n", "s1", "s2", "head"], one)
+
+
+def _whole(k: int, num: int, den: int):
+    """(id, n, tokens, prefixes) of the texts whose set has the fingerprint asked for."""
+
+    def one(i, text, s1, s2):
+        s = shingles(text, k)
+        if _marks(s) != (s1, s2):
+            return None, 0
+        length = len(s) - _need(len(s), num, den) + 1
+        prefixes = [_order(s, x)[:length].astype(np.int64) for x in range(1, ORDERS)]
+        return (i, len(s), s.tobytes(), prefixes), len(s) + sum(map(len, prefixes))
+
+    return lambda batches: _in_parts(batches, 20, ["id", "n", "tokens", "prefixes"], one)
 
 
 def _verify(num: int, den: int):
@@ -188,59 +158,80 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                    scratch: Scratch | None = None) -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``; linked where ``den * both >= num * union``.
 
-    ``key`` is an integer.  Texts that are null or without words have an empty set, n_shingles 0 and stay alone.
-    Rows that repeat an id with the same text count as one document; with different texts, the id is judged by one of
-    them.  Rows with a null id are returned with a null component.  An empty table gives an empty result.
+    ``key`` is an integer.  Texts that are null or without words have an empty set, n_shingles 0 and stay alone.  Rows that
+    repeat an id count as one document, judged by one of their texts, the one whose set is not empty and has the smallest
+    fingerprint; each row is returned.  Rows with a null id are returned with size 0 and a null component.  An empty table
+    gives an empty result.  Texts are read whole; other columns play no part, whatever their names.  Among equal texts the
+    smallest id counts.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark, "ngram-join")
-    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
-    chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(12, -(-chars // (7 * RANGE_TOKENS)))
-
-    sent = rows.where("id is not null").mapInPandas(
-        _send(ranges, k, "id", "text"), "part int, ids binary, same binary, counts binary, sizes binary, tokens binary"
-    )
-    back = sent.groupBy("part").applyInPandas(_in_range, "id long, rep long, n long, part binary")
-    sets = back.groupBy("id").agg(F.max("rep").alias("rep"), F.max("n").alias("n"), F.collect_list("part").alias("parts"))
-    sets = scratch.save(sets.mapInPandas(_prefixes(num, den), "id long, rep long, n long, lone double, tokens binary, prefixes array<array<long>>"))
+    scratch = scratch or Scratch(docs.sparkSession, "ngram-join")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+    rest = lambda n: _sql_rest(n, num, den)
+    need = f"(({num}L * n + {den - 1}L) div {den}L)"
+    rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
+
+    sets = scratch.save(rows.mapInPandas(_heads(k, num, den), "id long, n long, s1 long, s2 long, head array<long>"))
+    twice = scratch.save(sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    repeats = twice.count() > 0
+    if repeats:
+        one = sets.join(twice, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.expr("n = 0").alias("void"), "s1", "s2", "n", "head")).alias("v"))
+        sets = scratch.save(sets.join(twice, "id", "left_anti").union(one.select("id", "v.n", "v.s1", "v.s2", "v.head")))
+    same = scratch.save(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "rep"))
+    members = scratch.save(sets.select("id", "n", "s1", "s2").join(same, ["s1", "s2"], "left").select("id", "n", "s1", "s2", F.coalesce("rep", "id").alias("rep")))
+    copies = small(members.where("id != rep").select("id"))
+
+    heads = sets.where("n > 0").join(copies, "id", "left_anti").select("id", "n", F.explode("head").alias("token"))
+    often = scratch.save(heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
+    index = heads.join(often.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("e"))
+    index = index.withColumn("r", F.expr(rest("n"))).withColumn("least", F.expr(f"greatest(1L, {need} - r - 1)")).where("size(e) >= least")
+    lone = F.expr("n - r - size(e)")  # tokens that no other head holds come first and need no index
+    index = index.select("id", "n", lone.alias("lone"), F.expr("slice(array_sort(e), 1, cast(size(e) - least + 1 as int))").alias("e"))
+    index = scratch.save(index.select("id", "n", "lone", F.transform("e", lambda x: x["token"]).alias("prefix")))
+
+    asked = small(scratch.save(index.select("id").join(members.select("id", "s1", "s2"), "id")))
+    nodes = rows.join(asked, "id").select("id", "text", "s1", "s2").mapInPandas(_whole(k, num, den), "id long, n long, tokens binary, prefixes array<array<long>>")
+    nodes = scratch.save(nodes.dropDuplicates(["id"]) if repeats else nodes)
 
-    nodes = sets.where("tokens is not null")
     fits = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    # what two sets can share from their first common token on, against what they must share
-    reach = F.expr(f"{num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)")
+    # what the heads of two sets can share from their first common token on, against what they must share
+    reach = F.expr(f"{num + den} * (least(na - {rest('na')} - pa, nb - {rest('nb')} - pb) + {rest('greatest(na, nb)')}) >= {num} * (na + nb)")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("prefixes").alias(f"p{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
-        for k in range(1, ORDERS):
-            both = both.where(F.arrays_overlap(F.col("pa")[k], F.col("pb")[k]))
+        for j in range(ORDERS - 1):
+            both = both.where(F.arrays_overlap(F.col("pa")[j], F.col("pb")[j]))
         return both.select("a", "b", "na", "nb", "ta", "tb").mapInPandas(_verify(num, den), "a long, b long")
 
-    entries = nodes.select("id", "n", F.posexplode(F.col("prefixes")[0]).alias("at", "token"), "lone")
-    entries = entries.select("id", "n", "token", "lone", (F.round(F.col("lone") * F.col("n")).cast("long") + F.col("at")).alias("p"))
+    entries = index.select("id", "n", F.posexplode("prefix").alias("at", "token"), "lone").select("id", "n", "token", "lone", (F.col("lone") + F.col("at")).alias("p"))
     placed, links, tried = entries.withColumn("component", F.col("id")), None, None
     for r in range(STARS):
-        central = F.col("lone") if r == 0 else F.xxhash64("id", F.lit(r))
+        central = F.col("lone") / F.col("n") if r == 0 else F.xxhash64("id", F.lit(r))
         pivot = F.min(F.struct(central.alias("rank"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca")))
         mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("pivot")).where("lo < hi")
-        votes = placed.withColumnsRenamed({"n": "nb", "p": "pb"}).join(mixed.select("token", "pivot.a", "pivot.na", "pivot.pa", "pivot.ca"), "token")
+        mixed = scratch.save(mixed.select("token", "pivot.a", "pivot.na", "pivot.pa", "pivot.ca"))
+        votes = placed.withColumnsRenamed({"n": "nb", "p": "pb"}).join(mixed, "token")
         votes = votes.where("component != ca").where(fits).where(reach).groupBy("id", "a").agg(F.count("*").alias("c"))
         star = votes.groupBy("id").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
         star = scratch.save(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
         new = scratch.save(verified(star))
         links, tried = (new, star) if tried is None else (links.union(new), tried.union(star))
-        groups = connected_components(scratch, links, "a", "b")
-        again = entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        groups = scratch.save(connected_components(scratch, links, "a", "b"))
+        again = scratch.save(entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
         mixed = again.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        placed = scratch.save(again.join(mixed, "token", "left_semi"))
-    x = placed.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca"))
-    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"))
-    pairs = x.join(y, "token").where("a < b and ca != cb").where(fits).where(reach).select("a", "b").distinct()
-    more = scratch.save(verified(pairs.join(tried, ["a", "b"], "left_anti")))
+        placed = scratch.save(again.join(scratch.save(mixed), "token", "left_semi"))
+        scratch.drop(again)
+    # sizes by powers of 1 / t: the larger set of a pair is in the class of the smaller one or in the next
+    size = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(den / num)) + 1e-9) if num < den else F.col(n)
+    y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"), size("n").cast("long").alias("size"))
+    x = placed.select("token", F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca"), size("n").cast("long").alias("s"))
+    x = x.select("*", F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("size"))
+    pairs = x.join(y, ["token", "size"]).where("(na < nb or na = nb and a < b) and ca != cb").where(fits).where(reach)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = scratch.save(verified(scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))))
     groups = connected_components(scratch, links.union(more), "a", "b")
 
-    found = sets.select("id", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
+    found = members.select("id", "rep", "n").join(scratch.save(groups.withColumnRenamed("id", "rep")), "rep", "left")
     found = scratch.save(found.select("id", "n", F.coalesce("component", "rep").alias("component_id")))
     return docs.select(F.col(key)).join(found.withColumnRenamed("id", key), key, "left").select(
         key, F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.col(key).cast("long")).alias("component_id")
@@ -248,10 +239,11 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` without those near copies that have a smaller id in their group; repeated rows of a kept id all stay."""
+    """``docs`` without those near copies that have a smaller id in their group; repeated rows of a kept id all stay, as do
+    rows with a null id or text."""
     scratch = Scratch(docs.sparkSession, "keep-first")
-    gone = similar_groups(docs, key=key, text=text, k=k, num=num, den=den, scratch=scratch).where(f"{key} != component_id").select(key).distinct()
-    gone = scratch.save(gone)
+    found = similar_groups(docs, key=key, text=text, k=k, num=num, den=den, scratch=scratch)
+    gone = scratch.save(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
 
 

@@ -101,8 +101,8 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str) ->
     """(id, component): smallest id reachable over undirected edges, for ids that have an edge.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until the edge set is stable.  Minima are
-    pre-aggregated before the shuffle and joined back, so a hub with many links never meets in one task unsplit.
-    Every round is a written table; nothing is gathered on the driver but a row count and a checksum.
+    pre-aggregated and written, so that they are joined to the edges as two plain tables and Spark can split a hub with
+    many links.  Every round is a written table; nothing is gathered on the driver but a row count and a checksum.
     """
     cur = scratch.save(
         edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
@@ -110,14 +110,14 @@ def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str) ->
     seen = None
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = scratch.save(large.where("u != v"))
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
+        mins = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.union(mins.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         nxt = scratch.save(small)
-        scratch.drop(cur, large)
+        scratch.drop(cur, low, large, mins)
         mark = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         cur = nxt
         if tuple(mark) == seen:

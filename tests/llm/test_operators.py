@@ -99,6 +99,57 @@ def test_ngram_join_empty_and_null_keys(spark):
     assert got == [(0, None), (1, 1), (1, 1)]
 
 
+def test_ngram_join_repeated_ids(spark):
+    """An id with several texts is one document, judged by one of them."""
+    a, b = "a b c d e f", "p q r s t u v w"
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, None), (4, a), (5, ""), (5, None)]
+    df = spark.createDataFrame([(i, t, 9, "x") for i, t in rows], "doc_id long, text string, token int, rep string")
+    got = sorted({(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.similar_groups(df).collect()})
+    assert got in ([(1, 3, 1), (2, 3, 1), (3, 5, 3), (4, 3, 1), (5, 0, 5)], [(1, 5, 1), (2, 3, 2), (3, 5, 1), (4, 3, 2), (5, 0, 5)])
+
+
+def test_ngram_join_hot_line_and_long_text(spark):
+    """Thousands of short texts share one line, few are near copies; one text has two million characters."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    line = " ".join(word() for _ in range(20))
+    texts = [f"{line} {' '.join(word() for _ in range(rng.randint(0, 9)))}" for _ in range(3000)]
+    texts += [f"{t} {word()}" for t in texts[:200]]
+    long = " ".join(word() for _ in range(400_000))
+    texts += [long, f"{word()} {long}"]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(table(spark, texts), k=5, num=80).collect()}
+    sets = {i: shingles(t, 5) for i, t in enumerate(texts[:-2])}
+    by_size = sorted(sets, key=lambda i: len(sets[i]))
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for at, i in enumerate(by_size):
+        for j in by_size[at + 1 :]:
+            if 100 * len(sets[i]) < 80 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    want = {i: root(i) for i in sets}
+    assert got == want | {3200: 3200, 3201: 3200}
+
+
+def test_ngram_join_heads_share_enough():
+    """The bound on what the heads of linked sets share, at the least similar pairs of all sizes."""
+    for num, den in ((85, 100), (80, 100), (1, 1), (9, 10)):
+        for n in range(1, 400):
+            for m in range(n, n * den // num + 1):
+                both = -(-num * (n + m) // (num + den))
+                lost = max(ngram_join._rest(n, num, den), ngram_join._rest(m, num, den))
+                if both <= n:
+                    assert both - lost >= max(ngram_join._least(n, num, den), ngram_join._least(m, num, den))
+
+
 def test_substring_dedup(spark, corpus):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(table(spark, corpus), window=50).collect()}
     first = {}
