@@ -2,17 +2,18 @@
 
 A text's set holds its distinct word shingles.  Two sets that reach the threshold ``t`` share a token within the first
 ``n - ceil(t * n) + 1`` tokens of any global order; candidates must meet in the prefixes of ``ORDERS`` orders before they
-are verified.  The first order is made of two: by hash, a set is cut to its *head*, which is longer than the prefix by a
+are verified.  The *head* of a set in an order by hash is longer than the prefix by a
 twentieth of the set and ``SLACK`` tokens, so that linked sets must share at least so many tokens of their heads (``_least``).
-Within the heads tokens are ordered by their exact document frequency over all heads, rare ones first, and the prefix for
-that overlap is indexed.  So frequencies need a fifth of the tokens and all tokens of short texts; a set of which too few
-head tokens occur in another head can have no partner and drops out.  The other orders are by hash alone.
+So a set of which fewer head tokens occur in another head can have no partner and drops out, which takes a fifth of the
+tokens, and all of short texts.  For the sets left, the first order is by exact document frequency among them, rare tokens
+first; a token that only one of them holds takes its place in the prefix without being indexed.  The others are by hash.
 
 Steps, all distributed:
 
 1. one pass over the texts gives each set's size, 128-bit fingerprint and head; equal sets are represented by their smallest id;
-2. head tokens are counted with partial aggregation; the repeated ones are joined back to their sets, whose prefixes follow;
-3. the sets that have a prefix are read again, with all tokens and their prefixes in the other orders;
+2. head tokens are counted with partial aggregation, and the repeated ones are counted for each set;
+3. the sets left are read again, with all tokens and their prefixes in the orders by hash; their tokens are counted in the
+   same way, and the first order's prefixes follow;
 4. in a few rounds, each of them is verified against one centre outside its component, the pivot that most of its prefix
    tokens agree on;
 5. the pairs left between different components, of sizes that can link and where enough tokens follow the common one, are
@@ -137,7 +138,7 @@ def _whole(k: int, num: int, den: int):
             return None, 0
         length = len(s) - _need(len(s), num, den) + 1
         prefixes = [_order(s, x)[:length].astype(np.int64) for x in range(1, ORDERS)]
-        return (i, len(s), s.tobytes(), prefixes), len(s) + sum(map(len, prefixes))
+        return (i, len(s), s.astype(np.int64), prefixes), len(s) + sum(map(len, prefixes))
 
     return lambda batches: _in_parts(batches, 20, ["id", "n", "tokens", "prefixes"], one)
 
@@ -147,13 +148,18 @@ def _verify(num: int, den: int):
         for pdf in batches:
             keep = np.zeros(len(pdf), bool)
             for i, (ta, tb, na, nb) in enumerate(zip(pdf["ta"], pdf["tb"], pdf["na"], pdf["nb"])):
-                both = len(np.intersect1d(np.frombuffer(ta, np.uint64), np.frombuffer(tb, np.uint64), assume_unique=True))
+                both = len(np.intersect1d(ta, tb, assume_unique=True))
                 keep[i] = den * both >= num * (na + nb - both)
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
 
 
+def _often(entries: DataFrame) -> DataFrame:
+    """(token, df) of the tokens that two sets or more hold."""
+    return entries.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+
+
 def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: int = 4, num: int = 85, den: int = 100,
                    scratch: Scratch | None = None) -> DataFrame:
     """(key, n_shingles, component_id) for every row of ``docs``; linked where ``den * both >= num * union``.
@@ -181,20 +187,26 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     copies = small(members.where("id != rep").select("id"))
 
     heads = sets.where("n > 0").join(copies, "id", "left_anti").select("id", "n", F.explode("head").alias("token"))
-    often = scratch.save(heads.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"))
-    index = heads.join(often.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("e"))
-    index = index.withColumn("r", F.expr(rest("n"))).withColumn("least", F.expr(f"greatest(1L, {need} - r - 1)")).where("size(e) >= least")
-    lone = F.expr("n - r - size(e)")  # tokens that no other head holds come first and need no index
-    index = index.select("id", "n", lone.alias("lone"), F.expr("slice(array_sort(e), 1, cast(size(e) - least + 1 as int))").alias("e"))
-    index = scratch.save(index.select("id", "n", "lone", F.transform("e", lambda x: x["token"]).alias("prefix")))
-
-    asked = small(scratch.save(index.select("id").join(members.select("id", "s1", "s2"), "id")))
-    nodes = rows.join(asked, "id").select("id", "text", "s1", "s2").mapInPandas(_whole(k, num, den), "id long, n long, tokens binary, prefixes array<array<long>>")
+    often = scratch.save(_often(heads).select("token"))
+    asked = heads.join(often.hint("shuffle_hash"), "token", "left_semi").groupBy("id", "n").agg(F.count("*").alias("c"))
+    asked = asked.where(F.expr(f"c >= greatest(1L, {need} - {rest('n')} - 1)")).select("id")
+    asked = scratch.save(asked.join(members.select("id", "s1", "s2"), "id"))
+    scratch.drop(sets, often)
+    nodes = rows.join(small(asked), "id").select("id", "text", "s1", "s2")
+    nodes = nodes.mapInPandas(_whole(k, num, den), "id long, n long, tokens array<long>, prefixes array<array<long>>")
     nodes = scratch.save(nodes.dropDuplicates(["id"]) if repeats else nodes)
 
+    every = nodes.select("id", "n", F.explode("tokens").alias("token"))
+    often = scratch.save(_often(every))
+    index = every.join(often.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("e"))
+    index = index.withColumn("lone", F.expr("n - size(e)")).where(F.expr(f"size(e) >= {need}"))
+    index = index.select("id", "n", "lone", F.expr(f"slice(array_sort(e), 1, cast(n - {need} + 1 - lone as int))").alias("e"))
+    index = scratch.save(index.select("id", "n", "lone", F.transform("e", lambda x: x["token"]).alias("prefix")))
+    scratch.drop(often)
+
     fits = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-    # what the heads of two sets can share from their first common token on, against what they must share
-    reach = F.expr(f"{num + den} * (least(na - {rest('na')} - pa, nb - {rest('nb')} - pb) + {rest('greatest(na, nb)')}) >= {num} * (na + nb)")
+    # what two sets can share from their first common token on, against what they must share
+    reach = F.expr(f"{num + den} * least(na - pa, nb - pb) >= {num} * (na + nb)")
 
     def verified(pairs: DataFrame) -> DataFrame:
         side = lambda x: nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"), F.col("prefixes").alias(f"p{x}"))
@@ -216,11 +228,11 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         star = scratch.save(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
         new = scratch.save(verified(star))
         links, tried = (new, star) if tried is None else (links.union(new), tried.union(star))
-        groups = scratch.save(connected_components(scratch, links, "a", "b"))
+        if r == 0 or not new.isEmpty():
+            groups = scratch.save(connected_components(scratch, links, "a", "b"))
         again = scratch.save(entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
         mixed = again.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
         placed = scratch.save(again.join(scratch.save(mixed), "token", "left_semi"))
-        scratch.drop(again)
     # sizes by powers of 1 / t: the larger set of a pair is in the class of the smaller one or in the next
     size = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(den / num)) + 1e-9) if num < den else F.col(n)
     y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"), size("n").cast("long").alias("size"))
@@ -229,9 +241,10 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     pairs = x.join(y, ["token", "size"]).where("(na < nb or na = nb and a < b) and ca != cb").where(fits).where(reach)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = scratch.save(verified(scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))))
-    groups = connected_components(scratch, links.union(more), "a", "b")
+    if not more.isEmpty():
+        groups = scratch.save(connected_components(scratch, links.union(more), "a", "b"))
 
-    found = members.select("id", "rep", "n").join(scratch.save(groups.withColumnRenamed("id", "rep")), "rep", "left")
+    found = members.select("id", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     found = scratch.save(found.select("id", "n", F.coalesce("component", "rep").alias("component_id")))
     return docs.select(F.col(key)).join(found.withColumnRenamed("id", key), key, "left").select(
         key, F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.col(key).cast("long")).alias("component_id")
