@@ -12,58 +12,66 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import Scratch
 
-#: Marked lines up to which they are sent to all executors (16 bytes each); beyond it, lines are joined by shuffles.
+#: Marked lines up to which they are sent to all executors (16 bytes each), and sites; beyond it, lines are joined by shuffles.
 BROADCAST_LINES = 200_000
 
 
-def _site(site: str) -> Column:
+def _site(site: Column) -> Column:
     """A non-null key for the site; null is a site of its own."""
-    return F.coalesce(F.concat(F.lit("s"), F.col(site).cast("string")), F.lit("n"))
+    return F.coalesce(F.concat(F.lit("s"), site.cast("string")), F.lit("n"))
 
 
-def _lines(text: str) -> Column:
-    return F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+def _lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n")
+
+
+def _marks(lines: Column) -> Column:
+    """128 bits for each line."""
+    return F.transform(lines, lambda x: F.unhex(F.md5(x)))
 
 
 def boilerplate(docs: DataFrame, *, site: str = "source", text: str = "text", ratio: float = 0.1, min_docs: int = 3) -> DataFrame:
-    """(_site, _line): hashes of the lines in more than ``ratio`` of a site's documents, and in ``min_docs`` at least."""
-    uniq = F.array_distinct(F.filter(_lines(text), lambda x: F.trim(x) != ""))
-    seen = docs.select(_site(site).alias("_site"), F.explode(F.transform(uniq, lambda x: F.xxhash64(x))).alias("_line"))
-    counts = seen.groupBy("_site", "_line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    total = docs.groupBy(_site(site).alias("_site")).agg(F.count("*").alias("total"))
-    return counts.join(total, "_site").where(F.col("n") > ratio * F.col("total")).select("_site", "_line")
+    """(site, line): marks of the lines in more than ``ratio`` of a site's documents, and in ``min_docs`` at least."""
+    uniq = F.array_distinct(F.filter(_lines(F.col(text)), lambda x: F.trim(x) != ""))
+    seen = docs.select(_site(F.col(site)).alias("site"), F.explode(_marks(uniq)).alias("line"))
+    counts = seen.groupBy("site", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs)
+    total = Scratch(docs.sparkSession, "line-dedup").save(docs.groupBy(_site(F.col(site)).alias("site")).agg(F.count("*").alias("total")))
+    if total.count() <= BROADCAST_LINES:
+        total = F.broadcast(total)
+    return counts.join(total, "site").where(F.col("n") > ratio * F.col("total")).select("site", "line")
 
 
 def dedup(docs: DataFrame, *, key: str = "doc_id", site: str = "source", text: str = "text", ratio: float = 0.1,
           min_docs: int = 3, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """``docs`` with the marked lines taken out of ``text`` and two more columns, ``n_lines`` and ``n_dropped``.
 
-    All documents stay, even if nothing is left of their text.  A null text stays null with no lines; columns named
-    ``n_lines`` or ``n_dropped`` are replaced.
+    All documents stay, even if nothing is left of their text, and in repeated rows each counts as a document.  A null text
+    stays null with no lines, an empty one is one blank line; a line on exactly ``ratio`` of the documents stays.  Columns
+    named ``n_lines`` or ``n_dropped`` are replaced, other names do not matter.  An empty table gives no rows.  Texts are
+    read whole, and lines are compared by 128 bits.
     """
     scratch = Scratch(docs.sparkSession, "line-dedup")
     marks = scratch.save(boilerplate(docs, site=site, text=text, ratio=ratio, min_docs=min_docs))
-    rows = docs.drop("n_lines", "n_dropped")
-    order = rows.columns
-    rows = rows.withColumn("_site", _site(site))
+    order = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    # the caller's columns are one struct, so that no name of theirs meets one of ours
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in order]).alias("row"))
+    body = F.col("row").getField(text)
+    rows = rows.withColumn("site", _site(F.col("row").getField(site)))
     if marks.count() <= broadcast_lines:
-        per = F.broadcast(marks.groupBy("_site").agg(F.collect_set("_line").alias("_bad")))
-        rows = rows.join(per, "_site", "left")
+        rows = rows.join(F.broadcast(marks.groupBy("site").agg(F.collect_set("line").alias("bad"))), "site", "left")
     else:
-        lines = rows.select(F.col(key).alias("_key"), "_site", F.explode(F.transform(_lines(text), lambda x: F.xxhash64(x))).alias("_line"))
-        hits = lines.distinct().join(marks, ["_site", "_line"]).groupBy("_key", "_site").agg(F.collect_set("_line").alias("_bad"))
-        hits = hits.withColumnRenamed("_site", "_at")
-        rows = rows.join(hits, rows[key].eqNullSafe(F.col("_key")) & (F.col("_site") == F.col("_at")), "left")
-    bad = F.col("_bad")
-    lines = _lines(text)
-    kept = F.when(bad.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, F.xxhash64(x))))
-    rows = rows.withColumn("_kept", kept).withColumn("_n", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-    rows = rows.withColumns({
-        "n_lines": F.col("_n").cast("long"),
-        "n_dropped": F.when(F.col(text).isNull(), 0).otherwise(F.col("_n") - F.size("_kept")).cast("long"),
-        text: F.when(F.col(text).isNull() | bad.isNull(), F.col(text)).otherwise(F.array_join("_kept", "\n")),
-    })
-    return rows.select(*order, "n_lines", "n_dropped")
+        lines = rows.select(F.col("row").getField(key).alias("k"), "site", F.explode(_marks(_lines(body))).alias("line"))
+        hits = lines.join(marks, ["site", "line"]).groupBy("k", "site").agg(F.collect_set("line").alias("bad"))
+        hits = scratch.save(hits.withColumnRenamed("site", "at"))
+        rows = rows.join(hits, F.col("row").getField(key).eqNullSafe(F.col("k")) & (F.col("site") == F.col("at")), "left")
+    bad, lines = F.col("bad"), _lines(body)
+    kept = F.when(bad.isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(bad, F.unhex(F.md5(x)))))
+    rows = rows.select("row", "bad", kept.alias("kept"), F.when(body.isNull(), 0).otherwise(F.size(lines)).alias("n"))
+    new = F.when(body.isNull() | bad.isNull(), body).otherwise(F.array_join("kept", "\n"))
+    return rows.select(
+        *[(new if c == text else F.col("row").getField(c)).alias(c) for c in order], F.col("n").cast("long").alias("n_lines"),
+        F.when(body.isNull(), 0).otherwise(F.col("n") - F.size("kept")).cast("long").alias("n_dropped"),
+    )
 
 
 SQL = """
