@@ -35,6 +35,10 @@ def _pieces(text: str) -> list[bytes]:
     return [text[i : i + PIECE].encode("utf-8", "replace") for i in range(0, len(text), PIECE)]
 
 
+def _spread(pieces: list[bytes], most: int) -> list[bytes]:
+    return pieces if len(pieces) <= most else [pieces[i * (len(pieces) - 1) // max(1, most - 1)] for i in range(most)]
+
+
 def _features(text: str | None, coders) -> tuple[float, float, float]:
     """Difference over sum for all pieces, and of the best and the worst piece; zeros for an empty text."""
     if not text:
@@ -61,16 +65,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-        per_class: int = 2500, max_chars: int = 60_000, dict_bytes: int = 112_640) -> QualityModel:
+        per_class: int = 2500, max_chars: int = 60_000, total_chars: int = 12_000_000, dict_pieces: int = 8,
+        dict_bytes: int = 112_640) -> QualityModel:
     """Learn from ``docs`` whose key is in ``labels`` (label 1 good, 0 bad); rows with nulls or empty texts are left out.
 
-    Bounds of the sample: ``per_class`` labelled texts of each class, none over ``max_chars`` characters.  Half of them
-    train the dictionaries and the other half fit the curve, which is then shifted to the classes' own frequencies.
+    Bounds of the sample: ``per_class`` labelled texts and ``total_chars`` characters of each class, none over ``max_chars``
+    characters.  Half of them train the dictionaries, a text with at most ``dict_pieces`` pieces spread evenly over it; the
+    other half fit the curve, which is then shifted to the classes' own frequencies.  Repeated rows count again; without
+    texts of both classes the curve is not fitted.
     """
-    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars)
+    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars, total_chars)
     dicts = []
     for y in (1, 0):
-        parts = [p for r in got[::2] if r.y == y for p in _pieces(r.t)[:8]] or [b" "]
+        parts = [p for r in got[::2] if r.y == y for p in _spread(_pieces(r.t), dict_pieces)] or [b" "]
         dicts.append(_dictionary(parts, dict_bytes))
     model = QualityModel(dicts[0], dicts[1], np.array([0.0, 1.0, 0.0, 0.0]))
     coders = model.coders()
@@ -93,7 +100,8 @@ def _dictionary(parts: list[bytes], size: int) -> bytes:
 def score(docs: DataFrame, model: QualityModel, *, key: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """(key, score), or with ``carry`` (key, text, carried columns, score): a double between 0 and 1 per row.
 
-    A null text counts as an empty one.  Carried columns named ``score`` are replaced.
+    Each row is scored on its own and whole.  A null text counts as an empty one; repeated rows get the same score; an empty
+    table gives no rows.  Carried columns named ``score`` are replaced, other names do not matter.
     """
     rows = docs.select(key, text, *[c for c in carry or [] if c != "score"])
     schema = (rows if carry is not None else rows.select(key)).withColumn("score", F.lit(0.0)).schema

@@ -9,6 +9,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 #: ASCII white space, as Spark and DuckDB regular expressions spell it.
 SPACES = r"[\x20\x09-\x0D]+"
@@ -17,11 +18,17 @@ _INVERSE = pow(_ODD, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where none is configured."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Only a session on one machine gets a temporary folder where none is set; on a cluster that is an error.
+    """
+    context = spark.sparkContext
+    where = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not where:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.sparkContext.setCheckpointDir(where)
+        context.setCheckpointDir(where)
     return where.rstrip("/")
 
 
@@ -47,8 +54,8 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int):
-    """At most ``per_class`` texts of each label 0 and 1, as rows (k, t, y), collected for training.
+def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int, total_chars: int):
+    """At most ``per_class`` texts and ``total_chars`` characters of each label 0 and 1, as rows (k, t, y), collected for training.
 
     The keys are chosen from the label table by their hash; that list is bounded by ``2 * per_class`` rows, so it is
     broadcast and one scan of the texts is enough.  Texts that are null, empty or over ``max_chars`` are left out.
@@ -59,8 +66,10 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
         part = marks.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(per_class)
         chosen = part if chosen is None else chosen.union(part)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.length("t").between(1, max_chars))
-    got = rows.join(F.broadcast(chosen), "k").select("k", "t", "y").collect()
-    return sorted(got, key=lambda r: (xxhash.xxh64_intdigest(str(r.k)), r.y, r.t))
+    # the window orders the sample alone, which the keys and the longest text bound
+    ahead = W.partitionBy("y").orderBy(F.xxhash64("k"), "k", "t")
+    got = rows.join(F.broadcast(chosen), "k").withColumn("sum", F.sum(F.length("t")).over(ahead)).where(F.col("sum") <= total_chars)
+    return sorted(got.select("k", "t", "y").collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.k)), r.y, r.t))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

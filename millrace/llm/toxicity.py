@@ -1,7 +1,8 @@
 """Toxicity by multiple-instance learning: sentence probabilities joined by noisy-or, learnt from document labels.
 
-A sentence's logit is a constant plus the learnt weights of its distinct words; a word's weight is the sum over its
-hashed features, itself and the first four to seven letters of a longer word, so that inflected forms share what is
+A sentence's logit is a constant, less a learnt multiple of the logarithm of the document's number of sentences, plus the
+learnt weights of its distinct words.  The logarithm keeps many harmless sentences from adding up to a toxic document.  A
+word's weight is the sum over its hashed features, itself and the first four to seven letters of a longer word, so that inflected forms share what is
 learnt.  A document is toxic with
 probability ``1 - prod(1 - p_sentence)``; the gradient of the document likelihood reaches the sentences through it, so
 only document labels are needed, and afterwards the sentences with the highest probability are the offending ones.
@@ -29,6 +30,7 @@ _WORD = re.compile(r"\w+")
 class ToxicityModel:
     weights: np.ndarray
     bias: float
+    spread: float = 0.0
 
 
 def _features(word: str) -> list[int]:
@@ -61,10 +63,11 @@ def _sigmoid(z):
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-        per_class: int = 2500, max_chars: int = 30_000, **options) -> ToxicityModel:
-    """Train on at most ``per_class`` labelled texts of each class, none over ``max_chars`` characters (bounds of the
-    sample alone), chosen by a hash of the key.  Null labels and texts are left out; ``options`` go to ``train``."""
-    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars)
+        per_class: int = 2500, max_chars: int = 500_000, total_chars: int = 6_000_000, **options) -> ToxicityModel:
+    """Train on at most ``per_class`` labelled texts and ``total_chars`` characters of each class, none over ``max_chars``
+    (bounds of the sample alone), chosen by a hash of the key.  Null labels and empty texts are left out; repeated rows
+    count again; without texts of both classes the model knows no words.  ``options`` go to ``train``."""
+    got = sample_labelled(docs, labels, key, text, label, per_class, max_chars, total_chars)
     return train([r.t for r in got], [r.y for r in got], **options)
 
 
@@ -91,33 +94,39 @@ def train(texts: list[str], labels: list[int], *, min_docs: int = 5, epochs: int
     often[known[in_docs >= min_docs]] = True
     sent_of, word_of = sent_of[often[word_of]], word_of[often[word_of]]
     used, word_at = np.unique(word_of, return_inverse=True)
-    v, m1, m2 = np.zeros(len(used) + 1), np.zeros(len(used) + 1), np.zeros(len(used) + 1)
-    v[-1] = b
+    many = np.log(np.maximum(1, np.bincount(sent_doc, minlength=len(y))))[sent_doc]
+    v, m1, m2 = np.zeros(len(used) + 2), np.zeros(len(used) + 2), np.zeros(len(used) + 2)
+    v[-2:] = b, 0.5
     for step in range(1, epochs + 1):
-        z = np.bincount(sent_of, v[word_at], sents) + v[-1]
+        z = np.bincount(sent_of, v[word_at], sents) + v[-2] - v[-1] * many
         p = _sigmoid(z)
         clean = np.bincount(sent_doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         doc = np.clip(1 - np.exp(clean), 1e-6, 1 - 1e-9)
         gz = p * (1 - y / doc)[sent_doc] / len(y)
-        g = np.append(np.bincount(word_at, gz[sent_of], len(used)), gz.sum()) + ridge * np.append(v[:-1], 0)
+        g = np.concatenate([np.bincount(word_at, gz[sent_of], len(used)) + ridge * v[:-2], [gz.sum(), -(gz * many).sum()]])
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.99 * m2 + 0.01 * g * g
         v -= rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    w[used] = v[:-1]
-    return ToxicityModel(w, float(v[-1]))
+        v[-1] = max(v[-1], 0.0)
+    w[used] = v[:-2]
+    return ToxicityModel(w, float(v[-2]), float(v[-1]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: str = "text", at_least: float = 0.5) -> DataFrame:
     """(key, score, n_sentences, worst_start, worst_end, offending): the document's probability, the most likely
-    sentence (code points, end exclusive, null without one) and the spans of all sentences scored ``at_least`` so."""
+    sentence (code points, end exclusive, null without one; the first of equal ones) and the spans of all sentences scored
+    ``at_least`` so.
+
+    Each row is scored on its own and whole: null, empty and wordless texts get 0, repeated rows the same score; an empty
+    table gives none; other columns play no part, whatever their names."""
     schema = T.StructType([
         docs.schema[key], T.StructField("score", T.DoubleType()), T.StructField("n_sentences", T.LongType()),
         T.StructField("worst_start", T.LongType()), T.StructField("worst_end", T.LongType()), T.StructField("offending", T.StringType()),
     ])
 
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias))  # 2 MB, fixed
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float64), model.bias, model.spread))  # 2 MB, fixed
 
     def run(batches):
-        w, b = shared.value
+        w, b, spread = shared.value
         memo = _Memo(lambda word: float(w[_features(word)].sum()))
         for pdf in batches:
             out = []
@@ -126,7 +135,7 @@ def score(docs: DataFrame, model: ToxicityModel, *, key: str = "doc_id", text: s
                 if not parts:
                     out.append((0.0, 0, None, None, ""))
                     continue
-                p = _sigmoid(np.array([sum([memo[x] for x in found]) for _, _, found in parts]) + b)
+                p = _sigmoid(np.array([sum([memo[x] for x in found]) for _, _, found in parts]) + b - spread * np.log(len(parts)))
                 k = int(p.argmax())
                 bad = ",".join(f"{parts[i][0]}:{parts[i][1]}" for i in np.flatnonzero(p >= at_least))
                 out.append((float(1 - np.exp(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), len(parts), parts[k][0], parts[k][1], bad))

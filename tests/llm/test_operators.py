@@ -307,6 +307,19 @@ def test_line_dedup_paths_agree(spark):
     assert line_dedup.dedup(table(spark, [])).count() == 0
 
 
+def test_line_dedup_clashing_columns_and_repeated_rows(spark):
+    names = ["doc_id", "text", "source", "_bad", "_site", "bad", "kept", "n", "row", "site", "n_lines", "a.b"]
+    rows = [(i // 2, f"Menu\nown {i // 2}", "s", "b0", "mine", "b1", "k", 7, "r", "here", 99, "dot") for i in range(20)]
+    rows += [(50, "x" * 3_000_000 + "\nMenu", "s", "b0", "mine", "b1", "k", 7, "r", "here", 99, "dot")]
+    docs = spark.createDataFrame(rows, names)
+    for most in (0, 1000):
+        got = line_dedup.dedup(docs, broadcast_lines=most).collect()
+        assert len(got) == 21 and all(r.n_dropped == 1 and r.n_lines == 2 and "Menu" not in r.text for r in got)
+        assert {(r["_bad"], r["_site"], r.bad, r.kept, r.n, r.row, r.site, r["a.b"]) for r in got} == {("b0", "mine", "b1", "k", 7, "r", "here", "dot")}
+    exact = spark.createDataFrame([(i, "tie" if i < 3 else f"own {i}", "s") for i in range(30)], "doc_id long, text string, source string")
+    assert line_dedup.dedup(exact).where("n_dropped > 0").count() == 0  # 3 of 30 is not more than a tenth
+
+
 def test_decontamination_slots(spark):
     items = spark.createDataFrame([(1, "the train from Rome leaves at 12 and needs 3 hours to reach the north of Rome again")], "item_id long, text string")
     docs = table(spark, [
@@ -400,6 +413,51 @@ def test_classifiers_on_held_out_rows(spark, module, column):
     assert module.score(table(spark, ["x"]), empty).count() == 1
 
 
+def test_toxicity_of_long_harmless_texts_and_plain_scores(spark):
+    """Scores are the noisy-or of plain sums, and do not rise to 0.5 with the number of harmless sentences."""
+    d = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.fit(docs, labels.where("doc_id % 4 <> 0"), label="toxic")
+    held = docs.join(labels.where("doc_id % 4 = 0"), "doc_id").select("doc_id", "text", "toxic").collect()
+    harmless = " ".join(r.text for r in held if r.toxic == 0 and r.text)
+    texts = [harmless[:300_000], harmless[:30_000], None, "", "...", *[r.text for r in held[:150]], held[0].text]
+    got = {r.doc_id: r.score for r in toxicity.score(table(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        keep, parts = 1.0, [set(re.findall(r"\w+", x)) for x in re.split(r"[.!?\n]", t or "")]
+        parts = [p for p in parts if p]
+        for p in parts:
+            z = model.bias - model.spread * np.log(len(parts)) + sum(model.weights[f] for w in p for f in toxicity._features(w))
+            keep *= 1 - 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+        assert abs(got[i] - (1 - keep)) < 1e-6
+    assert got[0] < 0.5 and got[1] < 0.5 and got[2] == got[3] == got[4] == 0 and got[5] == got[len(texts) - 1]
+    flagged = {r.doc_id: r.score >= 0.5 for r in toxicity.score(spark.createDataFrame(held).select("doc_id", "text"), model).collect()}
+    assert sum(flagged[r.doc_id] for r in held if r.toxic == 1) >= 0.8 * sum(r.toxic == 1 for r in held)
+    assert sum(flagged[r.doc_id] for r in held if r.toxic == 0) <= 0.02 * sum(r.toxic == 0 for r in held)
+
+
+def test_quality_scores_are_plain_sums(spark):
+    good, bad = ["the cat sat on the mat and looked at the sea %d" % i for i in range(40)], ["zq%d xv jk%d !! qq" % (i, i) for i in range(40)]
+    rows = [(i, t * 5, int(i < 40)) for i, t in enumerate(good + bad)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    model = quality.fit(docs.drop("label"), docs.select("doc_id", "label"))
+    texts = [None, "", "x", good[3] * 400, bad[2], bad[2]]
+    odd = spark.createDataFrame([(i, t, 9.0, "w") for i, t in enumerate(texts)], "doc_id long, text string, score double, w string")
+    got = {r.doc_id: r for r in quality.score(odd, model, carry=["score", "w"]).collect()}
+    pack = model.coders()
+    for i, t in enumerate(texts):
+        x = np.zeros(3)
+        if t:
+            sizes = [[len(c.compress(t[a : a + 2048].encode())) for c in pack] for a in range(0, len(t), 2048)]
+            each = [(b - g) / (b + g) for g, b in sizes]
+            g, b = (sum(s[k] for s in sizes) for k in (0, 1))
+            x = np.array([(b - g) / (b + g), max(each), min(each)])
+        z = model.weights[0] + model.weights[1:] @ (10 * x)
+        assert abs(got[i].score - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9 and got[i].w == "w"
+    assert got[4].score == got[5].score and got[3].score > got[4].score
+    assert quality.score(docs.limit(0), model).count() == 0
+    assert quality._spread([b"%d" % i for i in range(30)], 4) == [b"0", b"9", b"19", b"29"]
+
+
 def test_toxicity_locates_sentences(spark):
     rng = random.Random(0)
     say = lambda: " ".join(rng.choice(["sun", "sea", "tree", "bird", "hill"]) for _ in range(5))
