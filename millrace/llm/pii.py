@@ -3,12 +3,12 @@
 Anchors are at-signs, plus signs, digits, address schemes and identifier cues.  Base kinds (email, ip, card, phone) are
 the leftmost non-overlapping matches of their patterns; a match that fails its check is dropped without another try.
 The added kinds are ``url`` (scheme to the end of the address), ``account`` (an identifier after a cue word, or an
-IBAN with valid check digits) and ``street`` (a number next to a street word).
+IBAN with valid check digits), ``street`` (a number next to a street word) and ``secret`` (the value set after a word for
+tokens, keys and passwords: in quotes as it stands, otherwise if it is long and mixed enough to be random).
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import ahocorasick
@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-KINDS = ("email", "ip", "card", "phone", "url", "account", "street")
+KINDS = ("email", "ip", "card", "phone", "url", "account", "street", "secret")
 _RANK = {k: i for i, k in enumerate(KINDS)}
 
 # Schemes, cue words and street words.
 SCHEMES = ("http://", "https://", "ftp://", "mailto:")
 CUES = ("account", "acct", "iban", "konto", "cuenta", "compte", "customer no", "user id", "passport")
+SECRETS = ("token", "secret", "password", "passwd", "passphrase", "api key", "api_key", "apikey", "access key", "access_key", "private key", "private_key", "bearer")
 STREETS = ("street", "avenue", "road", "boulevard", "lane", "straße", "strasse", "platz", "calle", "avenida", "rue")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -31,9 +32,12 @@ _IP = re.compile(r"([0-9]+)\.([0-9]+)\.([0-9]+)\.([0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _URL = re.compile(r"[^\s<>\"'|]+")
-_ACCOUNT = re.compile(r"[\s:#.=-]{0,4}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){2,8})|(?=[A-Z0-9-]*[0-9])[A-Z0-9][A-Z0-9-]{4,33})")
+_ACCOUNT = re.compile(r"(?: (?:no|nr|num|number)\b)?[\s:#.=-]{0,4}((?:[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{2,4}){2,8})|(?=[A-Z0-9-]*[0-9])[A-Z0-9][A-Z0-9-]{4,33})")
+_ASSIGNED = re.compile(r"[\"']?[ \t]{0,3}(?:[:=]|=>|:=)[ \t]{0,3}")
+_QUOTED = re.compile(r"([\"'`])([^\"'`\s]{6,})\1")
+_BARE = re.compile(r"[A-Za-z0-9+/_.~-]{8,}={0,2}")
 _NUMBER = re.compile(r"[ ,]{1,2}([0-9]{1,5}[a-z]?)\b")
-_BEFORE = re.compile(r"([0-9]{1,5}[a-z]?)[ ,]{1,2}(?:[\w.]+ ){0,3}$")
+_BEFORE = re.compile(r"(?<![A-Za-z0-9])([0-9]{1,5}[a-z]?)[ ,]{1,2}(?:[^\W\d][\w.]* ){0,3}$")
 
 
 def luhn(digits: str) -> bool:
@@ -59,7 +63,7 @@ def _automaton() -> ahocorasick.Automaton:
         auto.add_word(c, ("digit", 1))
     auto.add_word("@", ("at", 1))
     auto.add_word("+", ("plus", 1))
-    for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("street", STREETS)):
+    for kind, words in (("scheme", SCHEMES), ("cue", CUES), ("street", STREETS), ("secret", SECRETS)):
         for w in words:
             for form in {w, w.upper(), w.capitalize(), w.title()}:
                 auto.add_word(form, (kind, len(form)))
@@ -67,6 +71,23 @@ def _automaton() -> ahocorasick.Automaton:
     return auto
 
 
+def _random(value: str) -> bool:
+    """Whether a value without quotes looks drawn at random: digits and letters mixed, and few characters again and again."""
+    digits = sum(c.isdigit() for c in value)
+    return digits >= 2 and digits < len(value) and len(set(value)) >= min(8, len(value) // 2)
+
+
+def _secret(text: str, at: int):
+    """(start, end) of the value that is set at this place."""
+    m = _ASSIGNED.match(text, at)
+    if not m:
+        return None
+    if q := _QUOTED.match(text, m.end()):
+        return q.span(2)
+    b = _BARE.match(text, m.end())
+    return b.span() if b and _random(b[0]) else None
+
+
 def _email(text: str, at: int, floor: int):
     start = at
     while start > floor and text[start - 1] in _LOCAL:
@@ -80,7 +101,7 @@ def spans(text: str | None, auto: ahocorasick.Automaton | None = None) -> list[t
     if not text:
         return []
     found: list[tuple[str, int, int]] = []
-    email_end = ip_end = card_end = phone_end = url_end = account_end = street_end = 0
+    email_end = ip_end = card_end = phone_end = url_end = account_end = street_end = secret_end = 0
     last_digit = -2
     for stop, (what, size) in (auto or _automaton()).iter(text):
         at = stop - size + 1
@@ -91,7 +112,7 @@ def spans(text: str | None, auto: ahocorasick.Automaton | None = None) -> list[t
                 m = _IP.match(text, at)
                 if m:
                     ip_end = m.end()
-                    if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups()):
+                    if all(len(p := g.lstrip("0")) <= 3 and int(p or "0") <= 255 for g in m.groups()):
                         found.append(("ip", at, ip_end))
             if at >= card_end and (first or at == card_end):
                 m = _CARD.match(text, at)
@@ -123,6 +144,10 @@ def spans(text: str | None, auto: ahocorasick.Automaton | None = None) -> list[t
                 if iban_ok(value) or (" " not in value and sum(c.isdigit() for c in value) >= 5):
                     found.append(("account", m.start(1), m.start(1) + len(value)))
                     account_end = m.start(1) + len(value)
+        elif what == "secret":
+            if at >= secret_end and (at == 0 or not text[at - 1].isalnum()) and (span := _secret(text, stop + 1)):
+                found.append(("secret", *span))
+                secret_end = span[1]
         elif at >= street_end and (stop + 1 == len(text) or not text[stop + 1].isalnum()):
             if m := _NUMBER.match(text, stop + 1):
                 found.append(("street", at, m.end(1)))
@@ -134,21 +159,27 @@ def spans(text: str | None, auto: ahocorasick.Automaton | None = None) -> list[t
 
 
 def find(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, kind, start, end) arrays per document as ``spans`` array<struct>; documents without any have an empty array."""
+    """(key, spans): per row an array of (kind, start, end), empty where there are none.
+
+    Every row is read on its own and whole, repeated rows and null keys too; null and empty texts have no spans; spans that
+    start together are ordered as in ``KINDS``.  An empty table gives none; other columns play no part.
+    """
     span = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
-    schema = T.StructType([docs.schema[key], T.StructField("spans", T.ArrayType(span))])
+    schema = T.StructType([T.StructField("k", docs.schema[key].dataType), T.StructField("found", T.ArrayType(span))])
 
     def run(batches):
         auto = _automaton()
         for pdf in batches:
-            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, auto)] for t in pdf[text]]
-            yield pd.DataFrame({key: pdf[key], "spans": pd.Series(rows, dtype=object)})
+            rows = [[{"kind": k, "start": a, "end": b} for k, a, b in spans(t, auto)] for t in pdf["t"]]
+            yield pd.DataFrame({"k": pdf["k"], "found": pd.Series(rows, dtype=object)})
 
-    return docs.select(key, text).mapInPandas(run, schema)
+    found = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, schema)
+    return found.select(F.col("k").alias(key), F.col("found").alias("spans"))
 
 
 def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str = "redacted") -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets, in ``out``; overlapping spans are merged."""
+    """``docs`` with every span replaced by its kind in brackets, in ``out``, which replaces a column of that name; overlapping
+    spans are merged.  A null text stays null; all rows stay."""
     schema = docs.drop(out).withColumn(out, F.lit(None).cast("string")).schema
 
     def run(batches):
@@ -168,16 +199,12 @@ def redact(docs: DataFrame, *, key: str = "doc_id", text: str = "text", out: str
 
 
 def digest(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Counts and digests per document, derived from ``find``."""
-    listed = F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    base = F.filter("spans", lambda s: s["kind"].isin("email", "ip", "card", "phone"))
-    base = F.transform(base, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
-    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return find(docs, key=key, text=text).select(
-        key, *[count(k) for k in KINDS], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"), F.array_join(listed, ",").alias("spans")
-    )
-
-
-def sha256_of(listed: list[tuple[str, int, int]]) -> str:
-    """The digest of a span list, as ``digest`` writes it (used to compare with a plain scan)."""
-    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in listed).encode()).hexdigest()
+    """Per row of ``find``, counts, the digest of the base kinds, all spans as text, their number and the added kinds' counts."""
+    name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
+    base = F.transform(F.filter("found", lambda s: s["kind"].isin(*KINDS[:4])), name)
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    rows = find(docs, key=key, text=text)
+    return rows.select(F.col(key).alias("k"), F.col("spans").alias("found")).select(
+        F.col("k").alias(key), *[count(k) for k in KINDS[:4]], F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
+        F.array_join(F.transform("found", name), ",").alias("spans"), F.size("found").cast("long").alias("n_spans"), *[count(k) for k in KINDS[4:]],
+    )

@@ -197,9 +197,27 @@ def test_pii_base_kinds_match_plain_scan(spark):
 
 def test_pii_added_kinds_and_redaction(spark):
     t = "See https://a.example/x, account no: 12345678-AB; IBAN DE89370400440532013000, 12 Long Street."
-    assert [k for k, _, _ in pii.spans(t)] == ["url", "account", "street"] or "url" in {k for k, _, _ in pii.spans(t)}
+    assert [(k, t[a:b]) for k, a, b in pii.spans(t)] == [("url", "https://a.example/x"), ("account", "12345678-AB"), ("account", "DE89370400440532013000"), ("street", "12 Long Street")]
+    for text, values in (
+        ('a token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" b', ["04dbebab91ab85687d33eeaaf9ac699e1188f962"]),
+        ("api_key: 'sk-Ab9/x+Q==' and PASSWORD=hunter2hunter3", ["sk-Ab9/x+Q==", "hunter2hunter3"]),
+        ("the token was lost = nothing, secret = ordinary words, password: see below, tokens = 12", []),
+    ):
+        assert [text[a:b] for k, a, b in pii.spans(text) if k == "secret"] == values
     out = pii.redact(table(spark, [t, None, "mail me: a@b.cd"])).orderBy("doc_id").collect()
-    assert out[1].redacted is None and out[2].redacted == "mail me: [email]" and "[url]" in out[0].redacted
+    assert out[0].redacted == "See [url], account no: [account]; IBAN [account], [street]."
+    assert out[1].redacted is None and out[2].redacted == "mail me: [email]"
+
+
+def test_pii_odd_rows(spark):
+    """Long runs of digits, repeated rows, clashing names, null keys and empty tables."""
+    digits = "0" * 5000 + ".1.1.1 " + "9" * 5000 + ".1.1.1"
+    rows = [(1, digits), (1, digits), (1, "a@b.cd"), (None, "1.2.3.4"), (2, "x " * 1_000_000 + "+1 555 555 5555"), (3, ""), (4, None)]
+    docs = spark.createDataFrame([(t, i, "s", 5) for i, t in rows], "spans string, k long, text string, n_email int")
+    got = [tuple(r) for r in pii.digest(docs, key="k", text="spans").select("k", "n_email", "n_ip", "n_phone", "n_spans").collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, 1, 0, 1)] * 2 + [(1, 1, 0, 0, 1), (None, 0, 1, 0, 1), (2, 0, 0, 1, 1), (3, 0, 0, 0, 0), (4, 0, 0, 0, 0)], key=str)
+    assert pii.digest(docs.limit(0), key="k", text="spans").count() == 0
+    assert pii.digest(table(spark, ["x"])).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 def test_html(spark):
