@@ -2,14 +2,17 @@
 
 A window is ``window`` consecutive words.  Comparing all windows would move one row per word, so windows are first
 thinned without losing any: each is filed under its smallest half-window hash (its anchor), which equal windows share.
-A first pass counts anchors in count-min sketches per partition, merged by cell range; a second pass looks only at
-windows whose anchor is estimated to occur in two documents or more.  An estimate is never too low, so none is lost.
-
-Windows in a row with one anchor form a chunk.  Equal chunks are grouped exactly; a later document loses all of an
-equal chunk, and only for the first holder of each chunk are its single windows compared.  All minima are
-pre-aggregated before they are shuffled and joined back on, so a passage in a third of all documents is no hot group.
-The sketch has a fixed largest size (``max_bits``); beyond it the estimates let more windows through, and the
-result stays the same.
+A first pass counts anchors in count-min sketches per partition, merged by cell; a second pass looks only at windows whose
+anchor is estimated to occur twice or more.  An estimate is never too low, so none is lost.  The sketch has eight cells for
+each anchor.  Up to ``2**max_bits`` cells its bitmaps are sent to all executors; larger ones are tables of cells, to which
+the anchors of all documents are joined.
+
+Windows in a row with one anchor form a chunk.  Equal chunks are grouped exactly, and a later document loses all of an
+equal chunk.  Single windows are compared only between the first holders of chunks that differ and share an anchor.  The
+chunks are written once; minima are pre-aggregated and written as well, so that they are joined to the chunks as plain
+tables and Spark can split a passage that a third of all documents hold.
+
+A chunk or window is known by its anchor's hash and its own, 128 bits together.
 """
 
 from __future__ import annotations
@@ -19,7 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import Segments, mix64, word_hashes
+from millrace.llm.shared import Scratch, Segments, mix64, word_hashes
+
+#: Anchors up to which they are sent to all executors; beyond it they are shuffled.
+BROADCAST_ANCHORS = 500_000
 
 _ROWS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A3F6B))
 
@@ -84,76 +90,119 @@ def repeated_cells(docs: DataFrame, text: str, window: int, bits: int) -> list[n
     return maps
 
 
-def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50, max_bits: int = 26) -> DataFrame:
-    """(key, runs): per document with repeats, array of (start, n) runs of windows that a smaller key also has."""
+def _anchors_likely(rows: DataFrame, window: int, bits: int, scratch: Scratch) -> DataFrame:
+    """(id, f, likely): per text, the anchors that both rows of the sketch count twice or more, by joins on cells."""
+
+    def listed(batches):
+        for pdf in batches:
+            ids, marks, found = [], [], []
+            for i, f, t in zip(pdf["id"], pdf["f"], pdf["text"]):
+                got = _chunks(_words(t), window)
+                if got:
+                    each = np.unique(got[0])
+                    found.append(each)
+                    ids += [i] * len(each)
+                    marks += [f] * len(each)
+            if found:
+                every = np.concatenate(found)
+                cells = _cells(every, bits)
+                yield pd.DataFrame({"id": ids, "f": marks, "anchor": every.astype(np.int64), "c0": cells[0].astype(np.int64), "c1": cells[1].astype(np.int64)})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    left = scratch.save(rows.mapInPandas(listed, f"id {kind}, f long, anchor long, c0 long, c1 long"))
+    full = [scratch.save(left.groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)) for c in ("c0", "c1")]
+    for c, cells in zip(("c0", "c1"), full):
+        left = left.join(cells, c, "left_semi")
+    return scratch.save(left.groupBy("id", "f").agg(F.collect_list("anchor").alias("likely")))
+
+
+def covered(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50, max_bits: int = 28) -> DataFrame:
+    """(id, f, runs): per document with repeats, array of (start, n) runs of windows that a smaller key also has; f is the
+    text's hash, which tells rows of one key apart."""
     spark = docs.sparkSession
-    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.col(text).alias("text"))
+    scratch = Scratch(spark, "substring-dedup")
+    rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("f"), F.col(text).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
     chars = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = max(1, chars // 7 * 4 // window)
-    bits = min(max_bits, max(10, int(anchors * 8).bit_length()))
-    maps = spark.sparkContext.broadcast(repeated_cells(rows, "text", window, bits))
+    bits = max(10, int(anchors * 8).bit_length())
+    maps = None
+    if bits <= max_bits:
+        maps = spark.sparkContext.broadcast(repeated_cells(rows, "text", window, bits))  # two bitmaps of 2**max_bits bits at most
+        likely_rows = rows.withColumn("likely", F.lit(None).cast("array<long>"))
+    else:
+        likely_rows = rows.join(_anchors_likely(rows, window, bits, scratch), ["id", "f"])
 
     def likely(batches):
-        known = maps.value
         for pdf in batches:
             out = []
-            for i, t in zip(pdf["id"], pdf["text"]):
+            for i, f, t, listed in zip(pdf["id"], pdf["f"], pdf["text"], pdf["likely"]):
                 got = _chunks(_words(t), window)
                 if not got:
                     continue
                 hashes, first, stop, seg = got
-                ok = np.ones(len(hashes), bool)
-                for m, cells in zip(known, _cells(hashes, bits)):
-                    ok &= (m[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                if maps is None:
+                    ok = np.isin(hashes.astype(np.int64), listed)
+                else:
+                    ok = np.ones(len(hashes), bool)
+                    for m, cells in zip(maps.value, _cells(hashes, bits)):
+                        ok &= (m[cells >> np.uint64(3)] >> (np.uint8(7) - (cells & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
                 if not ok.any():
                     continue
                 whole = seg.at(first, stop + window - 1).astype(np.int64)
                 at = np.arange(stop[-1])
                 each = seg.at(at, at + window)
-                out += [(i, int(whole[c]), int(first[c]), int(stop[c] - first[c]), each[first[c] : stop[c]].tobytes()) for c in np.flatnonzero(ok)]
+                anchor = hashes.astype(np.int64)
+                out += [(i, f, int(anchor[c]), int(whole[c]), int(first[c]), int(stop[c] - first[c]), each[first[c] : stop[c]].tobytes()) for c in np.flatnonzero(ok)]
             if out:
-                yield pd.DataFrame(out, columns=["id", "chunk", "start", "n", "windows"])
+                yield pd.DataFrame(out, columns=["id", "f", "anchor", "chunk", "start", "n", "windows"])
 
     def windows(batches):
         for pdf in batches:
             n = pdf["n"].to_numpy()
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             yield pd.DataFrame({
-                "id": np.repeat(pdf["id"].to_numpy(), n), "start": (np.repeat(pdf["start"].to_numpy(), n) + step).astype(np.int32),
+                "id": np.repeat(pdf["id"].to_numpy(), n), "f": np.repeat(pdf["f"].to_numpy(), n), "anchor": np.repeat(pdf["anchor"].to_numpy(), n),
+                "start": (np.repeat(pdf["start"].to_numpy(), n) + step).astype(np.int32),
                 "w": np.concatenate([np.frombuffer(b, np.int64) for b in pdf["windows"]]) if len(pdf) else np.empty(0, np.int64),
             })
 
-    chunks = rows.mapInPandas(likely, f"id {rows.schema['id'].dataType.simpleString()}, chunk long, start int, n int, windows binary")
-    lowest = chunks.groupBy("chunk").agg(F.min("id").alias("m"))
-    joined = chunks.join(lowest, "chunk")
-    later = joined.where("id > m").select("id", "start", "n")
-    holders = joined.where("id = m").select("id", "start", "n", "windows")
-    single = holders.mapInPandas(windows, f"id {rows.schema['id'].dataType.simpleString()}, start int, w long")
-    shared = single.groupBy("w").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("w", "m")
-    first = single.join(shared, "w").where("id > m").select("id", "start", F.lit(1).alias("n"))
-    runs = later.union(first).groupBy("id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return runs.withColumnRenamed("id", key)
-
-
-def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50, max_bits: int = 26) -> DataFrame:
+    chunks = likely_rows.select("id", "f", "text", "likely").mapInPandas(likely, f"id {kind}, f long, anchor long, chunk long, start int, n int, windows binary")
+    chunks = scratch.save(chunks)
+    lowest = scratch.save(chunks.groupBy("anchor", "chunk").agg(F.min("id").alias("m"), F.max("id").alias("x")))
+    shared = scratch.save(lowest.where("m < x").select("anchor", "chunk", "m"))
+    later = chunks.select("id", "f", "anchor", "chunk", "start", "n").join(shared, ["anchor", "chunk"]).where("id > m").select("id", "f", "start", "n")
+    # anchors of chunks that differ, and their first holders
+    mixed = scratch.save(lowest.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor"))
+    some = chunks.join(F.broadcast(mixed) if mixed.count() <= BROADCAST_ANCHORS else mixed, "anchor", "left_semi")
+    holders = some.join(lowest.select("anchor", "chunk", F.col("m").alias("id")), ["anchor", "chunk", "id"], "left_semi")
+    single = scratch.save(holders.select("id", "f", "anchor", "start", "n", "windows").mapInPandas(windows, f"id {kind}, f long, anchor long, start int, w long"))
+    again = scratch.save(single.groupBy("anchor", "w").agg(F.min("id").alias("m"), F.max("id").alias("x")).where("m < x").select("anchor", "w", "m"))
+    first = single.join(again, ["anchor", "w"]).where("id > m").select("id", "f", "start", F.lit(1).alias("n"))
+    return later.union(first).groupBy("id", "f").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
+
+
+def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: int = 50, max_bits: int = 28) -> DataFrame:
     """(key, n_words, n_removed, kept): words left in each document, joined by one space.
 
-    ``key`` orders documents and identifies a text.  Null texts have no words; a null key keeps all its words; texts
-    shorter than a window are kept whole; rows repeated under one key do not count as earlier documents.
+    ``key`` orders documents.  Rows that repeat a key are judged one by one against smaller keys, never against each other.
+    Null and empty texts have no words; a null key keeps all its words and removes none elsewhere; texts shorter than a
+    window are kept whole, longer ones are read whole.  An empty table gives no rows; other columns play no part.
     """
     runs = covered(docs, key=key, text=text, window=window, max_bits=max_bits)
-    rows = docs.select(F.col(key), F.col(text).alias("text")).join(runs.hint("shuffle_hash"), key, "left")
+    rows = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("f"), F.col(text).alias("text"))
+    rows = rows.join(runs.hint("shuffle_hash"), ["id", "f"], "left").select("id", "text", "runs")
 
     def cut(batches):
         for pdf in batches:
             out = []
-            for i, t, found in zip(pdf[key], pdf["text"], pdf["runs"]):
+            for i, t, found in zip(pdf["id"], pdf["text"], pdf["runs"]):
                 words = _words(t)
                 gone = 0
                 if found is not None and len(found):
                     edge = np.zeros(len(words) + 1, np.int64)
                     a = np.array([r["start"] for r in found])
-                    b = np.minimum(a + np.array([r["n"] for r in found]) + window - 1, len(words))
+                    b = a + np.array([r["n"] for r in found]) + window - 1
                     np.add.at(edge, a, 1)
                     np.add.at(edge, b, -1)
                     keep = np.cumsum(edge[:-1]) == 0
@@ -162,9 +211,10 @@ def dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", window: i
                 else:
                     kept = b" ".join(words)
                 out.append((i, len(words), gone, kept.decode()))
-            yield pd.DataFrame(out, columns=[key, "n_words", "n_removed", "kept"])
+            yield pd.DataFrame(out, columns=["id", "n_words", "n_removed", "kept"])
 
-    return rows.mapInPandas(cut, f"{key} {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    left = rows.mapInPandas(cut, f"id {docs.schema[key].dataType.simpleString()}, n_words long, n_removed long, kept string")
+    return left.withColumnRenamed("id", key)
 
 
 def sql(window: int = 50) -> str:

@@ -166,11 +166,23 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup.dedup(table(spark, [])).count() == 0
 
 
-def test_substring_dedup_with_saturated_sketch(spark, corpus):
-    """A sketch that is far too small lets every window through and changes nothing."""
-    a = substring_dedup.dedup(table(spark, corpus), window=20, max_bits=10)
-    b = substring_dedup.dedup(table(spark, corpus), window=20)
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+def test_substring_dedup_without_broadcasts(spark, corpus, monkeypatch):
+    """A sketch that is a table of cells gives the same result."""
+    b = substring_dedup.dedup(table(spark, corpus), window=20).collect()
+    monkeypatch.setattr(substring_dedup, "BROADCAST_ANCHORS", 0)
+    a = substring_dedup.dedup(table(spark, corpus), window=20, max_bits=4).collect()
+    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+
+
+def test_substring_dedup_odd_rows(spark):
+    """Repeated keys, null keys, a long text and clashing names."""
+    rng = random.Random(2)
+    say = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(n))
+    p, long = say(60), say(200_000)
+    rows = [(1, p), (1, say(5) + " " + p), (2, f"x {p} y"), (2, p), (2, p), (None, p), (3, long), (4, say(300) + " " + long), (5, None), (6, "")]
+    docs = spark.createDataFrame([(i, t, 1, "a") for i, t in rows], "start long, f string, id int, anchor string")
+    got = sorted((r.start or 0, r.n_words, r.n_removed) for r in substring_dedup.dedup(docs, key="start", text="f").collect())
+    assert got == sorted([(1, 60, 0), (1, 65, 0), (2, 62, 60), (2, 60, 60), (2, 60, 60), (0, 60, 0), (3, 200_000, 0), (4, 200_300, 200_000), (5, 0, 0), (6, 0, 0)])
 
 
 def plain_spans(t):
