@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,3 +104,14 @@ def distributable(parsed: Column) -> Column:
 def lightweight(parsed: Column) -> Column:
     """Version queries and mere preprocessing."""
     return has(parsed["options"], "-dumpversion", "-dumpmachine", "-E")
+
+
+def cacheable(argv: Column, source: Column) -> Column:
+    """Whether a result may be kept: the source names no macro of the time, or the command line defines all of them."""
+    macros = ("__TIME__", "__DATE__", "__TIMESTAMP__")
+    defined = reduce(lambda a, b: a & b, [_defines(argv, m) for m in macros])
+    return defined | ~reduce(lambda a, b: a | b, [source.contains(m) for m in macros])
+
+
+def _defines(argv: Column, macro: str) -> Column:
+    return F.exists(argv, lambda x: x.startswith(f"-D{macro}="))

@@ -7,8 +7,6 @@ import json
 import struct
 
 import pandas as pd
-import xxhash
-import zstandard
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,34 +17,6 @@ _LOCATIONS = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in (
 _HEADER = struct.Struct("<III")
 
 
-@F.pandas_udf(T.DecimalType(20, 0))
-def xxhash64_seed0(s: pd.Series) -> pd.Series:
-    """Unsigned xxHash64 with seed 0, which the built-in function (seed 42, signed) does not give."""
-    from decimal import Decimal
-
-    return s.map(lambda x: None if x is None else Decimal(xxhash.xxh64_intdigest(x.encode() if isinstance(x, str) else bytes(x))))
-
-
-@F.pandas_udf(T.BinaryType())
-def zstd_compress(s: pd.Series) -> pd.Series:
-    coder = zstandard.ZstdCompressor(level=3)
-    return s.map(lambda x: None if x is None else coder.compress(bytes(x)))
-
-
-@F.pandas_udf(T.BinaryType())
-def zstd_decompress(s: pd.Series) -> pd.Series:
-    """Null for data that is not one complete frame."""
-    coder = zstandard.ZstdDecompressor()
-
-    def one(x):
-        try:
-            return None if x is None else coder.decompressobj().decompress(bytes(x))
-        except zstandard.ZstdError:
-            return None
-
-    return s.map(one)
-
-
 def encode_entry(exit_code: int, stdout: bytes, stderr: bytes, files: bytes) -> bytes:
     """Header of three little-endian sizes, metadata with a digest of the body, and the body."""
     body = stdout + stderr + files

@@ -42,13 +42,13 @@ def encode_chunks(parts: Column) -> Column:
 def decode_chunks(message: Column, allow_empty: bool = True) -> Column:
     """Parts of a multi-chunk message as array<binary>; null if the header or the total length is wrong."""
     header = F.substring_index(message.cast("string"), "\r\n", 1)
-    sizes = F.transform(F.split(header, ","), lambda x: x.try_cast("int"))
+    sizes = F.transform(F.split(header, ","), lambda x: x.try_cast("bigint"))
     good = message.cast("string").contains("\r\n") & header.rlike("^[0-9]{1,9}(,[0-9]{1,9})*$")
-    good = good & (F.aggregate(sizes, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) + F.octet_length(header) + 2 == F.octet_length(message))
+    good = good & (F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))) + F.octet_length(header) + 2 == F.octet_length(message))
     if not allow_empty:
         good = good & F.forall(sizes, lambda x: x > 0)
-    start = lambda i: F.octet_length(header) + 3 + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
-    parts = F.transform(sizes, lambda x, i: F.substring(message.cast("binary"), start(i), x))
+    start = lambda i: (F.octet_length(header) + 3 + F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x)).cast("int")
+    parts = F.transform(sizes, lambda x, i: F.substring(message.cast("binary"), start(i), x.cast("int")))
     return F.when(message == F.lit("").cast("binary"), F.array().cast("array<binary>")).when(good, parts)
 
 
@@ -64,3 +64,14 @@ def apply_patch(data: Column, locations: Column, path: Column) -> Column:
 
     fits = F.forall(locations, lambda at: F.octet_length(path) <= at["total_size"] - at["suffix_to_keep"])
     return F.when(fits, F.aggregate(locations, data, one))
+
+
+def add_checksum(body: Column) -> Column:
+    """A body with its SHA-256, in hex, before it."""
+    return F.concat(F.sha2(body, 256).cast("binary"), body)
+
+
+def checked_body(data: Column) -> Column:
+    """The body after its checksum; null if it is too short or does not match."""
+    body = F.substring(data, F.lit(65), F.octet_length(data))
+    return F.when((F.octet_length(data) >= 64) & (F.substring(data, F.lit(1), F.lit(64)) == F.sha2(body, 256).cast("binary")), body)

@@ -7,8 +7,6 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Characters that the shell escape puts a backslash before.
-SHELL_SPECIAL = " ><!\"#$&()*,:;?@[\\]`{}"
 _CONTROL = (("\a", "\\a"), ("\b", "\\b"), ("\f", "\\f"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\v", "\\v"))
 #: Longest path.
 PATH_MAX = 4096
@@ -45,15 +43,16 @@ def command_line(words: Column, program: Column | None = None) -> Column:
 
 
 def parse_size(s: Column) -> Column:
-    """Bytes of ``123``, ``123B``, ``2K``, ``3M`` or ``1G``; null for anything else."""
-    n = F.regexp_extract(s, r"^([0-9]{1,18})[GMKB]?$", 1).try_cast("bigint")
-    unit = F.regexp_extract(s, r"^[0-9]{1,18}([GMKB]?)$", 1)
-    return n * F.when(unit == "G", F.lit(1 << 30)).when(unit == "M", F.lit(1 << 20)).when(unit == "K", F.lit(1 << 10)).otherwise(F.lit(1))
+    """Bytes of ``123``, ``123B``, ``2K``, ``3M`` or ``1G``; null for anything else, and for more than 63 bits."""
+    n = F.regexp_extract(s, r"^([0-9]+)[GMKB]?$", 1).try_cast("bigint")
+    unit = F.regexp_extract(s, r"^[0-9]+([GMKB]?)$", 1)
+    return F.try_multiply(n, F.when(unit == "G", F.lit(1 << 30)).when(unit == "M", F.lit(1 << 20)).when(unit == "K", F.lit(1 << 10)).otherwise(F.lit(1)).cast("bigint"))
 
 
 def parse_cache_dirs(s: Column) -> Column:
-    """array<struct(size, path)> of ``size,path:size,path``."""
-    return F.transform(split_parts(s, ":"), lambda x: F.struct(parse_size(F.split(x, ",")[0]).alias("size"), F.split(x, ",")[1].alias("path")))
+    """array<struct(size, path)> of ``size,path:size,path``; an entry without a comma has a null path."""
+    part = lambda x, i: F.get(F.split(x, ",", 2), F.lit(i))
+    return F.transform(split_parts(s, ":"), lambda x: F.struct(parse_size(part(x, 0)).alias("size"), part(x, 1).alias("path")))
 
 
 def directory_weight(size: Column) -> Column:
@@ -101,7 +100,7 @@ def neutral_linemarkers(line: Column, root: Column, fake: str = "/opt/compiler-r
     """``# n "root/..."`` lines with the compiler's root replaced; other lines as they are."""
     at = F.regexp_extract(line, '^# [0-9]+ "(.*)"', 1)
     head = F.regexp_extract(line, '^(# [0-9]+ ")', 1)
-    return F.when((root != "") & (head != "") & at.startswith(root), F.concat(head, F.lit(fake), F.substring(line, F.length(head) + F.length(root) + 1, F.lit(1 << 20)))).otherwise(line)
+    return F.when((root != "") & (head != "") & at.startswith(root), F.concat(head, F.lit(fake), F.substring(line, F.length(head) + F.length(root) + 1, F.length(line)))).otherwise(line)
 
 
 def padded_workspace(base: Column, limit: int = PATH_MAX - 30) -> Column:

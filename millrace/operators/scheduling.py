@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from millrace.streaming.run import shared_dir
+
+#: Rows up to which tables made from the registry are sent to all executors.
+BROADCAST_ROWS = 500_000
 #: Longest lease and wait that are accepted, in milliseconds.
 MAX_LEASE_MS, MAX_WAIT_MS = 30_000, 10_000
 
@@ -68,49 +72,13 @@ def pick_servants(requests: DataFrame, servants: DataFrame) -> DataFrame:
     best = ok.groupBy("env", "min_version", "ip").agg(F.min(order).alias("best"), F.min(F.struct("utilization", "registry_ord")).alias("own"))
     rank = F.row_number().over(W.partitionBy("env", "min_version").orderBy("best"))
     first = best.withColumn("rank", rank).where("rank <= 2").select("env", "min_version", F.col("ip").alias("at"), F.col("best.registry_ord").alias("pick"), "rank")
-    pairs = requests.join(first, ["env", "min_version"]).where("at <> requestor_ip")
-    other = pairs.groupBy("request_id").agg(F.min_by("pick", "rank").alias("pick"))
+    first = first.groupBy("env", "min_version").agg(F.collect_list(F.struct("rank", "at", "pick")).alias("best"))  # two at most
     own = best.select("env", "min_version", F.col("ip").alias("requestor_ip"), F.col("own.registry_ord").alias("self"))
-    got = requests.join(other, "request_id", "left").join(own, ["env", "min_version", "requestor_ip"], "left")
-    return got.select("request_id", F.coalesce("pick", "self").alias("registry_ord")).where("registry_ord is not null")
-
-
-def allocate_in_sequence(requests: DataFrame, servants: DataFrame) -> DataFrame:
-    """Exact sequential allocation: each pick raises its host's load before the next request is served.
-
-    Requests of one environment depend on each other and are served in order of ``request_id``; environments are separate
-    groups.  The group's state is its hosts (bounded by the registry), and requests stream through it in order.
-    """
-    import pandas as pd
-
-    reqs = requests.select("env", "request_id", "requestor_ip", "min_version")
-    hosts = servants.withColumn("env", F.explode(F.array_distinct("environments")))
-
-    def serve(asked: pd.DataFrame, up: pd.DataFrame) -> pd.DataFrame:
-        up = up.sort_values("registry_ord").to_dict("records")
-        out = []
-        for r in asked.sort_values("request_id").itertuples(index=False):
-            best = None
-            known = [h for h in up if h["max_tasks"] and h["version"] >= r.min_version]
-            for h in known:
-                run = h["running_tasks"]
-                low = h["total_memory_gib"] and h["memory_available_gib"] < 10
-                room = run if low else min(h["max_tasks"], max(h["num_processors"] - max(h["current_load"] - run, 0), 0))
-                if run >= room:
-                    continue
-                mine = h["observed_location"].rsplit(":", 1)[0] == r.requestor_ip
-                tier = 2 if mine else 0 if h["priority"] == 1 and run * 2 < h["num_processors"] else 1
-                rank = (tier, run / room, h["registry_ord"])
-                if best is None or rank < best[0]:
-                    best = (rank, h)
-            if best:
-                best[1]["running_tasks"] += 1
-                best[1]["current_load"] += 1
-            status = "granted" if best else "timeout" if known else "environment_not_found"
-            out.append((r.request_id, best[1]["registry_ord"] if best else None, status))
-        return pd.DataFrame(out, columns=["request_id", "registry_ord", "status"]).astype({"registry_ord": "Int64"})
-
-    return reqs.groupBy("env").cogroup(hosts.groupBy("env")).applyInPandas(serve, "request_id long, registry_ord long, status string")
+    # the registry bounds both tables; while they are small, no request is shuffled
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    got = requests.join(small(first), ["env", "min_version"], "left").join(small(own), ["env", "min_version", "requestor_ip"], "left")
+    other = F.array_min(F.filter("best", lambda x: x["at"] != F.col("requestor_ip")))["pick"]
+    return got.select("request_id", F.coalesce(other, "self").alias("registry_ord")).where("registry_ord is not null")
 
 
 def cluster_rollup(servants: DataFrame) -> DataFrame:
@@ -122,3 +90,17 @@ def cluster_rollup(servants: DataFrame) -> DataFrame:
     )
     left = F.col("capacity") - F.col("running") - F.col("capacity_unavailable")
     return s.withColumn("capacity_available", F.greatest(left, F.lit(0)))
+
+
+def numbered(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
+    """``rows`` with ``id``, consecutive numbers from 1 in order of a unique ``key``, without sorting all rows in one task.
+
+    Rows are dealt out by ranges of the key; each range is numbered on its own and moved by the sizes of those before it.
+    """
+    shared_dir(rows.sparkSession)
+    # written, as the bounds of the ranges come from a sample and must not differ between two readings
+    parts = rows.repartitionByRange(ranges, key).withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"))  # one row for each range
+    ahead = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(W.partitionBy("part").orderBy(key))
+    return parts.join(F.broadcast(sizes.select("part", ahead.alias("ahead"))), "part").withColumn("id", F.col("ahead") + place).drop("part", "ahead")

@@ -69,7 +69,7 @@ QUERIES = {
     "j8_file_digest": lambda s, d: fx.cache_entries(s, d).alias("a").join(
         fx.cache_entries(s, d).where("seq % 2 = 0").select("key", "size", "last_used", F.col("seq").alias("known")), ["key", "size", "last_used"]).select("seq", "known"),
     "j11_consistent_hash": lambda s, d: _placed(s, d).select("key", "node"),
-    "j12_bloom_prefilter": lambda s, d: _wanted(s, d).join(_entries(s, d).select("key"), "key", "left_semi").select("seq"),
+    "j12_key_prefilter": lambda s, d: _wanted(s, d).join(_entries(s, d).select("key"), "key", "left_semi").select("seq"),
     "j16_misplaced": lambda s, d: placement.misplaced(_with_path(_placed(s, d)).select("key", F.col("path").alias("expected"),
         F.when(F.col("size") % 5 == 0, F.concat(F.lit("old/"), "key")).otherwise(F.col("path")).alias("path"))),
     "j17_outcome": lambda s, d: _outcomes(s, d).select("task_id", "outcome"),
@@ -119,7 +119,7 @@ SQL = {
     "j7_environment_path": _v("with p as (select env, min(registry_ord) as provider from (select unnest(environments) as env, registry_ord from servants) group by env) select request_id, provider from requests join p using (env)", "servants", "requests"),
     "j8_file_digest": _v("select a.seq, b.seq as known from cache_entries a join cache_entries b on a.key = b.key and a.size = b.size and a.last_used = b.last_used where b.seq % 2 = 0", "cache_entries"),
     "j11_consistent_hash": _e("select key, node from placed", _RING),
-    "j12_bloom_prefilter": _e("select seq from wanted where key in (select key from entries)", _WANTED),
+    "j12_key_prefilter": _e("select seq from wanted where key in (select key from entries)", _WANTED),
     "j16_misplaced": _e("select key, path as expected, 'old/' || key as path, 'move' as action from paths where size % 5 = 0", _RING, _PATH),
     "j17_outcome": _t("select task_id, outcome from outc"),
     "a2_directory_usage": _e("select regexp_replace(path, '/[^/]*$', '') as directory, count(*) as entries, sum(size)::bigint as bytes from paths group by 1", _RING, _PATH),

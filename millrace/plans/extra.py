@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace import fixtures as fx
-from millrace.operators import placement, scheduling
+from millrace.operators import placement
 from millrace.plans import cache
 
 _t = fx.table
@@ -47,7 +47,6 @@ QUERIES = {
         "registry_ord", F.regexp_extract("l", r"^MemAvailable:\s+([0-9]+) kB$", 1).cast("bigint").alias("kib")),
     "p21_admission": _admission,
     "t2_zombie_leases": _zombies,
-    "t4_allocation_status": lambda s, d: scheduling.allocate_in_sequence(fx.requests(s, d), fx.servants(s, d)).groupBy("status").agg(F.count("*").alias("n")),
     "t6_prefetch": lambda s, d: fx.requests(s, d).groupBy("env", F.to_date("submitted_at").alias("day")).agg(F.count("*").alias("immediate"), F.lit(1).cast("bigint").alias("prefetch")),
     "m3_rebuild_output": lambda s, d: fx.tasks(s, d).selectExpr("task_id", "exit_code >= 0 as has_files", "exit_code <> 0 or task_id % 6 <> 0 as usable"),
     "m4_output_suffix": lambda s, d: fx.tasks(s, d).where("exit_code = 0").selectExpr("task_id", "substr(concat('out', task_id, '.o'), 4 + length(task_id)) as suffix"),
@@ -66,7 +65,7 @@ QUERIES = {
     "x_top_k": lambda s, d: _t(s, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").select("o_orderkey", "o_totalprice").limit(20),
     "x_tumbling_window": lambda s, d: _t(s, d, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("day"), "event_type", "n"),
     "x_session_window": lambda s, d: _t(s, d, "events").groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("began"), "n"),
-    "x_top_share": lambda s, d: _t(s, d, "lineitem").groupBy("l_suppkey").agg(_tot()).withColumn("rn", F.row_number().over(W.orderBy(F.desc("q"), "l_suppkey"))).where("rn <= 10").select("l_suppkey", "q"),
+    "x_top_share": lambda s, d: _t(s, d, "lineitem").groupBy("l_suppkey").agg(_tot()).orderBy(F.desc("q"), "l_suppkey").limit(10).select("l_suppkey", "q"),
     "x_json_maps": lambda s, d: _t(s, d, "events").select("event_id", F.map_values(F.from_json("props", "map<string,bigint>"))[0].alias("k")),
     "x_approximate": lambda s, d: _t(s, d, "lineitem").agg(F.approx_count_distinct("l_partkey").alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median")),
 }

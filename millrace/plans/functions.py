@@ -82,7 +82,8 @@ QUERIES = {
     "f27_encode_chunks": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select("conv_id", F.sha2(framing.encode_chunks(F.col("t.text")), 256).alias("v")),
     "f28_decode_chunks": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("t")).select(
         "conv_id", F.posexplode(framing.decode_chunks(framing.encode_chunks(F.col("t.text")).cast("binary"))).alias("i", "b")).select("conv_id", F.col("i").cast("bigint").alias("i"), F.sha2("b", 256).alias("v")),
-    "f30_checksum": _docs(lambda: F.sha2(F.substring(F.col("text").cast("binary"), 1, 64), 256) == F.sha2(F.col("text").cast("binary"), 256)),
+    "f30_checksum": lambda s, d: fx.table(s, d, "documents").select("doc_id", framing.add_checksum(F.coalesce("text", F.lit("")).cast("binary")).alias("b")).select(
+        "doc_id", F.sha2(framing.checked_body(F.when(F.col("doc_id") % 5 == 0, F.concat("b", F.lit("x").cast("binary"))).when(F.col("doc_id") % 5 == 1, F.substring("b", F.lit(1), F.lit(60))).otherwise(F.col("b"))), 256).alias("v")),
     "f32_json": lambda s, d: fx.servants(s, d).select("registry_ord", F.to_json(F.struct(F.col("max_tasks").cast("string").alias("max_tasks"), F.col("priority"), F.when(F.col("registry_ord") % 2 == 0, F.col("observed_location")).alias("location")), {"ignoreNullFields": "false"}).alias("v")),
     "f33_apply_patch": lambda s, d: fx.table(s, d, "part").selectExpr("p_partkey as id", "concat('head', rpad('/long/workspace', 40, 'A'), p_name, unhex('00'), 'tail') as data", "cast(length(p_name) as int) as keep").select(
         "id", F.hex(framing.apply_patch(F.col("data").cast("binary"), F.expr("array(named_struct('position', 4, 'total_size', 40 + keep, 'suffix_to_keep', keep))"), F.concat(F.lit("/w/"), F.col("id").cast("string")))).alias("v")),
@@ -102,7 +103,7 @@ QUERIES = {
     "p8_distributable": lambda s, d: _cl(s, d).select("id", F.coalesce(arguments.distributable(F.col("p")), F.lit(False)).alias("v")),
     "p9_lightweight": lambda s, d: _cl(s, d).select("id", arguments.lightweight(F.col("p")).alias("v")),
     "p10_small_input": lambda s, d: fx.table(s, d, "documents").where(F.octet_length("text") < 8192).select("doc_id"),
-    "p11_cacheable": lambda s, d: fx.command_lines(s, d).select("id", (F.forall(F.array(*[F.lit(x) for x in ("-D__TIME__=", "-D__DATE__=", "-D__TIMESTAMP__=")]), lambda m: F.exists("argv", lambda a: a.startswith(m))) | (F.col("id") % 2 == 0)).alias("v")),
+    "p11_cacheable": lambda s, d: fx.command_lines(s, d).select("id", arguments.cacheable(F.col("argv"), F.concat(F.lit("int main() { return "), F.when(F.col("id") % 4 == 0, "__TIMESTAMP__").when(F.col("id") % 4 == 1, "__DATE__").when(F.col("id") % 4 == 2, "TIME").otherwise("0"), F.lit("; }"))).alias("v")),
     "p12_submit_validation": lambda s, d: fx.tasks(s, d).selectExpr("task_id", "case when requestor <= 1 then 'bad pid' when cache_control not between 0 and 2 then 'bad cache control' when digest = '' and cache_control <> 0 then 'no digest' end as v"),
     "p13_no_wrappers": lambda s, d: _parts(s, d).where(~(F.col("compiler").endswith("ccache") | F.col("compiler").endswith("distcc") | F.col("compiler").endswith("icecc"))).select("id"),
     "p14_executable": lambda s, d: _parts(s, d).selectExpr("id", "(p_size & 8) <> 0 and id % 3 = 0 or (p_size & 4) <> 0 and id % 3 = 1 or (p_size & 1) <> 0 as v"),
@@ -111,13 +112,14 @@ QUERIES = {
     "p19_filter_request": lambda s, d: _parts(s, d).selectExpr("id", "id % 50 <= p_size as v"),
     "p20_alive": lambda s, d: _parts(s, d).selectExpr("id", "element_at(array('R', 'S', 'Z', 'x', 'D', 'X'), cast(1 + id % 6 as int)) not in ('Z', 'x', 'X') as v"),
     "a13_all_any": lambda s, d: fx.command_lines(s, d).select("id", F.forall("argv", lambda a: a != "").alias("every"), F.exists("argv", lambda a: a == "-E").alias("some")),
-    "a16_digest_dump": lambda s, d: fx.cache_entries(s, d).groupBy("tenant").agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("seq").cast("string"), "size"))))).alias("j")).select("tenant", F.size(F.from_json("j", "map<string,bigint>")).cast("bigint").alias("n")),
+    "a16_digest_dump": lambda s, d: fx.cache_entries(s, d).groupBy("key").agg(F.max_by(F.struct("seq", "size"), "seq").alias("last")).select("key", F.to_json("last").alias("v")),
     "j6_compilers_changed": lambda s, d: fx.servants(s, d).where("registry_ord % 3 <> 0").select("registry_ord").withColumn("old", F.lit(True)).join(
         fx.servants(s, d).where("registry_ord % 4 <> 0").select("registry_ord").withColumn("new", F.lit(True)), "registry_ord", "full").where("old is null or new is null").select("registry_ord", F.when(F.col("old").isNull(), "found").otherwise("gone").alias("change")),
     "j10_patches": lambda s, d: fx.tasks(s, d).where("task_id % 3 = 0").selectExpr("task_id", "concat('.', task_id % 4) as suffix").join(
         fx.tasks(s, d).where("task_id % 2 = 0").selectExpr("task_id", "concat('.', task_id % 8) as suffix", "task_id % 100 as position"), ["task_id", "suffix"], "left").selectExpr("task_id", "suffix", "coalesce(position, 0) as position"),
     "j14_process_task": lambda s, d: fx.tasks(s, d).selectExpr("requestor as pid", "task_id").join(fx.heartbeats(s, d).selectExpr("k as pid").distinct(), "pid").select("pid", "task_id"),
-    "j15_positional": lambda s, d: fx.tasks(s, d).groupBy("requestor").agg(F.sort_array(F.collect_list("task_id")).alias("ids")).select("requestor", F.explode(F.arrays_zip("ids", F.transform("ids", lambda x: x % 3 == 0).alias("ok"))).alias("z")).select(F.col("z.ids").alias("task_id"), F.col("z.ok").alias("ok")),
+    "j15_positional": lambda s, d: fx.tasks(s, d).select("requestor", F.floor(F.col("task_id") / 64).alias("call"), "task_id").groupBy("requestor", "call").agg(F.sort_array(F.collect_list("task_id")).alias("ids")).select(
+        F.explode(F.arrays_zip("ids", F.transform("ids", lambda x: x % 3 == 0).alias("ok"))).alias("z")).select(F.col("z.ids").alias("task_id"), F.col("z.ok").alias("ok")),  # a call names 64 tasks at most
     "o3_sorted_names": lambda s, d: fx.servants(s, d).select("registry_ord", F.array_join(F.sort_array("environments"), ",").alias("v")),
     "o5_first_match": lambda s, d: fx.command_lines(s, d).select("id", F.get(F.filter("argv", lambda a: a.startswith("-D")), F.lit(0)).alias("v")),
 }
@@ -152,7 +154,7 @@ SQL = {
     "f25_percent_encoding": "select conv_id, turn, replace(replace(url_encode(text), '*', '*'), '~', '%7E') as v, true as same from conversations",
     "f27_encode_chunks": "select conv_id, sha256(string_agg(strlen(text)::varchar, ',' order by turn, text) || chr(13) || chr(10) || string_agg(text, '' order by turn, text)) as v from conversations group by 1",
     "f28_decode_chunks": "select conv_id, row_number() over (partition by conv_id order by turn, text) - 1 as i, sha256(text) as v from conversations",
-    "f30_checksum": "select doc_id, strlen(text) <= 64 as v from documents",
+    "f30_checksum": "select doc_id, case when doc_id % 5 > 1 then sha256(coalesce(text, '')) end as v from documents",
     "f32_json": _v("""select registry_ord, '{"max_tasks":"' || max_tasks || '","priority":' || priority || ',"location":' || case when registry_ord % 2 = 0 then '"' || observed_location || '"' else 'null' end || '}' as v from servants""", "servants"),
     "f33_apply_patch": """select id, hex(encode('head/w/' || id || p_name) || repeat('\\x00'::blob, 40 - 3 - length(id::varchar)) || '\\x00'::blob || encode('tail')) as v from (select p_partkey as id, p_name from part)""",
     "f34_expected_path": _p("case when id % 2 = 0 then '/work/' else '/abs/' end || 'out/' || id as v"),
@@ -170,7 +172,7 @@ SQL = {
     "p8_distributable": _c("c and coalesce(x in ('c', 'c++'), true) and not dash and len(coalesce(files, [])) = 1 and not regexp_matches(files[1], '\\.[sS]$') as v"),
     "p9_lightweight": _c("light as v"),
     "p10_small_input": "select doc_id from documents where strlen(text) < 8192",
-    "p11_cacheable": _v("select id, len(list_filter(argv, lambda a: regexp_matches(a, '^-D__(TIME|DATE|TIMESTAMP)__='))) = 3 or id % 2 = 0 as v from command_lines", "command_lines"),
+    "p11_cacheable": _v("select id, id % 4 > 1 or (len(list_filter(argv, lambda a: starts_with(a, '-D__TIME__='))) > 0 and len(list_filter(argv, lambda a: starts_with(a, '-D__DATE__='))) > 0 and len(list_filter(argv, lambda a: starts_with(a, '-D__TIMESTAMP__='))) > 0) as v from command_lines", "command_lines"),
     "p12_submit_validation": _v("select task_id, case when requestor <= 1 then 'bad pid' when cache_control not between 0 and 2 then 'bad cache control' when digest = '' and cache_control <> 0 then 'no digest' end as v from tasks", "tasks"),
     "p13_no_wrappers": f"with {_PARTS} select id from parts where not regexp_matches(compiler, '(ccache|distcc|icecc)$')",
     "p14_executable": _p("(p_size & 8) <> 0 and id % 3 = 0 or (p_size & 4) <> 0 and id % 3 = 1 or (p_size & 1) <> 0 as v"),
@@ -179,7 +181,7 @@ SQL = {
     "p19_filter_request": _p("id % 50 <= p_size as v"),
     "p20_alive": _p("(['R', 'S', 'Z', 'x', 'D', 'X'])[1 + id % 6] not in ('Z', 'x', 'X') as v"),
     "a13_all_any": _v("select id, not list_contains(argv, '') as every, list_contains(argv, '-E') as some from command_lines", "command_lines"),
-    "a16_digest_dump": _v("select tenant, count(*) as n from cache_entries group by 1", "cache_entries"),
+    "a16_digest_dump": _v("select key, '{\"seq\":' || max(seq) || ',\"size\":' || arg_max(size, seq) || '}' as v from cache_entries group by 1", "cache_entries"),
     "j6_compilers_changed": _v("select registry_ord, case when registry_ord % 3 = 0 then 'found' else 'gone' end as change from servants where (registry_ord % 3 = 0) <> (registry_ord % 4 = 0)", "servants"),
     "j10_patches": _v("""select a.task_id, a.suffix, coalesce(b.position, 0) as position from (select task_id, '.' || task_id % 4 as suffix from tasks where task_id % 3 = 0) a
   left join (select task_id, '.' || task_id % 8 as suffix, task_id % 100 as position from tasks where task_id % 2 = 0) b using (task_id, suffix)""", "tasks"),

@@ -40,13 +40,12 @@ QUERIES = {
     "p7_tokens": lambda s, d: fx.requests(s, d).where(F.col("token").isin(*_USER)).select("request_id", "token"),
     "p18_bounds": lambda s, d: fx.requests(s, d).where(F.col("wait_ms") <= scheduling.MAX_WAIT_MS).select("request_id", "wait_ms"),
     "w1_pick_servant": lambda s, d: scheduling.pick_servants(fx.requests(s, d), fx.servants(s, d)),
-    "j13_sequential_allocation": lambda s, d: scheduling.allocate_in_sequence(fx.requests(s, d), fx.servants(s, d)),
     "j3_unknown_tasks": lambda s, d: leases.unknown_tasks(_reports(s, d), _grants(s, d)),
     "j3_permitted_tasks": lambda s, d: leases.permitted_tasks(_reports(s, d), _grants(s, d)),
     "j4_orphans": lambda s, d: leases.orphans(_grants(s, d), fx.servants(s, d).where("max_tasks > 0").selectExpr("registry_ord as servant")).select("servant", "grant_id"),
     "j5_zombie_sweep": lambda s, d: leases.swept_zombies(_grants(s, d), _reports(s, d)).select("servant", "grant_id"),
-    "j9_kill_expired": lambda s, d: _reports(s, d).join(_grants(s, d).where("started_at < timestamp_ntz'1995-01-01 00:00:00'"), "grant_id", "left_semi"),
-    "a9_running_tasks": lambda s, d: _reports(s, d).groupBy("servant").agg(F.collect_list("grant_id").alias("g")).select("servant", F.explode("g").alias("grant_id")),
+    "j9_kill_expired": lambda s, d: _reports(s, d).join(_grants(s, d).where("started_at < timestamp_ntz'1996-01-01 00:00:00'"), "grant_id", "left_semi"),
+    "a9_running_tasks": lambda s, d: _reports(s, d).select("servant", "grant_id"),
     "a17_zombies_swept": lambda s, d: leases.swept_zombies(_grants(s, d), _reports(s, d)).agg(F.count_if(~F.col("is_prefetch")).alias("n_zombies")),
     "t1_lease_sessions": lambda s, d: leases.lease_sessions(fx.heartbeats(s, d), "6 hours").drop("session"),
     "t2_lease_expiry": lambda s, d: leases.expired(leases.lease_sessions(fx.heartbeats(s, d), "6 hours"), "2024-01-15 00:00:00").select("servant", "expires_at"),
@@ -60,7 +59,7 @@ QUERIES = {
     "w7_history": lambda s, d: fx.heartbeats(s, d).withColumn("rn", F.row_number().over(W.partitionBy("servant").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 61").select("servant", "event_id"),
     "w8_grant_fifo": lambda s, d: _grants(s, d).where("started_at >= timestamp_ntz'1996-01-01 00:00:00'").select(
         "servant", "grant_id", F.row_number().over(W.partitionBy("servant").orderBy("started_at", "grant_id")).cast("bigint").alias("place")),
-    "f42_next_id": lambda s, d: fx.servants(s, d).select("registry_ord", F.row_number().over(W.orderBy("registry_ord")).cast("bigint").alias("id")),
+    "f42_next_id": lambda s, d: scheduling.numbered(fx.servants(s, d).select("registry_ord"), "registry_ord"),
     "t5_batch_grants": lambda s, d: fx.requests(s, d).withColumn("rn", F.row_number().over(W.partitionBy("requestor_ip").orderBy("submitted_at", "request_id"))).select(
         "request_id", (F.col("rn") == 1).alias("may_wait")),
     "t8_bounded_staleness": lambda s, d: fx.heartbeats(s, d).withColumn("prev", F.lag("ts").over(W.partitionBy("servant").orderBy("ts", "event_id"))).select(
@@ -99,7 +98,7 @@ SQL = {
     "j4_orphans": _v("select servant, grant_id from grants where servant not in (select registry_ord from servants where max_tasks > 0)", "grants", "servants"),
     "j5_zombie_sweep": _v(f"""with rep as ({_REPORTS}) select servant, grant_id from grants g where zombie and servant in (select servant from rep)
   and not exists (select 1 from rep r where r.servant = g.servant and r.grant_id = g.grant_id)""", "grants"),
-    "j9_kill_expired": _v(f"select r.servant, r.grant_id from ({_REPORTS}) r where r.grant_id in (select grant_id from grants where started_at < timestamp '1995-01-01')", "grants"),
+    "j9_kill_expired": _v(f"select r.servant, r.grant_id from ({_REPORTS}) r where r.grant_id in (select grant_id from grants where started_at < timestamp '1996-01-01')", "grants"),
     "a9_running_tasks": _v(_REPORTS, "grants"),
     "a17_zombies_swept": _v(f"""with rep as ({_REPORTS}) select count(*) filter (not is_prefetch) as n_zombies from grants g where zombie and servant in (select servant from rep)
   and not exists (select 1 from rep r where r.servant = g.servant and r.grant_id = g.grant_id)""", "grants"),

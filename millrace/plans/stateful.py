@@ -1,4 +1,4 @@
-"""Registered queries on codecs, sketches, ordered state, streams and sources."""
+"""Registered queries on codecs, streams and sources."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from millrace import fixtures as fx
 from millrace.functions import codecs
-from millrace.operators import ordered, sketch
 from millrace.sources import listing
 from millrace.streaming import leases, run
 
@@ -33,28 +32,12 @@ def _entry(s, d):
     return c.select("conv_id", "turn", codecs.unpack_entry(broken).alias("e")).select("conv_id", "turn", F.sha2("e.stdout", 256).alias("stdout"), F.col("e.stderr").cast("string").alias("stderr"))
 
 
-def _accesses(s, d):
-    return fx.table(s, d, "events").selectExpr("user_id % 8 as cache", "event_id as seq", "case when event_id % 3 = 0 then 'put' else 'get' end as op", "concat('key-', user_id % 400) as key", "100 + user_id % 50 as size")
-
-
-def _quota(s, d):
-    return fx.heartbeats(s, d).selectExpr("servant as host", "event_id as seq", "k as pid", "case when event_id % 3 = 0 then 'release' else 'acquire' end as op", "event_id % 2 = 0 as lightweight")
-
-
 QUERIES = {
-    "f22_xxhash64": lambda s, d: fx.table(s, d, "documents").select("doc_id", codecs.xxhash64_seed0(F.col("text")).alias("v")),
     "f29_cache_entry": _entry,
-    "f31_zstd": lambda s, d: fx.table(s, d, "documents").select("doc_id", F.sha2(codecs.zstd_decompress(codecs.zstd_compress(F.col("text").cast("binary"))), 256).alias("v")),
     "w9_path_locations": lambda s, d: fx.table(s, d, "part").selectExpr("p_partkey as id", "cast(concat(p_name, '/ws/x', p_brand, unhex('00'), '/ws/y', unhex('00'), '/ws/open') as binary) as b").select(
         "id", F.explode(codecs.find_path_locations("/ws/")(F.col("b"))).alias("l")).select("id", "l.position", "l.total_size", "l.suffix_to_keep"),
-    "a6_bloom_build": lambda s, d: sketch.build(fx.cache_entries(s, d).select("key")),
-    "t10_bloom_refresh": lambda s, d: sketch.probe(fx.cache_entries(s, d).select("key"), sketch.merge(
-        sketch.build(fx.cache_entries(s, d).where("seq % 2 = 0").select("key")), sketch.build(fx.cache_entries(s, d).where("seq % 2 = 1").select("key")))),
     "t1_lease_stream": _t1,
     "t3_windowed_stream": _windows,
-    "t11_adaptive_cache": lambda s, d: ordered.replay_cache(_accesses(s, d), 10_000),
-    "t14_local_quota": lambda s, d: ordered.replay_quota(_quota(s, d)),
-    "t16_retry_budget": lambda s, d: ordered.replay_retries(fx.heartbeats(s, d).selectExpr("k as task", "event_id as seq", "case event_id % 11 when 0 then 'done' when 5 then 'running' else 'failed' end as status")),
     "s1_listing": lambda s, d: listing.tree(s, f"{d}/nation.parquet").select(F.regexp_extract("path", "nation", 0).alias("name"), (F.col("size") > 0).alias("filled")).distinct(),
     "s6_merged_listing": lambda s, d: fx.cache_entries(s, d).where("last_used % 2 = 0").select("key").unionByName(fx.cache_entries(s, d).where("last_used % 2 = 1").select("key")),
     "s8_cache_engine": lambda s, d: (s.dataSource.register(listing.CacheEngineSource), s.read.format("cache_engine").option("engine", "counter").option("rows", 1000).load())[1],
@@ -68,10 +51,8 @@ n as (select *, sum(new) over (partition by servant order by ts, event_id) as se
 e as (select servant, session, min(ts) as discovered_at, max(ts) + interval 6 hours as expires_at, count(*) as beats from n group by 1, 2)"""
 SQL = {
     "f29_cache_entry": "select conv_id, turn, case when turn % 5 <> 4 then sha256(text) end as stdout, case when turn % 5 <> 4 then role end as stderr from conversations",
-    "f31_zstd": "select doc_id, sha256(text) as v from documents",
     "w9_path_locations": """select p_partkey as id, strlen(p_name) as position, 5 + strlen(p_brand) as total_size, 1 + strlen(p_brand) as suffix_to_keep from part
   union all select p_partkey, strlen(p_name) + 6 + strlen(p_brand), 5, 1 from part""",
-    "t10_bloom_refresh": _v("select distinct key from cache_entries", "cache_entries"),
     "t1_lease_stream": _v(f"with {_M} select servant, discovered_at, expires_at, beats from e where (servant, session) not in (select servant, max(session) from e group by 1)", "heartbeats"),
     "s6_merged_listing": _v("select key from cache_entries", "cache_entries"),
     "s8_cache_engine": "select 'key-' || i as key, 8 + i as size from range(1000) r(i)",

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share; a temporary one only on one machine, where none is configured."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
@@ -21,9 +23,14 @@ def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Write all available input through ``stream`` to Parquet in the shared folder and read it back."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 

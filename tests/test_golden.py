@@ -4,14 +4,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import arguments, codecs, framing, text
-from millrace.operators import leases, ordered, placement, scheduling, sketch
+from millrace.operators import leases, placement, scheduling
 
 
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("v")).first().v
 
 
-@pytest.mark.parametrize(("s", "size"), [("123", 123), ("2K", 2048), ("3M", 3145728), ("1G", 1 << 30), ("3A", None), ("", None)])
+@pytest.mark.parametrize(("s", "size"), [("123", 123), ("2K", 2048), ("3M", 3145728), ("1G", 1 << 30), ("3A", None), ("", None), ("99999999999G", None), ("9223372036854775807", (1 << 63) - 1), ("9223372036854775808", None)])
 def test_parse_size(spark, s, size):
     assert one(spark, text.parse_size(F.col("s")), s=s) == size
 
@@ -32,7 +32,7 @@ def test_chunks(spark):
     decode = framing.decode_chunks(F.col("b"))
     assert one(spark, decode, b=bytearray(got.encode())) == [b"something", b"fancy"]
     assert one(spark, decode, b=bytearray()) == []
-    for bad in (b"5,2", b"5,5\r\nshort", b"a,b\r\nxx", b"9,5\r\nsomethingfancy!"):
+    for bad in (b"5,2", b"5,5\r\nshort", b"a,b\r\nxx", b"9,5\r\nsomethingfancy!", b"999999999,999999999,999999999\r\nx"):
         assert one(spark, decode, b=bytearray(bad)) is None
 
 
@@ -72,19 +72,6 @@ def hosts(spark, rows):
     )
 
 
-def test_sequential_allocation_balances(spark):
-    up = hosts(spark, [(0, ["e"], 7, 16, 16, 2, 0), (1, ["e"], 7, 1, 16, 2, 0), (2, ["e"], 8, 5, 16, 2, 0), (3, ["e"], 6, 12, 16, 2, 0)])
-    asked = spark.createDataFrame([("e", i, "1.1.1.1", 8) for i in range(7)], "env string, request_id long, requestor_ip string, min_version long")
-    got = {r.request_id: r.registry_ord for r in scheduling.allocate_in_sequence(asked, up).collect()}
-    assert [got[i] for i in range(7)] == [1, 2, 3, 2, 1, 2, 3]
-
-
-def test_allocation_ends_in_timeout(spark):
-    up = hosts(spark, [(1, ["e"], 2, 0, 16, 2, 0)])
-    asked = spark.createDataFrame([("e", i, "1.1.1.1", 8) for i in range(3)], "env string, request_id long, requestor_ip string, min_version long")
-    assert sorted(r.status for r in scheduling.allocate_in_sequence(asked, up).collect()) == ["granted", "granted", "timeout"]
-
-
 def test_dedicated_host_is_preferred(spark):
     up = hosts(spark, [(1, ["e"], 8, 0, 16, 2, 0), (2, ["e"], 8, 2, 16, 1, 2)])
     asked = spark.createDataFrame([(1, "e", "1.1.1.1", 8), (2, "e", "10.0.0.2", 8)], "request_id long, env string, requestor_ip string, min_version long")
@@ -110,30 +97,31 @@ def test_ring_is_even_and_stable(spark):
     assert all(after[k] in (v, "n6") for k, v in before.items())
 
 
-def test_sketch_has_no_false_negatives(spark):
-    keys = spark.range(1000).select(F.concat(F.lit("k"), "id").alias("key"))
-    s = sketch.build(keys, bits=20_000)
-    assert sketch.probe(keys, s, bits=20_000).count() == 1000
-    assert sketch.probe(keys.select(F.concat(F.lit("x"), "key").alias("key")), s, bits=20_000).count() < 20
-
-
-def test_adaptive_cache_keeps_what_returns():
-    c = ordered.AdaptiveCache(10_000)
-    assert not c.put("huge", 10_001)
-    for i in range(100):
-        c.put(f"a{i}", 100)
-    assert all(c.get(f"a{i}") for i in range(50))
-    for i in range(60):
-        c.put(f"b{i}", 100)
-    assert all(c.get(f"a{i}") for i in range(50))
-    assert not c.get("a99") or not c.get("a60")
-
-
-def test_quota_limits():
-    q = ordered.Quota(10, 2)
-    assert all(q.acquire(i, False) for i in range(10)) and not q.acquire(10, False)
-    assert all(q.acquire(i, True) for i in range(100, 120)) and not q.acquire(120, True)
-    assert q.acquire(5, False)
-    for i in range(100, 115):
-        q.release(i)
-    assert q.acquire(200, True) and not q.acquire(201, False)
+def test_cache_dirs_without_a_comma(spark):
+    got = one(spark, text.parse_cache_dirs(F.col("s")), s="2K,/a,b::justpath")
+    assert [(x.size, x.path) for x in got] == [(2048, "/a,b"), (None, None)]
+
+
+def test_long_linemarker_is_kept_whole(spark):
+    line = '# 1 "/opt/gcc/' + "x" * 2_000_000 + '" 2'
+    assert one(spark, text.neutral_linemarkers(F.col("s"), F.lit("/opt/gcc"), "/r"), s=line) == line.replace("/opt/gcc", "/r")
+
+
+def test_checksum_is_verified_and_cut(spark):
+    data = one(spark, framing.add_checksum(F.col("b")), b=bytearray(b"body"))
+    assert one(spark, framing.checked_body(F.col("b")), b=data) == b"body"
+    for bad in (data[:-1], data + b"!", data[:63], b"", b"0" + data[1:]):
+        if bad != data:
+            assert one(spark, framing.checked_body(F.col("b")), b=bytearray(bad)) is None
+    assert one(spark, framing.checked_body(framing.add_checksum(F.col("b"))), b=bytearray()) == b""
+
+
+def test_cacheable_needs_all_macros_of_the_time(spark):
+    every = [f"-D{m}=1" for m in ("__TIME__", "__DATE__", "__TIMESTAMP__")]
+    for argv, source, want in ((["-c"], "int x;", True), (["-c"], "a __DATE__ b", False), (every, "a __DATE__ b", True), (every[:2], "__TIMESTAMP__", False)):
+        assert one(spark, arguments.cacheable(F.col("a"), F.lit(source)), a=argv) is want
+
+
+def test_numbers_are_consecutive(spark):
+    got = scheduling.numbered(spark.range(0, 5000, 7).withColumnRenamed("id", "key"), "key")
+    assert [r.id for r in got.orderBy("key").collect()] == list(range(1, len(range(0, 5000, 7)) + 1))
