@@ -24,10 +24,10 @@ from pyspark.sql import types as T
 
 from millrace.llm.shared import Scratch, connected_components, mix64, shuffle_partitions
 
-#: Rows of a chunk of a large cell.
-CHUNK = 1000
+#: Rows of a chunk of a large cell, and rows that a task of small cells holds on average.
+CHUNK, TASK_ROWS = 1000, 20_000
 # Chance to meet in one table at cosine 0.95 in a simulation, by scale.
-_MEET = ((1.25, 0.74), (1.5, 0.66), (2.0, 0.50), (2.5, 0.35), (3.0, 0.23))
+_MEET = ((1.25, 0.74), (1.5, 0.66), (2.0, 0.50), (2.5, 0.34), (3.0, 0.22), (3.5, 0.13), (4.0, 0.08), (5.0, 0.028), (6.0, 0.011), (8.0, 0.0014), (10.0, 0.0002))
 
 
 def _minimal_vectors() -> np.ndarray:
@@ -60,8 +60,8 @@ def nearest_e8(x: np.ndarray) -> np.ndarray:
 
 def plan(n: int) -> tuple[float, int]:
     """(scale, tables) for n vectors: cells stay about equally full, and a pair at 0.95 is missed once in a hundred."""
-    scale = min(3.0, max(1.25, 2.0 * (max(n, 1) / 20_000) ** 0.125))
-    meet = np.interp(scale, [s for s, _ in _MEET], [p for _, p in _MEET])
+    scale = max(1.25, 2.0 * (max(n, 1) / 20_000) ** 0.125)
+    meet = np.exp(np.interp(scale, [s for s, _ in _MEET], [math.log(p) for _, p in _MEET]))
     return scale, math.ceil(math.log(0.01) / math.log(1 - meet))
 
 
@@ -114,8 +114,10 @@ def _blocks(least: float):
 
     def one(g: pd.DataFrame, out: list) -> None:
         t, cell, split = int(g["t"].iloc[0]), g["cell"].iloc[0], g["a"].iloc[0] != g["b"].iloc[0]
-        size = g["vec"].map(len).iloc[0]  # equal in a cell: the dimension is part of its hash
-        if (g["vec"].map(len) != size).any():
+        size = g["vec"].map(len)
+        if (size != size.iloc[0]).any():  # the dimension is part of a cell's hash, and two cells have met in one
+            for _, part in g.groupby(size):
+                one(part, out)
             return
         u = np.frombuffer(b"".join(g["vec"]), np.float64).reshape(len(g), -1)
         u = u / np.linalg.norm(u, axis=1)[:, None]
@@ -162,14 +164,16 @@ def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     """(key, n_links, component_id, kept) for every row of ``vectors``; ``key`` is an integer.
 
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing; vectors of unlike length
-    never link.  Rows that repeat a key count once, with the smallest of its vectors; a null key has a null component.
+    never link.  Rows that repeat a key count once, with the smallest of its vectors, and are all returned; a null key has a
+    null component.  An empty table gives an empty result; other columns play no part, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = rows.where(sound).groupBy("id").agg(F.min("vec").alias("vec"))
-    reps = rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
+    rows = scratch.save(rows.where(sound).groupBy("id").agg(F.min("vec").alias("vec")))
+    # two written tables, so that Spark can split a vector with many copies
+    reps = scratch.save(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     members = scratch.save(rows.join(reps, "vec").select("id", "rep", "copies"))
     scale, count = plan(members.count())
     count = tables or count
@@ -179,8 +183,8 @@ def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     base = scratch.save(base)
     keys = base.select("id", F.posexplode("homes").alias("t", "cell"), F.lit(True).alias("home"))
     keys = keys.union(base.select("id", F.posexplode("probes").alias("t", "cell"), F.lit(False).alias("home")))
-    full = keys.groupBy("t", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").drop("any")
-    groups = shuffle_partitions(spark) * 4
+    full = scratch.save(keys.groupBy("t", "cell").agg(F.count("*").alias("n"), F.max("home").alias("any")).where("n > 1 and any").drop("any"))
+    groups = max(shuffle_partitions(spark) * 4, (full.where(F.col("n") <= CHUNK).agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
     parts = F.ceil(F.col("n") / CHUNK).cast("int")
     met = keys.join(full, ["t", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("id"), parts).cast("int"))
     met = met.withColumn("x", F.explode(F.sequence(F.lit(0), parts - 1)))

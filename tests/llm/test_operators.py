@@ -315,6 +315,33 @@ def test_embedding_large_cell_is_split(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(129, 0)}
 
 
+def test_embedding_recall_of_the_default_plan(spark):
+    """Pairs just above the threshold, among other vectors and of two lengths."""
+    rng = np.random.default_rng(4)
+    vecs = []
+    for dim in (48, 64):
+        for _ in range(700):
+            u, w = rng.normal(size=(2, dim))
+            u /= np.linalg.norm(u)
+            w -= (w @ u) * u
+            c = rng.uniform(0.951, 0.97)
+            vecs += [u, 3 * (c * u + np.sqrt(1 - c * c) * w / np.linalg.norm(w))]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs)]
+    got = {r.vec_id: r for r in embedding_dedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    links = sum(r.n_links for r in got.values())
+    assert 0.95 * 2800 <= links <= 2800 and all(got[i].component_id in (i, i - i % 2) for i in got)
+
+
+def test_embedding_odd_rows(spark):
+    df = "vec_id long, embedding array<double>, rep string, copies int, cell string"
+    rows = [(1, [1.0, 2.0], "r", 1, "c"), (1, [1.0, 2.0], "r", 1, "c"), (2, [1.0, 2.0], "r", 1, "c"), (None, [1.0, 2.0], "r", 1, "c"), (3, [9.0, 9.0], "r", 1, "c"), (3, None, "r", 1, "c")]
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embedding_dedup.link(spark.createDataFrame(rows, df)).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3), (3, 0, 3)]
+    assert embedding_dedup.link(spark.createDataFrame([], df)).count() == 0
+    scale, tables = zip(*[embedding_dedup.plan(n) for n in (1000, 100_000, 10_000_000, 1_000_000_000)])
+    assert list(scale) == sorted(set(scale)) and list(tables) == sorted(tables)
+
+
 def test_lattice_points_are_nearest():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 8)) * 2
