@@ -24,6 +24,33 @@ def test_pipeline_stages(spark, sf_dir):
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, mixed.collect()))
 
 
+def test_pipeline_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls, empty, repeated and long texts, extra columns, and an empty table."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    some = docs.limit(60).collect()
+    keep = max((r for r in some if r.text), key=lambda r: len(r.text))
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in some]
+    rows += [(9001, None, None, None, None), (9002, "", "en", "s", 0), (None, keep.text, "en", "s", 1), (9003, keep.text, "en", None, 1), (9003, keep.text, "en", None, 1)]
+    rows += [(9004, keep.text * 200, "en", "s", 1)]
+    wide = spark.createDataFrame(rows, docs.schema).selectExpr("*", "'x' as component_id", "1 as n", "'y' as site")
+    wide.write.parquet(f"{tmp_path}/a/documents.parquet")
+    docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
+    for t in ("labels", "benchmark"):
+        for d in "ab":
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{d}/{t}.parquet")
+    assert cp.run(spark, f"{tmp_path}/b").count() == 0
+    step = wide
+    for _, stage in cp.STAGES[:-1]:
+        step = stage(spark, step, f"{tmp_path}/a")
+        assert step.columns == wide.columns
+    left = {r.doc_id for r in step.collect()}
+    assert left <= {r[0] for r in rows}
+    assert {r.doc_id for r in cp.run(spark, f"{tmp_path}/a").collect()} <= left
+    near = cp.near_copy_stage(spark, cp.line_stage(spark, wide, f"{tmp_path}/a"), f"{tmp_path}/a")
+    ids = [r.doc_id for r in near.collect()]
+    assert {9001, 9002, None} <= set(ids) and 9003 not in ids
+
+
 def test_queries_with_sql(spark, sf_dir):
     import glob
     import os
