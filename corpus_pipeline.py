@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents table; each result is written to the shared folder and read again."""
+    """All stages in turn over the documents table; each result is written to the shared folder and read again.
+
+    Other columns of the table are left out.  Null and empty texts pass or fail by their quality score like others and
+    have no words to schedule; rows that repeat an id share their fate in the join and in decontamination; of equal texts the
+    smallest id stays; a null id is kept but never joined; an empty table gives an empty schedule.  Texts are read whole.
+    """
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES:
