@@ -65,7 +65,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 30, ridge: float = 1e-
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-        per_class: int = 2500, max_chars: int = 60_000, total_chars: int = 12_000_000, dict_pieces: int = 8,
+        per_class: int = 2500, max_chars: int = 60_000, total_chars: int = 12_000_000, dict_pieces: int = 3,
         dict_bytes: int = 112_640) -> QualityModel:
     """Learn from ``docs`` whose key is in ``labels`` (label 1 good, 0 bad); rows with nulls or empty texts are left out.
 
