@@ -301,13 +301,16 @@ def boilerplate(rows: DataFrame, scratch: Scratch, run: int, shard: int, share:
 
 def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", run: int = 8, shard: int = SHARD,
             share: float = 0.1, protect: float = 0.5) -> DataFrame:
-    """(key, url, text, n_chars) of every page.  A null page has an empty text; pages without a host form one group.
+    """(key, url, text, n_chars) of every page.  A null or empty page has an empty text; pages without a host form one group.
 
+    Pages are read whole and every row is returned; rows that repeat a page count once for its host and get the same text.
+    Where counts tie with a bound, the run counts as boilerplate.  An empty table gives no rows.  Other columns play no part,
+    whatever their names; the key may be called anything but url, text or n_chars.
     ``shard`` sets the work of a task, not the result; for ``share`` and ``protect`` see ``boilerplate``.
     """
     host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col(key), F.col(url).alias("url_"), F.col(html).alias("html_"), host.alias("host"))
-    rows = rows.withColumn("p", F.xxhash64("host", "html_")).withColumn("k", F.xxhash64(F.col(key), "url_"))
+    rows = pages.select(F.col(key).alias("id_"), F.col(url).alias("url_"), F.col(html).alias("html_"), host.alias("host"))
+    rows = rows.withColumn("p", F.xxhash64("host", "html_")).withColumn("k", F.xxhash64("id_", "url_"))
     marks = boilerplate(rows.select("host", "p", "k", "html_"), Scratch(pages.sparkSession, "html-extract"), run, shard, share, protect)
     if marks is None:
         rows = rows.withColumn("runs", F.lit(None).cast("array<struct<h:bigint,level:int>>"))
@@ -321,6 +324,6 @@ def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: s
             for source, host, found in zip(pdf["html_"], pdf["host"], pdf["runs"]):
                 level = None if found is None else {r["h"]: r["level"] for r in found}
                 texts.append(_Page(host, source, run).text(level, run))
-            yield pd.DataFrame({key: pdf[key], "url": pdf["url_"], "text": texts, "n_chars": [len(t) for t in texts]})
+            yield pd.DataFrame({key: pdf["id_"], "url": pdf["url_"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return rows.select(key, "url_", "html_", "host", "runs").mapInPandas(cut, f"{key} {kind}, url string, text string, n_chars long")
+    return rows.select("id_", "url_", "html_", "host", "runs").mapInPandas(cut, f"{key} {kind}, url string, text string, n_chars long")

@@ -80,7 +80,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", source: str = "source", text: s
         max_repeats: float = 4.0, budget: int | None = None, block_tokens: int = 250_000, seed: int = 0) -> DataFrame:
     """(key, source, epoch, block, position, n_words): one row per time that a document is used.
 
-    Documents without words take no part.  Rows with equal keys are ordered by their size; a null key is written as
+    Documents without words take no part.  The key and the source may be called anything but epoch, block, position and
+    n_words; other columns play no part.  Texts are read whole, and each of repeated rows is a document.  Rows with equal keys are ordered by their size; a null key is written as
     an empty string in the permutation.  An empty table gives no rows.
     """
     sized = docs.select(F.col(key), F.col(source).alias("_s"), n_words(F.col(text)).alias("n_words")).where("n_words > 0")

@@ -274,6 +274,21 @@ def test_html_repeats_of_a_host(spark):
     assert got == {r.page_id: r.text for r in html_extract.extract(pages, shard=7).collect()}
 
 
+def test_html_odd_rows(spark):
+    page = "<article><p>a story of its own</p></article>"
+    rows = [(1, "http://h.example/1", page, "x"), (1, "http://h.example/1", page, "x"), (2, "http://h.example/2", "<p>" + "word " * 400_000 + "</p>", "x"), (None, "", None, "x")]
+    pages = spark.createDataFrame(rows, "host long, url string, html string, p string")
+    got = sorted((r.host or 0, r.n_chars) for r in html_extract.extract(pages, key="host").collect())
+    assert got == [(0, 0), (1, 18), (1, 18), (2, 5 * 400_000 - 1)]
+    assert html_extract.extract(pages.limit(0), key="host").count() == 0
+
+
+def test_mixing_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", 1)] * 3 + [(2, "c", "t", 1), (None, "d", "t", 1)], "doc_id long, text string, source string, _h int")
+    got = mixing.mix(docs).collect()
+    assert {(r.source, r.n_words) for r in got} == {("s", 2), ("t", 1)} and len({(r.block, r.position) for r in got}) == len(got)
+
+
 def test_repeated_runs():
     rng = np.random.default_rng(0)
     tokens = rng.integers(0, 3, 300)
