@@ -75,7 +75,8 @@ def pick_servants(requests: DataFrame, servants: DataFrame) -> DataFrame:
     first = first.groupBy("env", "min_version").agg(F.collect_list(F.struct("rank", "at", "pick")).alias("best"))  # two at most
     own = best.select("env", "min_version", F.col("ip").alias("requestor_ip"), F.col("own.registry_ord").alias("self"))
     # the registry bounds both tables; while they are small, no request is shuffled
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    few = best.count() <= BROADCAST_ROWS
+    small = lambda df: F.broadcast(df) if few else df
     got = requests.join(small(first), ["env", "min_version"], "left").join(small(own), ["env", "min_version", "requestor_ip"], "left")
     other = F.array_min(F.filter("best", lambda x: x["at"] != F.col("requestor_ip")))["pick"]
     return got.select("request_id", F.coalesce(other, "self").alias("registry_ord")).where("registry_ord is not null")
