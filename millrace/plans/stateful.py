@@ -12,6 +12,9 @@ from millrace.streaming import leases, run
 _BEATS = [f"user_id % {fx.MACHINES} as servant", "event_id", "event_type as kind", "cast(get_json_object(props, '$.k') as bigint) as k"]
 
 
+_ACTIONS = ("signup", "grant", "view", "grant", "click", "renew", "purchase", "free", "error", "report")
+
+
 def _stream(s, d):
     return run.table_stream(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")).selectExpr("ts", *_BEATS)
 
@@ -21,6 +24,18 @@ def _t1(s, d):
     return got.select("servant", F.col("discovered_at").cast("timestamp_ntz").alias("discovered_at"), F.col("expires_at").cast("timestamp_ntz").alias("expires_at"), "beats")
 
 
+def _actions(s, d):
+    """Heartbeats as actions on task leases of eight grants a machine: the event's kind says which, its amount how long."""
+    running = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i.cast("bigint")), lambda i: F.col("k").bitwiseAND(F.shiftleft(F.lit(1), i.cast("int"))) != 0)
+    return _stream(s, d).select(
+        "servant", "ts", "event_id", F.element_at(F.create_map(*[F.lit(x) for x in _ACTIONS]), F.col("kind")).alias("action"), (F.col("k") % 8).alias("grant_id"), (F.col("k") * 900_000).alias("lease_ms"), running.alias("running"))
+
+
+def _task_leases(s, d):
+    got = run.available_now(leases.task_lease_stream(_actions(s, d)))
+    return got.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 def _windows(s, d):
     got = run.available_now(leases.windowed_counts(_stream(s, d)))
     return got.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "kind", "n", "total")
@@ -37,6 +52,7 @@ QUERIES = {
     "w9_path_locations": lambda s, d: fx.table(s, d, "part").selectExpr("p_partkey as id", "cast(concat(p_name, '/ws/x', p_brand, unhex('00'), '/ws/y', unhex('00'), '/ws/open') as binary) as b").select(
         "id", F.explode(codecs.find_path_locations("/ws/")(F.col("b"))).alias("l")).select("id", "l.position", "l.total_size", "l.suffix_to_keep"),
     "t1_lease_stream": _t1,
+    "t2_task_lease_stream": _task_leases,
     "t3_windowed_stream": _windows,
     "s1_listing": lambda s, d: listing.tree(s, f"{d}/nation.parquet").select(F.regexp_extract("path", "nation", 0).alias("name"), (F.col("size") > 0).alias("filled")).distinct(),
     "s6_merged_listing": lambda s, d: fx.cache_entries(s, d).where("last_used % 2 = 0").select("key").unionByName(fx.cache_entries(s, d).where("last_used % 2 = 1").select("key")),
@@ -53,7 +69,8 @@ SQL = {
     "f29_cache_entry": "select conv_id, turn, case when turn % 5 <> 4 then sha256(text) end as stdout, case when turn % 5 <> 4 then role end as stderr from conversations",
     "w9_path_locations": """select p_partkey as id, strlen(p_name) as position, 5 + strlen(p_brand) as total_size, 1 + strlen(p_brand) as suffix_to_keep from part
   union all select p_partkey, strlen(p_name) + 6 + strlen(p_brand), 5, 1 from part""",
-    "t1_lease_stream": _v(f"with {_M} select servant, discovered_at, expires_at, beats from e where (servant, session) not in (select servant, max(session) from e group by 1)", "heartbeats"),
+    "t1_lease_stream": _v(f"""with {_M} select servant, discovered_at, expires_at, beats from e where (servant, session) not in (select servant, max(session) from e group by 1)
+  or expires_at < (select max(ts) from heartbeats)""", "heartbeats"),
     "s6_merged_listing": _v("select key from cache_entries", "cache_entries"),
     "s8_cache_engine": "select 'key-' || i as key, 8 + i as size from range(1000) r(i)",
     "s13_compiler_dirs": """select directory, min(rank)::int as rank from (select '/usr/' || p_partkey % 5 as directory, 0 as rank from part
