@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -16,6 +16,13 @@ def two_level_get(wanted: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
     return got.withColumns({"level": level, "size": F.coalesce("s1", "s2"), "fill": F.col("s1").isNull() & F.col("s2").isNotNull()}).drop("s1", "s2")
 
 
+def touched(entries: DataFrame, gets: DataFrame) -> DataFrame:
+    """``entries`` with ``last_used`` moved to their last get (key, ts seconds); a get never makes an entry older, and gets of
+    unknown keys leave no trace."""
+    last = gets.groupBy("key").agg(F.max("ts").alias("_got"))
+    return entries.join(last, "key", "left").withColumn("last_used", F.greatest("last_used", "_got")).drop("_got")
+
+
 def latest_entries(entries: DataFrame) -> DataFrame:
     """One row per key: the last write by (last_used, seq), and how often it was overwritten."""
     return entries.groupBy("key").agg(
@@ -23,29 +30,27 @@ def latest_entries(entries: DataFrame) -> DataFrame:
     )
 
 
-def _prior(order: list[Column], buckets: DataFrame, entries: DataFrame) -> DataFrame:
-    ahead = W.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    sums = buckets.withColumn("_ahead", F.coalesce(F.sum("_bytes").over(ahead), F.lit(0))).drop("_bytes")
-    inside = W.partitionBy("_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    return entries.join(F.broadcast(sums), "_b").withColumn("before", F.col("_ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0))).drop("_b", "_ahead")
-
-
 def running_before(entries: DataFrame, newest_first: bool, width: int = 3600) -> DataFrame:
     """``entries`` with ``before``, the bytes of all entries that come earlier by ``last_used`` and key.
 
-    Sums run in two levels: over periods of ``width`` seconds, whose number is bounded by the age of the oldest entry,
-    and inside each period; so no task sorts the whole cache.
+    Sums run in three levels: over periods of ``width`` seconds, whose number is bounded by the age of the oldest entry,
+    over the seconds of a period, and over the entries of a second. So no task sorts the whole cache, nor a burst of more
+    than a second.
     """
     sign = -1 if newest_first else 1
-    marked = entries.withColumn("_b", F.floor(F.col("last_used") / width) * sign)
-    order = [F.col("last_used").desc() if newest_first else F.col("last_used"), F.col("key")]
-    return _prior(order, marked.groupBy("_b").agg(F.sum("size").alias("_bytes")), marked)
+    past = lambda spec: F.coalesce(F.sum("_bytes").over(spec.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    marked = entries.withColumns({"_s": F.col("last_used") * sign, "_bytes": F.col("size")})
+    seconds = marked.groupBy("_s").agg(F.sum("_bytes").alias("_bytes")).withColumn("_p", F.floor(F.col("_s") / width))
+    periods = seconds.groupBy("_p").agg(F.sum("_bytes").alias("_bytes")).select("_p", past(W.orderBy("_p")).alias("_far"))
+    ahead = seconds.withColumn("_near", past(W.partitionBy("_p").orderBy("_s"))).join(periods, "_p").select("_s", (F.col("_far") + F.col("_near")).alias("_ahead"))
+    inside = marked.withColumn("_inside", past(W.partitionBy("_s").orderBy("key")))
+    return inside.join(ahead, "_s").withColumn("before", F.col("_ahead") + F.col("_inside")).drop("_s", "_bytes", "_ahead", "_inside")
 
 
 def purge_oldest(entries: DataFrame, limit: int, keep: float = 0.95) -> DataFrame:
     """Entries to delete, oldest first, until less than ``keep * limit`` bytes are left."""
-    total = entries.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    return running_before(entries, False).where(F.lit(float(total)) - F.col("before") >= keep * limit)
+    total = entries.agg(F.sum("size").cast("double").alias("_total"))  # one row
+    return running_before(entries, False).join(F.broadcast(total)).where(F.col("_total") - F.col("before") >= keep * limit).drop("_total")
 
 
 def retain_newest(entries: DataFrame, capacity: int) -> DataFrame:

@@ -40,6 +40,16 @@ def latest_snapshot(beats: DataFrame, *columns: str) -> DataFrame:
     return beats.groupBy("servant").agg(F.max_by(F.struct("ts", *columns), F.struct("ts", "event_id")).alias("s")).select("servant", "s.*")
 
 
+def visible_snapshot(refreshes: DataFrame, bound: str) -> DataFrame:
+    """For each refresh (servant, ts, event_id, ok) the time of the snapshot that is served after it.
+
+    A refresh that succeeds replaces the snapshot; one that fails keeps it, but clears it once it is older than ``bound``.
+    """
+    w = W.partitionBy("servant").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("ok"), F.col("ts")), True).over(w)
+    return refreshes.withColumn("_at", last).withColumn("snapshot_at", F.when(F.col("ts") - F.col("_at") <= F.expr(f"interval {bound}"), F.col("_at"))).drop("_at")
+
+
 def expired(leases: DataFrame, now: str) -> DataFrame:
     """Leases whose end lies strictly before ``now``."""
     return leases.where(F.col("expires_at") < F.expr(f"timestamp_ntz'{now}'"))

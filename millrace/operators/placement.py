@@ -49,6 +49,24 @@ def misplaced(found: DataFrame, action: str = "move") -> DataFrame:
     return found.where("not (path <=> expected)").withColumn("action", F.lit(action))
 
 
+def startup_load(files: DataFrame, nodes: DataFrame, action: str = "move", fan_out: int = 16) -> DataFrame:
+    """``files`` (path relative to the cache's root, ...) with ``key``, ``expected`` and what a starting cache does with each.
+
+    A file that does not lie in a shard's two levels of sub-directories is ``stray`` and has no key; the others are
+    ``load``ed if they lie where the ring puts their key, and else get ``action`` (move, delete or ignore).
+    """
+    parts = F.split("path", "/")
+    marked = files.withColumn("_stray", F.size(parts) != 4)
+    known = marked.where("not _stray").withColumn("key", F.try_url_decode(F.replace(F.get(parts, F.lit(3)), F.lit("+"), F.lit("%2B"))))
+    known = known.withColumn("_stray", F.col("key").isNull())
+    placed = assign(known.where("not _stray"), ring(nodes), ring_hash(F.col("key")))
+    placed = placed.withColumn("expected", entry_path(fan_out=fan_out)).drop("node")
+    placed = placed.withColumn("action", F.when(F.col("path") == F.col("expected"), "load").otherwise(action))
+    blank = [F.lit(None).cast("string").alias(n) for n in ("key", "expected")]
+    stray = marked.where("_stray").unionByName(known.where("_stray").drop("key")).select("*", *blank, F.lit("stray").alias("action"))
+    return placed.unionByName(stray).drop("_stray")
+
+
 def directories(shards: DataFrame, fan_out: int = 16) -> DataFrame:
     """The fixed tree of sub-directories of each shard."""
     digit = F.sequence(F.lit(0), F.lit(fan_out - 1))

@@ -105,3 +105,18 @@ def numbered(rows: DataFrame, key: str, ranges: int = 64) -> DataFrame:
     ahead = F.coalesce(F.sum("size").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     place = F.row_number().over(W.partitionBy("part").orderBy(key))
     return parts.join(F.broadcast(sizes.select("part", ahead.alias("ahead"))), "part").withColumn("id", F.col("ahead") + place).drop("part", "ahead")
+
+
+def batch_grants(batches: DataFrame) -> DataFrame:
+    """One row for each slot that a batch (request_id, immediate, prefetch, free) asks for, immediate ones first.
+
+    Slots are granted while hosts are ``free`` and a first one that is not ends its kind, so the next are not ``tried``. A slot
+    may wait only if it is the first of all, or a prefetch while nothing has been granted.
+    """
+    slots = batches.withColumn("slot", F.explode(F.expr("sequence(1, immediate + prefetch)"))).where("slot <= immediate + prefetch")
+    now = F.least("immediate", "free")  # granted at once
+    prefetch, place = F.col("slot") > F.col("immediate"), F.when(F.col("slot") > F.col("immediate"), F.col("slot") - F.col("immediate") + now).otherwise(F.col("slot"))
+    return slots.select(
+        "request_id", "slot", prefetch.alias("is_prefetch"), (place <= F.col("free")).alias("granted"), (place <= F.col("free") + 1).alias("tried"),
+        F.when(prefetch, (now == 0) & (place == 1)).otherwise(F.col("slot") == 1).alias("may_wait"),
+    )

@@ -37,6 +37,11 @@ def _outcomes(s, d):
     return tasks.outcomes(fx.tasks(s, d), cached, fx.grants(s, d).where("not zombie"))
 
 
+def _quota(s, d):
+    state = F.when(F.col("kind").isin("view", "click"), "waiting").when(F.col("kind").isin("signup", "purchase"), "granted")
+    return fx.heartbeats(s, d).where("event_id % 16 = 1").select("servant", "k", state.alias("state"), (F.col("kind") == "view").alias("heavy"))
+
+
 def _routes(s, d):
     q = fx.tasks(s, d).select("task_id", tasks.routing(F.col("exit_code"), F.col("requestor") % 20, F.col("task_id") % 7).alias("route"))
     return q
@@ -80,23 +85,25 @@ QUERIES = {
     "a5_object_totals": lambda s, d: _entries(s, d).agg(F.count("*").alias("entries"), F.sum("size").alias("bytes")),
     "a7_outcome_counters": lambda s, d: _outcomes(s, d).groupBy("outcome").agg(F.count("*").alias("n")),
     "a8_tasks_by_state": lambda s, d: tasks.dump_by_state(fx.tasks(s, d)),
+    "a8_task_dump": lambda s, d: tasks.dump(fx.tasks(s, d).selectExpr("task_id", "state", "requestor as task_grant_id", "started_at as start_deadline", "started_at + interval 1 day as ready_at",
+        "concat('host', requestor % 7) as servant_location", "started_at + interval 2 day as dispatched_at", "requestor * 3 as servant_task_id", "started_at + interval 3 day as completed_at", "exit_code")),
     "a10_last_wins": lambda s, d: fx.tasks(s, d).groupBy("digest").agg(F.max_by("task_id", F.struct("started_at", "task_id")).alias("task_id")),
     "a11_first_wins": lambda s, d: fx.tasks(s, d).groupBy("digest").agg(F.min_by("task_id", F.struct("started_at", "task_id")).alias("task_id")),
     "a12_total_size": lambda s, d: fx.cache_entries(s, d).groupBy("tenant").agg(F.sum("size").alias("bytes")),
     "a14_executor_dump": lambda s, d: fx.grants(s, d).groupBy("servant").agg(F.count("*").alias("ever"), F.count_if(~F.col("zombie")).alias("alive"), F.max("started_at").alias("last")),
-    "a15_quota_dump": lambda s, d: fx.heartbeats(s, d).groupBy("kind").agg(F.countDistinct("servant").alias("holders"), F.array_join(F.sort_array(F.transform(F.collect_set("servant"), lambda x: F.lpad(x.cast("string"), 3, "0"))), ",").alias("ids")),
+    "a15_quota_dump": lambda s, d: tasks.quota_dump(_quota(s, d).withColumnRenamed("k", "pid"), F.col("servant") % 8 + 2, 2).withColumn("pids", F.array_join(F.transform("pids", lambda x: F.lpad(x.cast("string"), 3, "0")), ",")),
     "m6_file_digest_upsert": lambda s, d: fx.cache_entries(s, d).groupBy("tenant", "size").agg(F.max_by("key", "seq").alias("key")),
     "w2_purge_oldest": lambda s, d: cache.purge_oldest(_entries(s, d), LIMIT).select("key", "size"),
     "w3_retain_newest": lambda s, d: cache.retain_newest(_entries(s, d), LIMIT).select("key", "keep"),
     "w5_virtual_nodes": lambda s, d: placement.ring(_nodes(s, d)),
-    "o2_newest": lambda s, d: _entries(s, d).orderBy(F.desc("last_used"), "key").limit(50).select("key", "last_used"),
+    "o2_newest": lambda s, d: _entries(s, d).orderBy(F.desc("last_used"), "key").select("key", "last_used"),
     "o6_batches": lambda s, d: _entries(s, d).groupBy(F.substring("key", 7, 2).alias("prefix")).agg(F.count("*").alias("n")).select("prefix", F.ceil(F.col("n") / 1000).cast("bigint").alias("batches")),
     "o7_new_keys": lambda s, d: fx.heartbeats(s, d).selectExpr("concat('key-', event_id) as key", "ts").transform(lambda x: cache.new_keys(x, "2024-01-10 00:00:00", 86_400)),
     "u1_all_keys": lambda s, d: _l1(s, d).select("key").union(_entries(s, d).select("key")),
     "u3_gone_and_found": lambda s, d: _l1(s, d).select("key").subtract(_entries(s, d).where("size % 2 = 0").select("key")),
     "u5_compensated": lambda s, d: _l1(s, d).select("key").union(_wanted(s, d).where("seq % 4 = 0").select("key")).distinct(),
     "t9_incremental_fetch": lambda s, d: fx.heartbeats(s, d).selectExpr("concat('key-', event_id) as key", "ts").transform(lambda x: cache.new_keys(x, "2024-01-05 12:00:00", 3_600)).agg(F.count("*").alias("n")),
-    "t12_touch": lambda s, d: _entries(s, d).select("key", "last_used", "overwrites"),
+    "t12_touch": lambda s, d: cache.touched(_entries(s, d), _wanted(s, d).select("key", (F.col("seq") * 977 % 2592000).alias("ts"))).select("key", "last_used", "overwrites"),
     "f24_placement_path": lambda s, d: _with_path(_placed(s, d)).select("key", "path"),
     "f26_object_key": lambda s, d: _entries(s, d).select("key", framing.object_key("cache", F.col("key")).alias("object_key")),
     "p17_write_gate": lambda s, d: fx.tasks(s, d).where("cache_key is not null and exit_code = 0").select("task_id"),
@@ -129,24 +136,34 @@ SQL = {
     "a7_outcome_counters": _t("select outcome, count(*) as n from outc group by 1"),
     "a8_tasks_by_state": _v("""select state, count(*) as n, count(exit_code) filter (state = 'Done') as n_exit, coalesce(sum(exit_code) filter (state = 'Done'), 0)::bigint as sum_exit,
   min(task_id) as first_task, max(started_at) as last_started from tasks group by state""", "tasks"),
+    "a8_task_dump": _v("""with f as (select *, (case state when 'Pending' then 0 when 'Dispatched' then 2 else 3 end) as reached from tasks)
+  select task_id, case reached when 0 then 'pending_tasks' when 2 then 'dispatched_tasks' else 'completed_tasks' end as section,
+  case reached when 0 then 'PENDING' when 2 then 'DISPATCHED' else 'DONE' end as state, requestor as task_grant_id, started_at::timestamp as start_deadline,
+  case when reached >= 1 then started_at::timestamp + interval 1 day end as ready_at, case when reached >= 1 then 'host' || requestor % 7 end as servant_location,
+  case when reached >= 2 then started_at::timestamp + interval 2 day end as dispatched_at, case when reached >= 2 then requestor * 3 end as servant_task_id,
+  case when reached = 3 then started_at::timestamp + interval 3 day end as completed_at, case when reached = 3 then exit_code end as exit_code from f""", "tasks"),
     "a10_last_wins": _v("select digest, arg_max(task_id, (started_at, task_id)) as task_id from tasks group by 1", "tasks"),
     "a11_first_wins": _v("select digest, arg_min(task_id, (started_at, task_id)) as task_id from tasks group by 1", "tasks"),
     "a12_total_size": _v("select tenant, sum(size)::bigint as bytes from cache_entries group by 1", "cache_entries"),
     "a14_executor_dump": _v("select servant, count(*) as ever, count(*) filter (not zombie) as alive, max(started_at) as last from grants group by 1", "grants"),
-    "a15_quota_dump": _v("select kind, count(distinct servant) as holders, string_agg(distinct lpad(servant::varchar, 3, '0'), ',' order by lpad(servant::varchar, 3, '0')) as ids from heartbeats group by 1", "heartbeats"),
+    "a15_quota_dump": _v("""select servant, count(*) filter (kind = 'view') as heavyweight_waiters, count(*) filter (kind = 'click') as lightweight_waiters,
+  count(distinct case when kind in ('signup', 'purchase') then k end) as running_tasks, servant % 8 + 2 as max_tasks, 2 as lightweight_task_overprovisioning,
+  coalesce(string_agg(distinct lpad(k::varchar, 3, '0'), ',' order by lpad(k::varchar, 3, '0')) filter (kind in ('signup', 'purchase')), '') as pids
+  from heartbeats where event_id % 16 = 1 group by servant""", "heartbeats"),
     "m6_file_digest_upsert": _v("select tenant, size, arg_max(key, seq) as key from cache_entries group by 1, 2", "cache_entries"),
     "w2_purge_oldest": _e(f"select key, size from (select *, {_BEFORE.format('')} as before, sum(size) over () as total from entries) where total::double - before >= 0.95::double * {LIMIT}"),
     "w3_retain_newest": _e(f"select key, {_BEFORE.format(' desc')} < {LIMIT} as keep from entries"),
     "w5_virtual_nodes": _e("""select node, coalesce(lag(hi) over (order by hi), -1) as lo, hi from points union all
   select (select arg_min(node, hi) from points), (select max(hi) from points), 4294967296""", _RING),
-    "o2_newest": _e("select key, last_used from entries order by last_used desc, key limit 50"),
+    "o2_newest": _e("select key, last_used from entries order by last_used desc, key"),
     "o6_batches": _e("select substr(key, 7, 2) as prefix, ceil(count(*) / 1000.0)::bigint as batches from entries group by 1"),
     "o7_new_keys": _v("select 'key-' || event_id as key, ts from heartbeats where ts >= timestamp '2024-01-10' - interval 86405 seconds", "heartbeats"),
     "u1_all_keys": _e("select key from entries where last_used % 3 = 0 union all select key from entries"),
     "u3_gone_and_found": _e("select key from entries where last_used % 3 = 0 except select key from entries where size % 2 = 0"),
     "u5_compensated": _e("select key from entries where last_used % 3 = 0 union select key from wanted where seq % 4 = 0", _WANTED),
     "t9_incremental_fetch": _v("select count(*) as n from heartbeats where ts >= timestamp '2024-01-05 12:00:00' - interval 3605 seconds", "heartbeats"),
-    "t12_touch": _e("select key, last_used, overwrites from entries"),
+    "t12_touch": _e("""select e.key, case when max(w.seq * 977 % 2592000) > e.last_used then max(w.seq * 977 % 2592000) else e.last_used end as last_used, e.overwrites
+  from entries e left join wanted w on w.key = e.key group by e.key, e.last_used, e.overwrites""", _WANTED),
     "f24_placement_path": _e("select key, path from paths", _RING, _PATH),
     "f26_object_key": _e(f"select key, 'cache/' || ({_H.format('key')} % 128) || '/' || key as object_key from entries"),
     "p17_write_gate": _v("select task_id from tasks where cache_key is not null and exit_code = 0", "tasks"),

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from millrace import fixtures as fx
 from millrace.operators import placement
 from millrace.plans import cache
+from millrace.sources import listing
 
 _t = fx.table
 
@@ -27,6 +28,15 @@ def _sources(s, d):
     return a.union(b).groupBy("env").agg(F.min(F.struct("rank", "registry_ord")).alias("first")).select("env", "first.rank", "first.registry_ord")
 
 
+_STRAY, _OLD = "size % 11 = 0", "size % 7 = 0"
+
+
+def _files(s, d):
+    """The files of a cache: most where they belong, some in an old place, some too deep."""
+    path = F.when(F.expr(_STRAY), F.concat("path", F.lit(".tmp/x"))).when(F.expr(_OLD), F.concat(F.lit("old/0/0/"), F.element_at(F.split("path", "/"), -1))).otherwise(F.col("path"))
+    return cache._with_path(cache._placed(s, d)).select(path.alias("path"), "size")
+
+
 def _zombies(s, d):
     w = W.partitionBy("servant", "k").orderBy("ts", "event_id")
     beats = fx.heartbeats(s, d).withColumn("next", F.lead("ts").over(w))
@@ -41,8 +51,8 @@ QUERIES = {
     "o1_ring_order": lambda s, d: _ring(s, d).select("node", "hi", F.row_number().over(W.orderBy("hi", "node")).cast("bigint").alias("place")),
     "u2_merged_listings": lambda s, d: fx.cache_entries(s, d).where("seq % 3 = 0").select("key", "size").union(fx.cache_entries(s, d).where("seq % 3 <> 0").select("key", "size")),
     "u4_first_environment": _sources,
-    "s3_stray_files": lambda s, d: _t(s, d, "pages").where(F.size(F.split("url", "/")) != 5).select("page_id"),
-    "s9_startup_load": lambda s, d: cache._with_path(cache._placed(s, d)).select("key", F.when(F.col("size") % 7 == 0, "move").otherwise("load").alias("action")),
+    "s3_stray_files": lambda s, d: listing.stray(_files(s, d).withColumn("path", F.concat(F.lit("/data/cache/"), "path")), "/data/cache").select("path"),
+    "s9_startup_load": lambda s, d: placement.startup_load(_files(s, d), cache._nodes(s, d)).select("path", "key", "expected", "action"),
     "s10_memory_info": lambda s, d: fx.servants(s, d).select("registry_ord", F.concat(F.lit("MemAvailable:   "), F.col("memory_available_gib") * 1048576, F.lit(" kB")).alias("l")).select(
         "registry_ord", F.regexp_extract("l", r"^MemAvailable:\s+([0-9]+) kB$", 1).cast("bigint").alias("kib")),
     "p21_admission": _admission,
@@ -78,8 +88,9 @@ SQL = {
     "u2_merged_listings": _v("select key, size from cache_entries", "cache_entries"),
     "u4_first_environment": _v("""with a as (select environments[1] as env, registry_ord, 0 as rank from servants where registry_ord % 3 = 0
   union all select environments[2], registry_ord, 1 from servants where registry_ord % 3 <> 0) select env, min(rank)::int as rank, arg_min(registry_ord, (rank, registry_ord)) as registry_ord from a group by env""", "servants"),
-    "s3_stray_files": "select page_id from pages where len(string_split(url, '/')) <> 5",
-    "s9_startup_load": _v(f"with {cache._LATEST} select key, case when size % 7 = 0 then 'move' else 'load' end as action from entries", "cache_entries"),
+    "s3_stray_files": cache._e(f"select '/data/cache/' || path || '.tmp/x' as path from paths where {_STRAY}", cache._RING, cache._PATH),
+    "s9_startup_load": cache._e(f"""select case when {_STRAY} then path || '.tmp/x' when {_OLD} then 'old/0/0/' || url_encode(key) else path end as path, case when not {_STRAY} then key end as key,
+  case when not {_STRAY} then path end as expected, case when {_STRAY} then 'stray' when {_OLD} then 'move' else 'load' end as action from paths""", cache._RING, cache._PATH),
     "s10_memory_info": _v("select registry_ord, memory_available_gib * 1048576 as kib from servants", "servants"),
     "p21_admission": _v("select registry_ord, running_tasks + 1 <= max_tasks and memory_available_gib >= 2 as admitted from servants", "servants"),
     "t2_zombie_leases": _v("""select event_id, coalesce(lead(ts) over (partition by servant, k order by ts, event_id), timestamp '2024-02-01') > ts + interval 3 days as becomes_zombie from heartbeats""", "heartbeats"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import fixtures as fx
 from millrace.functions import arguments, framing, text
+from millrace.operators import tasks
 
 _OPTS = "[" + ", ".join(f"'{o}'" for o in arguments.ONE_VALUE) + "]"
 # A word is an option's value if the unbroken run of value-taking options before it has an odd length.
@@ -115,8 +116,8 @@ QUERIES = {
     "a16_digest_dump": lambda s, d: fx.cache_entries(s, d).groupBy("key").agg(F.max_by(F.struct("seq", "size"), "seq").alias("last")).select("key", F.to_json("last").alias("v")),
     "j6_compilers_changed": lambda s, d: fx.servants(s, d).where("registry_ord % 3 <> 0").select("registry_ord").withColumn("old", F.lit(True)).join(
         fx.servants(s, d).where("registry_ord % 4 <> 0").select("registry_ord").withColumn("new", F.lit(True)), "registry_ord", "full").where("old is null or new is null").select("registry_ord", F.when(F.col("old").isNull(), "found").otherwise("gone").alias("change")),
-    "j10_patches": lambda s, d: fx.tasks(s, d).where("task_id % 3 = 0").selectExpr("task_id", "concat('.', task_id % 4) as suffix").join(
-        fx.tasks(s, d).where("task_id % 2 = 0").selectExpr("task_id", "concat('.', task_id % 8) as suffix", "task_id % 100 as position"), ["task_id", "suffix"], "left").selectExpr("task_id", "suffix", "coalesce(position, 0) as position"),
+    "j10_patches": lambda s, d: tasks.with_patches(fx.tasks(s, d).where("task_id % 3 = 0").selectExpr("task_id", "concat('.', task_id % 4) as suffix"),
+        fx.tasks(s, d).where("task_id % 2 = 0").selectExpr("task_id", "concat('.', task_id % 8) as suffix", "task_id % 100 as position")),
     "j14_process_task": lambda s, d: fx.tasks(s, d).selectExpr("requestor as pid", "task_id").join(fx.heartbeats(s, d).selectExpr("k as pid").distinct(), "pid").select("pid", "task_id"),
     "j15_positional": lambda s, d: fx.tasks(s, d).select("requestor", F.floor(F.col("task_id") / 64).alias("call"), "task_id").groupBy("requestor", "call").agg(F.sort_array(F.collect_list("task_id")).alias("ids")).select(
         F.explode(F.arrays_zip("ids", F.transform("ids", lambda x: x % 3 == 0).alias("ok"))).alias("z")).select(F.col("z.ids").alias("task_id"), F.col("z.ok").alias("ok")),  # a call names 64 tasks at most
@@ -183,8 +184,9 @@ SQL = {
     "a13_all_any": _v("select id, not list_contains(argv, '') as every, list_contains(argv, '-E') as some from command_lines", "command_lines"),
     "a16_digest_dump": _v("select key, '{\"seq\":' || max(seq) || ',\"size\":' || arg_max(size, seq) || '}' as v from cache_entries group by 1", "cache_entries"),
     "j6_compilers_changed": _v("select registry_ord, case when registry_ord % 3 = 0 then 'found' else 'gone' end as change from servants where (registry_ord % 3 = 0) <> (registry_ord % 4 = 0)", "servants"),
-    "j10_patches": _v("""select a.task_id, a.suffix, coalesce(b.position, 0) as position from (select task_id, '.' || task_id % 4 as suffix from tasks where task_id % 3 = 0) a
-  left join (select task_id, '.' || task_id % 8 as suffix, task_id % 100 as position from tasks where task_id % 2 = 0) b using (task_id, suffix)""", "tasks"),
+    "j10_patches": _v("""select task_id, '.' || task_id % 4 as suffix, case when task_id % 2 = 0 and task_id % 8 = task_id % 4 then task_id % 100 else 0 end as position, null::varchar as error
+  from tasks where task_id % 3 = 0 union all select task_id, '.' || task_id % 8, task_id % 100, 'patch without a file' from tasks
+  where task_id % 2 = 0 and not (task_id % 3 = 0 and task_id % 8 = task_id % 4)""", "tasks"),
     "j14_process_task": _v("select requestor as pid, task_id from tasks where requestor in (select k from heartbeats)", "tasks", "heartbeats"),
     "j15_positional": _v("select task_id, task_id % 3 = 0 as ok from tasks", "tasks"),
     "o3_sorted_names": _v("select registry_ord, array_to_string(list_sort(environments), ',') as v from servants", "servants"),

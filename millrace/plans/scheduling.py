@@ -60,10 +60,8 @@ QUERIES = {
     "w8_grant_fifo": lambda s, d: _grants(s, d).where("started_at >= timestamp_ntz'1996-01-01 00:00:00'").select(
         "servant", "grant_id", F.row_number().over(W.partitionBy("servant").orderBy("started_at", "grant_id")).cast("bigint").alias("place")),
     "f42_next_id": lambda s, d: scheduling.numbered(fx.servants(s, d).select("registry_ord"), "registry_ord"),
-    "t5_batch_grants": lambda s, d: fx.requests(s, d).withColumn("rn", F.row_number().over(W.partitionBy("requestor_ip").orderBy("submitted_at", "request_id"))).select(
-        "request_id", (F.col("rn") == 1).alias("may_wait")),
-    "t8_bounded_staleness": lambda s, d: fx.heartbeats(s, d).withColumn("prev", F.lag("ts").over(W.partitionBy("servant").orderBy("ts", "event_id"))).select(
-        "event_id", (F.col("ts") - F.col("prev") <= F.expr("interval 5 hours")).alias("fresh")),
+    "t5_batch_grants": lambda s, d: scheduling.batch_grants(fx.requests(s, d).selectExpr("request_id", "request_id % 4 as immediate", "request_id % 3 as prefetch", "request_id % 5 as free").where("immediate + prefetch > 0")),
+    "t8_bounded_staleness": lambda s, d: leases.visible_snapshot(fx.heartbeats(s, d).select("servant", "event_id", "ts", (F.col("kind") != "error").alias("ok")), "20 hours").drop("ts"),
     "t17_references": lambda s, d: fx.heartbeats(s, d).select("servant", "event_id", F.sum(F.when(F.col("k") % 2 == 0, 1).otherwise(-1)).over(
         W.partitionBy("servant").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).cast("bigint").alias("refs")),
     "m10_token_refresh": lambda s, d: fx.heartbeats(s, d).select("event_id", F.last(F.when(F.col("k") % 3 == 0, F.col("k")), True).over(
@@ -117,8 +115,12 @@ SQL = {
     "w7_history": _v("select servant, event_id from (select *, row_number() over (partition by servant order by ts desc, event_id desc) as rn from heartbeats) where rn <= 61", "heartbeats"),
     "w8_grant_fifo": _v("select servant, grant_id, row_number() over (partition by servant order by started_at, grant_id) as place from grants where started_at >= timestamp '1996-01-01'", "grants"),
     "f42_next_id": _v("select registry_ord, row_number() over (order by registry_ord) as id from servants", "servants"),
-    "t5_batch_grants": _v("select request_id, row_number() over (partition by requestor_ip order by submitted_at, request_id) = 1 as may_wait from requests", "requests"),
-    "t8_bounded_staleness": _v(f"select event_id, ts - lag(ts) over (partition by servant {_B}) <= interval 5 hours as fresh from heartbeats", "heartbeats"),
+    "t5_batch_grants": _v("""with b as (select request_id, request_id % 4 as im, request_id % 3 as pre, request_id % 5 as free from requests),
+  i as (select request_id, i as slot, false as is_prefetch, i <= free as granted, i = 1 or i - 1 <= free as tried, i = 1 as may_wait from b, range(1, 4) r(i) where i <= im),
+  p as (select request_id, im + i as slot, true as is_prefetch, i <= greatest(free - im, 0) as granted, i = 1 or i - 1 <= greatest(free - im, 0) as tried,
+  i = 1 and (im = 0 or free = 0) as may_wait from b, range(1, 3) r(i) where i <= pre) select * from i union all select * from p""", "requests"),
+    "t8_bounded_staleness": _v("""select servant, event_id, kind <> 'error' as ok, (select max(o.ts) from heartbeats o where o.kind <> 'error' and o.servant = h.servant and (o.ts, o.event_id) <= (h.ts, h.event_id)
+  and o.ts >= h.ts - interval 20 hours) as snapshot_at from heartbeats h""", "heartbeats"),
     "t17_references": _v(f"select servant, event_id, (sum(case when k % 2 = 0 then 1 else -1 end) over (partition by servant {_B} rows unbounded preceding))::bigint as refs from heartbeats", "heartbeats"),
     "m10_token_refresh": _v(f"""select event_id, last_value(case when k % 3 = 0 then k end ignore nulls) over (partition by servant {_B} rows between unbounded preceding and current row) as token from heartbeats""", "heartbeats"),
 }

@@ -54,9 +54,10 @@ QUERIES = {
     "t1_lease_stream": _t1,
     "t2_task_lease_stream": _task_leases,
     "t3_windowed_stream": _windows,
-    "s1_listing": lambda s, d: listing.tree(s, f"{d}/nation.parquet").select(F.regexp_extract("path", "nation", 0).alias("name"), (F.col("size") > 0).alias("filled")).distinct(),
+    "s1_listing": lambda s, d: listing.children(s, d).where("name like '%.parquet'").select("name", (F.col("size") > 0).alias("filled")),
+    "s2_tree": lambda s, d: listing.tree(s, d).select(listing.relative(F.col("path"), d).alias("path"), "size"),
+    "m16_file_times": lambda s, d: listing.tree(s, d).select(listing.relative(F.col("path"), d).alias("path"), "size", "modified"),
     "s6_merged_listing": lambda s, d: fx.cache_entries(s, d).where("last_used % 2 = 0").select("key").unionByName(fx.cache_entries(s, d).where("last_used % 2 = 1").select("key")),
-    "s8_cache_engine": lambda s, d: (s.dataSource.register(listing.CacheEngineSource), s.read.format("cache_engine").option("engine", "counter").option("rows", 1000).load())[1],
     "s13_compiler_dirs": lambda s, d: listing.compiler_dirs(fx.command_lines(s, d).selectExpr("concat('/usr/', id % 5) as directory"), fx.command_lines(s, d).selectExpr("concat('/opt/rh/devtoolset-', id % 7, '/root') as directory")),
     "s20_output_files": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")),
 }
@@ -71,8 +72,8 @@ SQL = {
   union all select p_partkey, strlen(p_name) + 6 + strlen(p_brand), 5, 1 from part""",
     "t1_lease_stream": _v(f"""with {_M} select servant, discovered_at, expires_at, beats from e where (servant, session) not in (select servant, max(session) from e group by 1)
   or expires_at < (select max(ts) from heartbeats)""", "heartbeats"),
+    "s1_listing": "select unnest(string_split('region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations', ' ')) || '.parquet' as name, true as filled",
     "s6_merged_listing": _v("select key from cache_entries", "cache_entries"),
-    "s8_cache_engine": "select 'key-' || i as key, 8 + i as size from range(1000) r(i)",
     "s13_compiler_dirs": """select directory, min(rank)::int as rank from (select '/usr/' || p_partkey % 5 as directory, 0 as rank from part
   union all select '/opt/rh/devtoolset-' || p_partkey % 7 || '/root/bin', 1 from part union all select '/opt/rh/devtoolset-' || i || '/root/bin', 2 from range(1, 100) r(i)) group by 1""",
     "s20_output_files": "select conv_id, count(*) as files, sum(strlen(text))::bigint as bytes from conversations group by 1",

@@ -1,12 +1,11 @@
-"""Directory trees as tables, and a cache-engine data source."""
+"""Directory trees and the cache entries in them as tables."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from millrace.functions import codecs
 
 
 def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
@@ -16,6 +15,18 @@ def tree(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     return files.select(*keep, *([F.col("content")] if content else []))
 
 
+def children(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, size, modified) of the files that lie directly in ``folder``."""
+    files = spark.read.format("binaryFile").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """(path relative to ``root``, size, exit_code, stdout, stderr, files) of a cache's entry files; damaged ones have nulls."""
+    found = tree(spark, root, content=True)
+    return found.select(relative(F.col("path"), root).alias("path"), "size", codecs.unpack_entry("content").alias("e")).select("path", "size", "e.*")
+
+
 def relative(path: Column, root: str) -> Column:
     return F.regexp_replace(path, "^.*?" + "\\Q" + root.rstrip("/") + "\\E/", "")
 
@@ -30,36 +41,3 @@ def compiler_dirs(paths: DataFrame, bundles: DataFrame) -> DataFrame:
     numbered = paths.sparkSession.range(1, 100).select(F.concat(F.lit("/opt/rh/devtoolset-"), F.col("id").cast("string"), F.lit("/root/bin")).alias("directory"))
     every = paths.select("directory", F.lit(0).alias("rank")).union(bundles.select(F.concat("directory", F.lit("/bin")), F.lit(1))).union(numbered.select("directory", F.lit(2)))
     return every.groupBy("directory").agg(F.min("rank").alias("rank"))
-
-
-class _KeyRange(InputPartition):
-    def __init__(self, start: int, stop: int):
-        self.start, self.stop = start, stop
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.rows, self.parts, self.engine = int(options.get("rows", "0")), int(options.get("partitions", "4")), options.get("engine", "null")
-
-    def partitions(self) -> list[InputPartition]:
-        step = -(-self.rows // self.parts) or 1
-        return [_KeyRange(a, min(a + step, self.rows)) for a in range(0, self.rows, step)] or [_KeyRange(0, 0)]
-
-    def read(self, partition: _KeyRange) -> Iterator[tuple]:
-        if self.engine != "null":
-            for i in range(partition.start, partition.stop):
-                yield f"key-{i}", 8 + i
-
-
-class CacheEngineSource(DataSource):
-    """Keys of a cache engine chosen by name: ``null`` has none, ``counter`` has numbered test entries."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "cache_engine"
-
-    def schema(self) -> str:
-        return "key string, size long"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)

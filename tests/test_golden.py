@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import arguments, codecs, framing, text
-from millrace.operators import leases, placement, scheduling
+from millrace.operators import cache, leases, placement, scheduling
+from millrace.sources import listing
 
 
 def one(spark, column, **values):
@@ -125,3 +126,39 @@ def test_cacheable_needs_all_macros_of_the_time(spark):
 def test_numbers_are_consecutive(spark):
     got = scheduling.numbered(spark.range(0, 5000, 7).withColumnRenamed("id", "key"), "key")
     assert [r.id for r in got.orderBy("key").collect()] == list(range(1, len(range(0, 5000, 7)) + 1))
+
+
+def test_cache_tree_on_disk(spark, tmp_path):
+    nodes = spark.createDataFrame([("s1", 1), ("s2", 2)], "node string, weight int")
+    keys = spark.createDataFrame([(f"key {i}/+%",) for i in range(12)], "key string")
+    home = placement.assign(keys, placement.ring(nodes), framing.ring_hash(F.col("key"))).select("key", placement.entry_path().alias("path")).collect()
+    root, want = tmp_path / "cache dir", {}
+    for i, r in enumerate(home):
+        path, action = (r.path, "load") if i > 2 else (f"s9/0/0/{r.path.split('/')[-1]}", "delete") if i else (f"{r.path}/deep", "stray")
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(codecs.encode_entry(i, b"out", b"", b"f" * i)[: -1 if i == 5 else None])
+        want[path] = (None if action == "stray" else r.key, action, i)
+    found = listing.entries(spark, str(root)).collect()
+    assert {r.path: r.exit_code for r in found} == {p: None if i == 5 else i for p, (_, _, i) in want.items()}
+    files = listing.tree(spark, str(root)).select(listing.relative(F.col("path"), str(root)).alias("path"), "size")
+    assert {r.path: (r.key, r.action) for r in placement.startup_load(files, nodes, "delete").collect()} == {p: w[:2] for p, w in want.items()}
+    assert {r.path for r in listing.stray(files.withColumn("path", F.concat(F.lit("/x/"), "path")), "/x").collect()} == {"/x/" + p for p, w in want.items() if w[1] == "stray"}
+    (root / "top").write_bytes(b"1")
+    assert [(r.name, r.size) for r in listing.children(spark, str(root)).collect()] == [("top", 1)]
+
+
+def test_running_sums_of_a_burst(spark):
+    rows = [(f"k{i:03}", 1 + i % 5, 7200 + i % 3 if i < 150 else i * 60) for i in range(300)]
+    entries = spark.createDataFrame(rows, "key string, size long, last_used long")
+    for newest in (False, True):
+        got = {r.key: r.before for r in cache.running_before(entries, newest).collect()}
+        total = 0
+        for key, size, _ in sorted(rows, key=lambda r: (-r[2] if newest else r[2], r[0])):
+            assert got[key] == total
+            total += size
+
+
+def test_gets_touch_entries(spark):
+    entries = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "key string, last_used long")
+    gets = spark.createDataFrame([("a", 9), ("a", 7), ("b", 3), ("x", 8)], "key string, ts long")
+    assert {r.key: r.last_used for r in cache.touched(entries, gets).collect()} == {"a": 9, "b": 5, "c": 5}
