@@ -26,7 +26,7 @@ def _t1(s, d):
 
 def _actions(s, d):
     """Heartbeats as actions on task leases of eight grants a machine: the event's kind says which, its amount how long."""
-    running = F.filter(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: i.cast("bigint")), lambda i: F.col("k").bitwiseAND(F.shiftleft(F.lit(1), i.cast("int"))) != 0)
+    running = F.expr("filter(sequence(0L, 7L), i -> getbit(k, cast(i as int)) = 1)")
     return _stream(s, d).select(
         "servant", "ts", "event_id", F.element_at(F.create_map(*[F.lit(x) for x in _ACTIONS]), F.col("kind")).alias("action"), (F.col("k") % 8).alias("grant_id"), (F.col("k") * 900_000).alias("lease_ms"), running.alias("running"))
 
