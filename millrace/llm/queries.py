@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from millrace.llm import alignment, decontaminate, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, token_counts, toxicity, variants
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the tokens of two tokenizers lie over each other in every document, against the counts of the whole corpus."""
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and how much of it fits into 4,096."""
+    found = token_counts.count(_table(spark, sf_dir, "documents"), limit=4096)
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"), "cut_chars")
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of the corpus with the more frequent spellings that they go back to."""
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_ngram_join": op2_ngram_join,
@@ -93,6 +109,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
+    "op12_token_counts": op12_token_counts,
+    "op13_variants": op13_variants,
 }
 
 SQL: dict[str, str] = {
