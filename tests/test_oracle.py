@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-LLM = {f"op{n}_" for n in range(1, 11)}
+LLM = {f"op{n}_" for n in range(1, 14)}
 SQL = {k: v for k, v in entry.oracle_sql().items() if k.split("_")[0] + "_" not in LLM and k != "pipeline"}
 
 
