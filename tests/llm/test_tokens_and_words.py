@@ -186,7 +186,7 @@ def rows_of(df):
 
 def test_variants(spark):
     rng = random.Random(4)
-    bank = ["".join(rng.choice("abÄéÿx") for _ in range(rng.randint(3, 9))) for _ in range(120)] + ["aaaaa", "aaaaaa", "aaaaaaa", "ÀÉÏabc", "ÿéÄéÿé"]
+    bank = ["".join(rng.choice("abÄéÿx") for _ in range(rng.randint(3, 9))) for _ in range(160)] + ["aaaaa", "aaaaaa", "aaaaaaa", "ÀÉÏabc", "ÿéÄéÿé"]
     rows = [(i, " ".join(rng.choice(bank) for _ in range(150)) + rng.choice(["", "÷×", "漢字abcde", "1a2"])) for i in range(120)]
     rows += [(500, None), (501, ""), (502, "ABCDEabcde " * 4), (502, "abcdeabcde " * 4), (None, "abcdeabcde zzzzz"), (503, "y" * 400 + " " + ("y" * 399 + " ") * 7)]
     docs = spark.createDataFrame([(i, t, "w", "n") for i, t in rows], "doc_id long, text string, word string, n string").repartition(5)
