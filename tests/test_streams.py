@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.streaming import leases, run
+from millrace.streaming import chained, leases, run
 
 START = dt.datetime(2024, 5, 1)
 
@@ -72,3 +72,59 @@ def test_late_rows_count_within_the_watermark(spark, tmp_path):
     stream = batches(spark, tmp_path / "in", rows, "ts timestamp, kind string, k long", 4)
     got = run.available_now(leases.windowed_counts(stream, "12 hours")).select(F.col("window.start").alias("day"), "n")
     assert sorted(map(tuple, got.collect())) == [(START, 2), (START + dt.timedelta(days=1), 1)]
+
+
+def plain_ends(rows, horizon):
+    """One machine after the other, all of its rows in order, with the ends of leases and of the machine looked up at every step."""
+    out = []
+    for servant in {r[0] for r in rows}:
+        mine = sorted((r[1], r[2], *r[3:]) for r in rows if r[0] == servant and r[1] <= horizon)
+        moments, until, held = [*mine, (horizon, 1 << 62, "end", None, None, [])], None, {}
+        for t, _, action, g, lease, running in moments:
+            last = action == "end"
+            if until is not None and (until < t or last and until <= t):
+                for x, (granted, end, n, z) in sorted(held.items()):
+                    if not z and end < until:
+                        out.append((servant, x, granted, end, "zombie", n))
+                    out.append((servant, x, granted, until, "orphaned", n))
+                held, until = {}, None
+            for x, (granted, end, n, z) in sorted(held.items()):
+                if not z and (end < t or last and end <= t):
+                    out.append((servant, x, granted, end, "zombie", n))
+                    held[x] = (granted, end, n, True)
+            lease = dt.timedelta(milliseconds=lease or 0)
+            if action == "report":
+                for x in [x for x, v in held.items() if v[3] and x not in (running or [])]:
+                    granted, _, n, _ = held.pop(x)
+                    out.append((servant, x, granted, t, "swept", n))
+                if lease:
+                    until = t + lease
+                elif until is not None:
+                    out += [(servant, x, v[0], t, "orphaned", v[2]) for x, v in held.items()]
+                    held, until = {}, None
+            elif action == "grant" and until is not None:
+                if g in held:
+                    out.append((servant, g, held[g][0], t, "replaced", held[g][2]))
+                held[g] = (t, t + lease, 0, False)
+            elif action == "renew" and g in held and not held[g][3]:
+                held[g] = (held[g][0], t + lease, held[g][2] + 1, False)
+            elif action == "free" and g in held:
+                granted, _, n, _ = held.pop(g)
+                out.append((servant, g, granted, t, "freed", n))
+    return sorted(out)
+
+
+def test_a_silent_machine_takes_its_grants(spark, tmp_path):
+    rng, rows = random.Random(3), []
+    for i in range(420):
+        action = rng.choice(["grant", "grant", "renew", "free", "report", "report", "other"])
+        lease = rng.choice([0, 60, 900, None]) if action == "report" else rng.randrange(1, 600)
+        rows.append((rng.choice([0, 1, 1, 2]), START + dt.timedelta(seconds=11 * i), i, action, rng.randrange(4), lease and lease * 1000, rng.choice([None, rng.sample(range(5), 2)])))
+    rows += [(7, START + dt.timedelta(seconds=s), 1000 + s, a, 1, n * 1000, []) for s, a, n in ((1, "report", 100), (2, "grant", 900), (3, "grant", 5))]
+    wide = [(None, START, 5000, "grant", 1, 5, []), (7, None, 5001, "grant", 1, 5, [])]
+    schema = "servant long, ts timestamp, event_id long, action string, grant_id long, lease_ms long, running array<long>"
+    got = run.available_now(chained.grant_ends(batches(spark, tmp_path / "in", sorted(rows, key=lambda r: r[1]) + wide, schema, 4))).collect()
+    micros = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    want = plain_ends(rows, rows[419][1] - dt.timedelta(milliseconds=5))
+    assert {w[4] for w in want} == {"zombie", "orphaned", "swept", "replaced", "freed"} and (7, 1, START + dt.timedelta(seconds=3), START + dt.timedelta(seconds=101), "orphaned", 0) in want
+    assert sorted(map(tuple, got)) == sorted((s, g, micros(a), micros(b), o, n) for s, g, a, b, o, n in want)
