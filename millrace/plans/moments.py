@@ -109,5 +109,5 @@ SQL = {
     "j17_in_flight_stream": _v("""with runs as (select event_id as grant_id, (k * 7) % 20 as digest, ts as started_at, ts + to_hours((k % 12)::int) as ends_at from heartbeats where kind in ('view', 'error')),
   q as (select event_id as request_id, k % 20 as digest, ts from heartbeats where kind in ('click', 'purchase')),
   a as (select q.*, (select max(struct_pack(s := started_at, g := grant_id)) from runs where runs.digest = q.digest and started_at <= q.ts and q.ts < ends_at) as run from q)
-  select request_id, digest, run.g as reused_grant, case when run.g is null then 'actually_run' else 'reuse_existing' end as outcome from a where ts <= (select max(ts) from q) - interval 1 hour - interval 1 hour""", "heartbeats"),
+  select request_id, digest, run.g as reused_grant, case when run.g is null then 'actually_run' else 'reuse_existing' end as outcome from a where ts <= (select least((select max(ts) from q), (select max(started_at) from runs) + interval 20 minutes) - interval 13 hours)""", "heartbeats"),
 }

@@ -13,7 +13,7 @@ def in_flight(requests: DataFrame, reports: DataFrame, *, late: str = "1 hour",
     within ``late`` and with the same values; a task runs ``longest`` at most and is first seen within ``late`` of its start.
     A request reuses the task with its digest that started last and runs at that time, ``started_at <= ts < ends_at`` (of
     equal ones the largest grant), else it runs itself.  The answer comes once the watermark, ``late`` behind the newest row
-    of the slower stream, has passed all reports that could matter.  Null digests reuse nothing; rows without a time are left out."""
+    of the slower stream, is ``longest`` past the request, as the join may hold rows back so long.  Null digests reuse nothing; rows without a time are left out."""
     runs = reports.where(F.col("seen").isNotNull()).withWatermark("seen", late).dropDuplicatesWithinWatermark(["grant_id"])
     runs = runs.select(F.col("digest").alias("run_digest"), "grant_id", "started_at", "ends_at", "seen")
     asked = requests.where(F.col("ts").isNotNull()).withWatermark("ts", late)

@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from millrace.streaming import chained, leases, run
+from millrace.streaming import chained, leases, reuse, run
 
 START = dt.datetime(2024, 5, 1)
 
@@ -128,3 +128,21 @@ def test_a_silent_machine_takes_its_grants(spark, tmp_path):
     want = plain_ends(rows, rows[419][1] - dt.timedelta(milliseconds=5))
     assert {w[4] for w in want} == {"zombie", "orphaned", "swept", "replaced", "freed"} and (7, 1, START + dt.timedelta(seconds=3), START + dt.timedelta(seconds=101), "orphaned", 0) in want
     assert sorted(map(tuple, got)) == sorted((s, g, micros(a), micros(b), o, n) for s, g, a, b, o, n in want)
+
+
+def test_requests_reuse_what_is_in_flight(spark, tmp_path):
+    rng = random.Random(8)
+    at = lambda m: START + dt.timedelta(minutes=m)
+    runs = [(i, rng.choice(["a", "b", None]), at(5 * i), at(5 * i + rng.randrange(0, 200))) for i in range(120)]
+    reports = sorted(((g, d, b, e, b + dt.timedelta(minutes=m)) for g, d, b, e in runs for m in rng.choice([(0,), (0, 7), (0, 30, 50)])), key=lambda r: r[4])
+    asked = [(i, rng.choice(["a", "b", "c", None]), at(3 * i + 1)) for i in range(210)]
+    stream = lambda name, rows, schema: batches(spark, tmp_path / name, rows, schema, 3)
+    got = run.available_now(reuse.in_flight(
+        stream("q", [*asked, (999, "a", at(3000))], "request_id long, digest string, ts timestamp"),
+        stream("r", [*reports, (999, "z", at(3000), at(3001), at(3000))], "grant_id long, digest string, started_at timestamp, ends_at timestamp, seen timestamp")))
+    want = {}
+    for i, d, t in asked:
+        live = [(b, g) for g, x, b, e in runs if d is not None and x == d and b <= t < e]
+        want[i] = max(live)[1] if live else None
+    assert {r.request_id: r.reused_grant for r in got.collect()} == want
+    assert {r.outcome for r in got.collect()} == {"reuse_existing", "actually_run"}
