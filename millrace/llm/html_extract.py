@@ -53,27 +53,86 @@ _CLASSES = frozenset(
 )
 _ROLES = frozenset("navigation banner complementary contentinfo search form alert dialog menu menubar".split())
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>|([^<]+|<)", re.S
-)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
+#: Words that a class name may add to one of the others; with any further word the name says nothing.
+_BESIDE = frozenset("site page global main top bottom left right primary secondary header inner outer container wrapper box list item bar block section area slot unit link links".split())
+#: Class names that make an article of its own one of the readers' or a hint at other pages.
+_ARTICLE_CLASSES = frozenset("comment comments reply disqus ad ads advert advertisement sponsored promo promotion teaser related recommended".split())
+#: Elements whose start ends those before the colon, if no element after it lies between.
+_IMPLIED = {
+    "li": "li:ul ol menu", "dt": "dt dd:dl", "dd": "dt dd:dl", "td": "td th:table", "th": "td th:table", "tr": "tr td th:table",
+    "tbody": "thead tbody tfoot tr td th:table", "thead": "thead tbody tfoot tr td th:table", "tfoot": "thead tbody tfoot tr td th:table",
+} | dict.fromkeys(
+    "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split(),
+    "p:table td th caption button",
+)
+_ENDS = {name: tuple(frozenset(x.split()) for x in rule.split(":")) for name, rule in _IMPLIED.items()}
+
+# Possessive, so that every tag is read once; quotes count after an equals sign alone.
+_TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))*+)>")
+_ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))", re.I)
+_PARTS = re.compile(r"[-_]+")
+
+
+def _names_chrome(name: str) -> bool:
+    words = [w for w in _PARTS.split(name) if w]
+    return name in _CLASSES or not _CLASSES.isdisjoint(words) and all(w in _CLASSES or w in _BESIDE for w in words)
 
 
 def _is_chrome(tag: str, attributes: str, in_main: bool) -> bool:
     if tag in _CHROME or tag == "header" and not in_main:
         return True
     for name, *values in _ATTRIBUTE.findall(attributes):
-        words = _PARTS.split("".join(values).lower())
-        if name.lower() == "role" and words[0] in _ROLES or name.lower() != "role" and tag not in ("body", "html", "article", "main") and not _CLASSES.isdisjoint(words):
+        names = "".join(values).lower().split()
+        if name.lower() == "role":
+            if names and names[0] in _ROLES:
+                return True
+        elif tag == "article":
+            if not _ARTICLE_CLASSES.isdisjoint(names):
+                return True
+        elif tag not in ("body", "html", "main") and any(map(_names_chrome, names)):
             return True
     return "hidden" in attributes and bool(re.search(r"\bhidden\b(?!=)", _ATTRIBUTE.sub("", attributes)))
 
 
+def _tokens(source: str):
+    """Pieces of text, as strings, and tags, as matches of ``_TAG``; elements without readable content are passed over.
+
+    Comments and declarations are left out, a tag that does not end is text. Every character is looked at a bounded number of times."""
+    at, last = 0, source.rfind(">")
+    while at < len(source):
+        start = source.find("<", at)
+        if start < 0 or start > last:  # no tag any more
+            yield source[at:]
+            return
+        if start > at:
+            yield source[at:start]
+        if source.startswith("<!--", start):
+            stop = source.find("-->", start + 4)
+            at = stop + 3 if stop >= 0 else len(source)
+        elif source.startswith(("<!", "<?"), start):
+            at = source.find(">", start) + 1
+        elif m := _TAG.match(source, start):
+            at = m.end()
+            name = m[2].lower()
+            if name in _RAW and not m[1]:
+                if not m[3].endswith("/"):
+                    stop = re.compile(rf"</{name}\s*+>", re.I).search(source, at)
+                    at = stop.end() if stop else len(source)
+            else:
+                yield m
+        else:
+            yield "<"
+            at = start + 1
+
+
 def blocks(source: str | None) -> list[tuple[str, str, bool, str]]:
-    """(region, tag, chrome, text) of each block with text, in page order; region is article, main or an empty string."""
+    """(region, tag, chrome, text) of each block with text, in page order; region is article, main or an empty string.
+
+    An element that HTML ends without an end tag ends where it must: a paragraph before the next block, an item, a term, a
+    row or a cell before the next one."""
     out: list[tuple[str, str, bool, str]] = []
     stack: list[tuple[str, bool]] = []
+    is_open: dict[str, int] = {}
     chrome = depth_article = depth_main = 0
     parts: list[str] = []
     tag = ""
@@ -85,23 +144,40 @@ def blocks(source: str | None) -> list[tuple[str, str, bool, str]]:
             out.append((region, tag, chrome > 0, text))
         parts.clear()
 
-    at, source = 0, source or ""
-    while m := _TOKEN.search(source, at):
-        at = m.end()
-        if m[4] is not None:
-            parts.append(entities.unescape(m[4]) if "&" in m[4] else m[4])
-            continue
-        if m[2] is None:
+    def pop_to(depth: int) -> None:
+        nonlocal chrome, depth_article, depth_main, tag
+        while len(stack) > depth:
+            top, bad = stack.pop()
+            if bad:
+                end()
+            is_open[top] -= 1
+            chrome -= bad
+            depth_article -= top == "article"
+            depth_main = max(0, depth_main - (top == "main"))
+        tag = stack[-1][0] if stack else ""
+
+    for m in _tokens(source or ""):
+        if isinstance(m, str):
+            parts.append(entities.unescape(m) if "&" in m else m)
             continue
         name = m[2].lower()
         if not m[1]:
-            if name in _RAW and not m[3].endswith("/"):
-                stop = re.compile(rf"</{name}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else len(source)
-                continue
             if name in ("br", "wbr"):
                 parts.append(" " if name == "br" else "")
                 continue
+            if name in _ENDS and any(is_open.get(x) for x in _ENDS[name][0]):
+                closed, beyond = _ENDS[name]
+                depth = None
+                for k in range(len(stack) - 1, -1, -1):
+                    if stack[k][0] in beyond:
+                        break
+                    if stack[k][0] in closed:
+                        depth = k
+                        if name in ("li", "dt", "dd", "td", "th") or closed == {"p"}:
+                            break
+                if depth is not None:
+                    end()
+                    pop_to(depth)
             if name in _VOID:
                 if name == "hr":
                     end()
@@ -113,24 +189,19 @@ def blocks(source: str | None) -> list[tuple[str, str, bool, str]]:
             if m[3].endswith("/") and name not in ("p", "div", "a", "span"):
                 continue
             stack.append((name, bad))
+            is_open[name] = is_open.get(name, 0) + 1
             chrome += bad
             depth_article += name == "article"
             depth_main += name == "main" or 'role="main"' in m[3]
-        else:
-            if all(x[0] != name for x in stack):
-                continue
+        elif is_open.get(name):
+            depth = len(stack) - 1
+            while stack[depth][0] != name:
+                depth -= 1
             if name not in _INLINE:
                 end()
-            while stack:
-                top, bad = stack.pop()
-                if bad:
-                    end()
-                chrome -= bad
-                depth_article -= top == "article"
-                depth_main = max(0, depth_main - (top == "main"))
-                if top == name:
-                    break
-            tag = stack[-1][0] if stack else ""
+            elif any(x not in _INLINE for x, _ in stack[depth:]):
+                continue  # an inline end does not close the blocks within
+            pop_to(depth)
     end()
     return out
 
