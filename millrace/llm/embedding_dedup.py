@@ -121,14 +121,14 @@ def _blocks(least: float):
             return
         u = np.frombuffer(b"".join(g["vec"]), np.float64).reshape(len(g), -1)
         u = u / np.linalg.norm(u, axis=1)[:, None]
-        home, chunk, copies = g["home"].to_numpy(), g["chunk"].to_numpy(), g["copies"].to_numpy()
+        ids, home, chunk, copies = g["id"].to_numpy(), g["home"].to_numpy(), g["chunk"].to_numpy(), g["copies"].to_numpy()
         homes, probes = np.stack(g["homes"]), np.stack(g["probes"])
         count, left, right = np.zeros(len(g), np.int64), [], []
         for at in range(0, len(g), 512):
             near = u[at : at + 512] @ u.T >= least
             i, j = np.nonzero(near)
             i = i + at
-            ok = (i < j) & (home[i] | home[j])
+            ok = (i < j) & (home[i] | home[j]) & (ids[i] != ids[j])
             if split:
                 ok &= chunk[i] != chunk[j]
             i, j = i[ok], j[ok]
@@ -164,14 +164,16 @@ def link(vectors: DataFrame, *, key: str = "vec_id", vector: str = "embedding",
     """(key, n_links, component_id, kept) for every row of ``vectors``; ``key`` is an integer.
 
     Vectors that are null, empty, zero, or hold nulls or non-finite numbers link with nothing; vectors of unlike length
-    never link.  Rows that repeat a key count once, with the smallest of its vectors, and are all returned; a null key has a
+    never link.  Components may have any finite size, as vectors are scaled before lengths are taken.  Rows that repeat a key count once, with the smallest of its vectors, and are all returned; a null key has a
     null component.  An empty table gives an empty result; other columns play no part, whatever their names.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embedding-dedup")
     rows = vectors.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     sound = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
-    rows = scratch.save(rows.where(sound).groupBy("id").agg(F.min("vec").alias("vec")))
+    largest = F.array_max(F.transform("vec", F.abs))  # of a sound vector; lengths are then neither too small nor too large
+    rows = rows.where(sound).withColumn("largest", largest).select("id", F.expr("transform(vec, x -> x / largest)").alias("vec"))
+    rows = scratch.save(rows.groupBy("id").agg(F.min("vec").alias("vec")))
     # two written tables, so that Spark can split a vector with many copies
     reps = scratch.save(rows.groupBy("vec").agg(F.min("id").alias("rep"), F.count("*").alias("copies")))
     members = scratch.save(rows.join(reps, "vec").select("id", "rep", "copies"))
