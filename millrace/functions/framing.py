@@ -43,7 +43,7 @@ def decode_chunks(message: Column, allow_empty: bool = True) -> Column:
     """Parts of a multi-chunk message as array<binary>; null if the header or the total length is wrong."""
     header = F.substring_index(message.cast("string"), "\r\n", 1)
     sizes = F.transform(F.split(header, ","), lambda x: x.try_cast("bigint"))
-    good = message.cast("string").contains("\r\n") & header.rlike("^[0-9]{1,9}(,[0-9]{1,9})*$")
+    good = message.cast("string").contains("\r\n") & header.rlike("^[0-9]{1,10}(,[0-9]{1,10})*$")
     good = good & (F.aggregate(sizes, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x, F.lit(0))) + F.octet_length(header) + 2 == F.octet_length(message))
     if not allow_empty:
         good = good & F.forall(sizes, lambda x: x > 0)

@@ -70,7 +70,7 @@ QUERIES = {
     "j1_two_level_get": lambda s, d: cache.two_level_get(_wanted(s, d), _l1(s, d), _entries(s, d)),
     "j2_inflight_reuse": lambda s, d: _outcomes(s, d).where("reused_grant is not null").select("task_id", "reused_grant"),
     "j7_environment_path": lambda s, d: fx.requests(s, d).join(
-        F.broadcast(fx.servants(s, d).select(F.explode("environments").alias("env"), "registry_ord").groupBy("env").agg(F.min("registry_ord").alias("provider"))), "env").select("request_id", "provider"),
+        fx.servants(s, d).select(F.explode("environments").alias("env"), "registry_ord").groupBy("env").agg(F.min("registry_ord").alias("provider")), "env").select("request_id", "provider"),
     "j8_file_digest": lambda s, d: fx.cache_entries(s, d).alias("a").join(
         fx.cache_entries(s, d).where("seq % 2 = 0").select("key", "size", "last_used", F.col("seq").alias("known")), ["key", "size", "last_used"]).select("seq", "known"),
     "j11_consistent_hash": lambda s, d: _placed(s, d).select("key", "node"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace import fixtures as fx
-from millrace.functions import arguments, framing, text
+from millrace.functions import arguments, framing, machines, text
 from millrace.operators import tasks
 
 _OPTS = "[" + ", ".join(f"'{o}'" for o in arguments.ONE_VALUE) + "]"
@@ -93,21 +93,23 @@ QUERIES = {
     "f36_padded_workspace": lambda s, d: _parts(s, d).select("id", F.md5(text.padded_workspace(F.concat(F.lit("/dev/shm/"), F.col("id").cast("string")))).alias("v")),
     "f37_result_name": lambda s, d: _parts(s, d).select("id", text.result_name(F.col("suffix"), F.col("destination")).alias("v")),
     "f38_fetch_interval": lambda s, d: fx.servants(s, d).select("registry_ord", (F.lit(600) + framing.ring_hash(F.col("observed_location")) % 120).alias("v")),
-    "f39_executor_limit": lambda s, d: fx.servants(s, d).selectExpr("registry_ord", "cast(case when priority = 1 then num_processors * 95 div 100 when num_processors <= 16 then 0 else num_processors * 40 div 100 end as bigint) as v"),
-    "f40_local_limit": lambda s, d: _parts(s, d).selectExpr("id", "greatest(cores div 2, 1) as heavy", "greatest(cores div 2, 1) * 2 as light"),
-    "f41_temp_dir": lambda s, d: _parts(s, d).selectExpr("id", "case when id % 5 = 0 then '' when shm < 10737418240 then '/tmp' else '/dev/shm' end as v"),
+    "f39_executor_limit": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.executor_limit(F.expr("if(p_size % 9 = 0, p_size, -1)"), F.expr("p_brand like '%1'"), F.col("p_size") * 2, F.expr("p_partkey % 6 = 0")).alias("v")),
+    "f40_local_limit": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.local_limits(F.expr("if(p_size % 9 = 0, p_size, 0)"), F.expr("nullif(p_partkey % 40, 0)"), F.col("p_size"), 0.5).alias("v")).select("p_partkey", "v.*"),
+    "f41_temp_dir": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.temp_dir(F.expr("if(p_brand like '%2', '', p_name)"), F.expr("cast(p_retailprice * 8000000 as bigint)")).alias("v")),
     "f43_content_hash": _docs(lambda: F.sha2("text", 256)),
-    "s11_cgroup": lambda s, d: _parts(s, d).select("id", F.split(F.concat(F.lit("3:memory:"), F.when(F.col("id") % 3 == 0, "/docker/a").when(F.col("id") % 3 == 1, "/").otherwise("/user.slice")), ":", 3).alias("x")).select(
-        "id", (F.col("x")[1].isin("memory", "cpuacct,cpu") & ~F.col("x")[2].isin("/", "/user.slice")).alias("v")),
+    "s11_cgroup": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.in_cgroup(F.expr("array(concat('9:', if(p_size % 2 = 0, 'pids', 'cpu,cpuacct'), ':', if(p_size % 3 = 0, '/', '/docker/a:b')), if(p_partkey % 10 = 0, '0::/init.scope', '4:memory:/user.slice'), 'x')")).alias("v")),
     "s12_cpu_quota": lambda s, d: _parts(s, d).selectExpr("id", "least(cores, bytes div 100000000) as v"),
     "s21_keyed_buffers": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat("role", F.col("turn").cast("string")), F.octet_length("text"))))).alias("m")).select("conv_id", F.explode("m").alias("name", "bytes")),
     "p8_distributable": lambda s, d: _cl(s, d).select("id", F.coalesce(arguments.distributable(F.col("p")), F.lit(False)).alias("v")),
     "p9_lightweight": lambda s, d: _cl(s, d).select("id", arguments.lightweight(F.col("p")).alias("v")),
     "p10_small_input": lambda s, d: fx.table(s, d, "documents").where(F.octet_length("text") < 8192).select("doc_id"),
     "p11_cacheable": lambda s, d: fx.command_lines(s, d).select("id", arguments.cacheable(F.col("argv"), F.concat(F.lit("int main() { return "), F.when(F.col("id") % 4 == 0, "__TIMESTAMP__").when(F.col("id") % 4 == 1, "__DATE__").when(F.col("id") % 4 == 2, "TIME").otherwise("0"), F.lit("; }"))).alias("v")),
-    "p12_submit_validation": lambda s, d: fx.tasks(s, d).selectExpr("task_id", "case when requestor <= 1 then 'bad pid' when cache_control not between 0 and 2 then 'bad cache control' when digest = '' and cache_control <> 0 then 'no digest' end as v"),
-    "p13_no_wrappers": lambda s, d: _parts(s, d).where(~(F.col("compiler").endswith("ccache") | F.col("compiler").endswith("distcc") | F.col("compiler").endswith("icecc"))).select("id"),
-    "p14_executable": lambda s, d: _parts(s, d).selectExpr("id", "(p_size & 8) <> 0 and id % 3 = 0 or (p_size & 4) <> 0 and id % 3 = 1 or (p_size & 1) <> 0 as v"),
+    "p12_submit_validation": lambda s, d: fx.table(s, d, "orders").select("o_orderkey", machines.submit_error(
+        F.expr("if(o_custkey % 13 = 0, 1, o_custkey + 1)"), F.expr("if(o_orderkey % 11 = 0, '', o_orderpriority)"), F.expr("if(o_orderkey % 17 = 0, null, o_orderstatus)"), F.expr("o_orderkey % 4"), F.expr("if(o_orderkey % 5 = 0, '', 'd')")).alias("v")),
+    "p13_no_wrappers": lambda s, d: fx.table(s, d, "part").select("p_partkey", F.concat(F.lit("/usr/bin/"), F.expr("element_at(array('g++', 'ccache', 'distcc', 'gcc-icecc', 'ccache-g++', 'clang'), cast(1 + p_size % 6 as int))")).alias("path")).where(
+        ~machines.is_wrapper(F.col("path"))),
+    "p14_executable": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.executable(
+        F.expr("cast(p_partkey % 512 as int)"), F.expr("p_size % 3"), F.expr("p_size % 5"), F.lit(1), F.array(F.lit(2), F.lit(4))).alias("v")),
     "p15_language": lambda s, d: _cl(s, d).select("id", arguments.language(F.col("p")).alias("v")),
     "p16_compiler_root": lambda s, d: _parts(s, d).select("id", text.compiler_root(F.col("compiler"), F.col("id") % 10 == 0).alias("v")),
     "p19_filter_request": lambda s, d: _parts(s, d).selectExpr("id", "id % 50 <= p_size as v"),
@@ -163,20 +165,22 @@ SQL = {
     "f36_padded_workspace": _p("md5(rpad('/dev/shm/' || id || '/', 4066, 'A')) as v"),
     "f37_result_name": _p("case when suffix = '.o' then destination else 'out/' || id || suffix end as v"),
     "f38_fetch_interval": _v("select registry_ord, 600 + ('0x' || substr(md5(observed_location), 1, 8))::bigint % 120 as v from servants", "servants"),
-    "f39_executor_limit": _v("select registry_ord, (case when priority = 1 then num_processors * 95 // 100 when num_processors <= 16 then 0 else num_processors * 40 // 100 end)::bigint as v from servants", "servants"),
-    "f40_local_limit": _p("greatest(cores // 2, 1) as heavy, greatest(cores // 2, 1) * 2 as light"),
-    "f41_temp_dir": _p("case when id % 5 = 0 then '' when shm < 10737418240 then '/tmp' else '/dev/shm' end as v"),
+    "f39_executor_limit": """select p_partkey, (case when p_size % 9 = 0 then p_size when ends_with(p_brand, '1') then p_size * 190 // 100 when p_partkey % 6 = 0 or p_size <= 8 then 0 else p_size * 80 // 100 end)::bigint as v from part""",
+    "f40_local_limit": """with h as (select p_partkey, (case when p_size % 9 = 0 and p_size > 0 then p_size when p_partkey % 40 > 0 and p_partkey % 40 < p_size then greatest(p_partkey % 40 // 2, 1) else greatest(p_size // 2, 1) end)::bigint as heavy from part)
+  select p_partkey, heavy, heavy + heavy // 2 as light from h""",
+    "f41_temp_dir": """select p_partkey, case when ends_with(p_brand, '2') then '' when trunc(p_retailprice * 8000000) < 10737418240 then '/tmp' else '/dev/shm' end as v from part""",
     "f43_content_hash": "select doc_id, sha256(text) as v from documents",
-    "s11_cgroup": _p("id % 3 = 0 as v"),
+    "s11_cgroup": "select p_partkey, p_partkey % 10 = 0 or (p_size % 2 = 1 and p_size % 3 > 0) as v from part",
     "s12_cpu_quota": _p("least(cores, bytes // 100000000) as v"),
     "s21_keyed_buffers": "select distinct conv_id, role || turn as name, strlen(text)::int as bytes from conversations",
     "p8_distributable": _c("c and coalesce(x in ('c', 'c++'), true) and not dash and len(coalesce(files, [])) = 1 and not regexp_matches(files[1], '\\.[sS]$') as v"),
     "p9_lightweight": _c("light as v"),
     "p10_small_input": "select doc_id from documents where strlen(text) < 8192",
     "p11_cacheable": _v("select id, id % 4 > 1 or (len(list_filter(argv, lambda a: starts_with(a, '-D__TIME__='))) > 0 and len(list_filter(argv, lambda a: starts_with(a, '-D__DATE__='))) > 0 and len(list_filter(argv, lambda a: starts_with(a, '-D__TIMESTAMP__='))) > 0) as v from command_lines", "command_lines"),
-    "p12_submit_validation": _v("select task_id, case when requestor <= 1 then 'bad pid' when cache_control not between 0 and 2 then 'bad cache control' when digest = '' and cache_control <> 0 then 'no digest' end as v from tasks", "tasks"),
-    "p13_no_wrappers": f"with {_PARTS} select id from parts where not regexp_matches(compiler, '(ccache|distcc|icecc)$')",
-    "p14_executable": _p("(p_size & 8) <> 0 and id % 3 = 0 or (p_size & 4) <> 0 and id % 3 = 1 or (p_size & 1) <> 0 as v"),
+    "p12_submit_validation": """select o_orderkey, ['bad pid', 'no source path', 'no arguments', 'bad cache control', 'no digest'][list_position([o_custkey % 13 = 0 or o_custkey = 0, o_orderkey % 11 = 0, o_orderkey % 17 = 0, o_orderkey % 4 = 3,
+    o_orderkey % 4 > 0 and o_orderkey % 5 = 0], true)] as v from orders""",
+    "p13_no_wrappers": "select p_partkey, '/usr/bin/' || ['g++', '', '', '', 'ccache-g++', 'clang'][1 + p_size % 6] as path from part where p_size % 6 in (0, 4, 5)",
+    "p14_executable": "select p_partkey, (p_partkey // 64 % 2 = 1 and p_size % 3 = 1) or (p_partkey // 8 % 2 = 1 and p_size % 5 in (2, 4)) or p_partkey % 2 = 1 as v from part",
     "p15_language": _c("coalesce(x, case when regexp_matches(files[1], '\\.(cc|cpp|cxx)$') then 'c++' when ends_with(files[1], '.c') then 'c' end) as v"),
     "p16_compiler_root": _p(_root.format("id % 10 = 0") + " as v"),
     "p19_filter_request": _p("id % 50 <= p_size as v"),

@@ -85,7 +85,7 @@ class TaskLeaseProcessor(StatefulProcessor):
                 lease[1] = lease[1] or lease[0] < r.ts
             say = lambda g, what: out.append((key[0], g, r.ts, r.event_id, what))  # noqa: B023, E731
             if r.action == "report":
-                listed = set(r.running)
+                listed = set() if r.running is None else set(r.running)
                 for g in sorted(listed):
                     if g not in held or held[g][1]:
                         say(g, "unknown")
