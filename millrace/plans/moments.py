@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace import fixtures as fx
 from millrace.operators import timeline
-from millrace.streaming import chained, reuse, run
+from millrace.streaming import chained, lifetimes, reuse, run
 
 _M = fx.MACHINES
 #: Running digests of a snapshot, from the number in its event.
@@ -57,6 +57,19 @@ def _reused(s, d):
         "explode(array(ts, ts + interval 10 minutes, ts + interval 20 minutes)) as seen")
     return run.available_now(reuse.in_flight(requests, reports)).select("request_id", "digest", "reused_grant", "outcome")
 
+#: What an event does to a task, by its kind and whether its number is even.
+_LIVES = {"signup": ("queue", "run"), "click": ("start", "share"), "view": ("alive", "alive"), "purchase": ("done", "fetch"), "error": ("free", "gone")}
+_HOUR = 3_600_000
+_ALIVE_H, _KEEP_H = 48, 36
+
+
+def _lives(s, d):
+    """Tasks of users: each user's events are the actions on one task after the other."""
+    action = F.coalesce(*[F.when(F.col("kind") == x, F.when(F.col("k") % 2 == 0, even).otherwise(odd)) for x, (even, odd) in _LIVES.items()])
+    rows = run.table_stream(s, d, "events").selectExpr("user_id as task_id", "cast(ts as timestamp) as ts", "event_id", "event_type as kind", "cast(get_json_object(props, '$.k') as bigint) as k")
+    rows = rows.select("task_id", "ts", "event_id", action.alias("action"), F.expr(f"(k % 40) * {_HOUR}L").alias("start_ms"))
+    return run.available_now(lifetimes.task_ends(rows, alive_ms=_ALIVE_H * _HOUR, keep_ms=_KEEP_H * _HOUR))
+
 
 QUERIES = {
     "p21_admission_at": _held,
@@ -64,6 +77,7 @@ QUERIES = {
     "t6_grant_queue": _queue,
     "t2_grant_ends_stream": _ends,
     "j17_in_flight_stream": _reused,
+    "t15_task_lives_stream": _lives,
 }
 
 _v = fx.with_views
@@ -106,6 +120,29 @@ SQL = {
       and (l.stop is null or e.seq < l.stop.seq) and (e.k >> l.grant_id) & 1 = 0), stop) as fin from leased l)
   select servant, grant_id, granted_at, until as "at", 'zombie' as outcome, renewals from ended where until <= (select upto from horizon) and (fin is null or until < fin."at")
   union all select servant, grant_id, granted_at, fin."at", fin.outcome, renewals from ended where fin is not null""", "heartbeats"),
+    # the rows of a task one after the other: what is held before a row is the state after the one ahead, unless its deadline has passed
+    "t15_task_lives_stream": "with recursive" + f""" h as (select (max(epoch_us(ts)) // 1000 - 1) * 1000 as upto from events),
+  e as (select user_id as task_id, epoch_us(ts) as "at", k % 40 * 3600000000 as start, row_number() over (partition by user_id order by ts, event_id) as n,
+    case event_type {' '.join(f"when '{x}' then case when k % 2 = 0 then '{even}' else '{odd}' end" for x, (even, odd) in _LIVES.items())} end as action
+    from (select *, json_extract_string(props, '$.k')::bigint as k from events) where epoch_us(ts) <= (select upto from h)),
+  every as (select * from e union all select task_id, upto + 1, 0, max(n) + 1, 'end' from e, h group by task_id, upto),
+  s(task_id, n, "at", born, phase, due, clients, closed, how, held_born, held_clients, late, late_how, late_born, late_clients) as (
+    select distinct task_id, 0::bigint, 0::bigint, null::bigint, null::varchar, null::bigint, 0::bigint, null::bigint, null::varchar, null::bigint, null::bigint, null::bigint, null::varchar, null::bigint, null::bigint from every
+    union all select task_id, n, "at",
+      case when how is not null then null when open then "at" else b end,
+      case when how is not null then null when open and action = 'queue' then 'queued' when open then 'running' when action = 'start' and p = 'queued' then 'running' when action = 'done' and p = 'running' then 'done' else p end,
+      case when how is not null then null when open and action = 'queue' then "at" + start when open then null
+        when action = 'start' and p = 'queued' or action = 'alive' and p = 'running' and u is not null then "at" + {_ALIVE_H * _HOUR * 1000} when action = 'done' and p = 'running' then "at" + {_KEEP_H * _HOUR * 1000} else u end,
+      case when how is not null then 0 when open then 1 when action = 'share' and p <> 'queued' then c + 1 when action = 'free' and p <> 'queued' then c - 1 else c end,
+      case when how is not null then "at" end, how, b, c,
+      case when passed then due end, case when passed then case phase when 'queued' then 'not_started' when 'running' then 'silent' else 'dropped' end end, case when passed then born end, case when passed then clients end
+    from (select *, p is null and action in ('queue', 'run') as open,
+        case when action = 'gone' and p is not null then 'orphaned' when action = 'fetch' and p = 'done' then 'fetched' when action = 'free' and c = 1 and p = 'running' then 'killed' when action = 'free' and c = 1 and p = 'done' then 'freed' end as how
+      from (select v.task_id, v.n, v."at", v.action, v.start, s.phase, s.due, s.born, s.clients, coalesce(s.due < v."at", false) as passed,
+          case when s.due < v."at" then null else s.phase end as p, case when s.due < v."at" then null else s.due end as u, case when s.due < v."at" then null else s.born end as b, case when s.due < v."at" then 0 else s.clients end as c
+        from s join every v on v.task_id = s.task_id and v.n = s.n + 1)))
+  select task_id, late_born as born_at, late as "at", late_how as outcome, late_clients as clients from s where late is not null
+  union all select task_id, held_born, closed, how, held_clients from s where how is not null""",
     "j17_in_flight_stream": _v("""with runs as (select event_id as grant_id, (k * 7) % 20 as digest, ts as started_at, ts + to_hours((k % 12)::int) as ends_at from heartbeats where kind in ('view', 'error')),
   q as (select event_id as request_id, k % 20 as digest, ts from heartbeats where kind in ('click', 'purchase')),
   a as (select q.*, (select max(struct_pack(s := started_at, g := grant_id)) from runs where runs.digest = q.digest and started_at <= q.ts and q.ts < ends_at) as run from q)
