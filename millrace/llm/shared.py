@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import xxhash
@@ -15,6 +18,7 @@ from pyspark.sql import Window as W
 SPACES = r"[\x20\x09-\x0D]+"
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+_MADE: ContextVar[list | None] = ContextVar("made", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,11 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes those no longer read, ``passing`` all that are
+    made inside."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        if _MADE.get() is not None:
+            _MADE.get().append(self)
 
     def save(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -48,12 +55,29 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        self._delete(*[t._scratch_path for t in tables])
+
+    def _delete(self, *paths: str) -> None:
         jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
+        for p in paths:
+            path = jvm.org.apache.hadoop.fs.Path(p)
             path.getFileSystem(conf).delete(path, True)
 
 
+@contextmanager
+def passing() -> Iterator[None]:
+    """Removes every scratch table that operators make inside; results that are wanted later are written inside as well, by
+    a ``Scratch`` made before."""
+    made = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for scratch in made:
+            scratch._delete(scratch.root)
+
+
 def sample_labelled(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, per_class: int, max_chars: int, total_chars: int):
     """At most ``per_class`` texts and ``total_chars`` characters of each label 0 and 1, as rows (k, t, y), collected for training.
 
