@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, mixing, ngram_join, quality
 from millrace.llm.queries import quality_model
-from millrace.llm.shared import Scratch
+from millrace.llm.shared import Scratch, passing
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -47,19 +47,23 @@ STAGES = [
     ("mixing sources", mixing_stage),
 ]
 
-#: The classifier and the similarity join have no SQL; run() is tested against brute-force versions.
+#: The classifier has no SQL; each stage is tested against plain code, or against its operator's SQL over its own input.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn over the documents table; each result is written to the shared folder and read again.
+    """All stages in turn over the documents table; each result is written to the shared folder and read again, and what a
+    stage wrote meanwhile, like the result before it, is removed then.
 
     Other columns of the table are left out.  Null and empty texts pass or fail by their quality score like others and
     have no words to schedule; rows that repeat an id share their fate in the join and in decontamination; of equal texts the
     smallest id stays; a null id is kept but never joined; an empty table gives an empty schedule.  Texts are read whole.
     """
-    scratch = Scratch(spark, "pipeline")
+    scratch, ahead = Scratch(spark, "pipeline"), []
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES:
-        docs = scratch.save(stage(spark, docs, sf_dir))
+        with passing():
+            docs = scratch.save(stage(spark, docs, sf_dir))
+        scratch.drop(*ahead)
+        ahead = [docs]
     return docs
