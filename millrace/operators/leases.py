@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from millrace.operators import timeline
 
 
 def unknown_tasks(reported: DataFrame, grants: DataFrame) -> DataFrame:
@@ -29,10 +30,8 @@ def swept_zombies(grants: DataFrame, reported: DataFrame) -> DataFrame:
 
 def lease_sessions(beats: DataFrame, lease: str) -> DataFrame:
     """Uptimes per servant: heartbeats at most ``lease`` apart belong together, and an uptime ends a lease after its last."""
-    w = W.partitionBy("servant").orderBy("ts", "event_id")
-    marked = beats.withColumn("new", (F.col("ts") > F.lag("ts").over(w) + F.expr(f"interval {lease}")).cast("int"))
-    marked = marked.withColumn("session", F.sum(F.coalesce("new", F.lit(0))).over(w))
-    return marked.groupBy("servant", "session").agg(F.min("ts").alias("discovered_at"), (F.max("ts") + F.expr(f"interval {lease}")).alias("expires_at"), F.count("*").alias("beats"))
+    found = timeline.uptimes(beats, ["servant"], at="ts", gap=lease)
+    return found.select("servant", "session", F.col("first").alias("discovered_at"), (F.col("last") + F.expr(f"interval {lease}")).alias("expires_at"), F.col("n").alias("beats"))
 
 
 def latest_snapshot(beats: DataFrame, *columns: str) -> DataFrame:
@@ -45,9 +44,8 @@ def visible_snapshot(refreshes: DataFrame, bound: str) -> DataFrame:
 
     A refresh that succeeds replaces the snapshot; one that fails keeps it, but clears it once it is older than ``bound``.
     """
-    w = W.partitionBy("servant").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    last = F.last(F.when(F.col("ok"), F.col("ts")), True).over(w)
-    return refreshes.withColumn("_at", last).withColumn("snapshot_at", F.when(F.col("ts") - F.col("_at") <= F.expr(f"interval {bound}"), F.col("_at"))).drop("_at")
+    known = timeline.running_last(refreshes, ["servant"], at="ts", order="event_id", value=F.when(F.col("ok"), F.col("ts")), name="_last")
+    return known.withColumn("snapshot_at", F.when(F.col("ts") - F.col("_last") <= F.expr(f"interval {bound}"), F.col("_last"))).drop("_last")
 
 
 def expired(leases: DataFrame, now: str) -> DataFrame:

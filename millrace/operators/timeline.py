@@ -32,10 +32,12 @@ def _before(summary: DataFrame, keys: list[str], at: str, fold, combine) -> Data
     return near.join(tops, [*keys, "_far"]).select(*keys, at, combine("_top", "_near").alias("carried"))
 
 
-def _carry(moments: DataFrame, keys: list[str], bucket: int, fold, combine) -> DataFrame:
-    """``moments`` (keys, at in microseconds, own), one row per key and moment, with ``upto``: the fold of ``own`` up to and with it."""
+def _carry(moments: DataFrame, keys: list[str], bucket: int, fold, combine, *, own: bool = True) -> DataFrame:
+    """``moments`` (keys, at in microseconds, own), one row per key and moment, with ``upto``: the fold of ``own`` up to it, and
+    with it if ``own``."""
     dealt = moments.withColumn("_bucket", F.floor(F.col("at") / F.lit(bucket * 1_000_000)))
-    inside = dealt.withColumn("_in", fold("own").over(W.partitionBy(*keys, "_bucket").orderBy("at").rowsBetween(W.unboundedPreceding, 0)))
+    frame = W.partitionBy(*keys, "_bucket").orderBy("at").rowsBetween(W.unboundedPreceding, 0 if own else -1)
+    inside = dealt.withColumn("_in", fold("own").over(frame))
     summary = dealt.groupBy(*keys, "_bucket").agg(fold("own", "at").alias("own"))
     ahead = _before(summary, keys, "_bucket", fold, combine)
     return inside.join(ahead, [*keys, "_bucket"]).select(*keys, "at", combine("carried", "_in").alias("upto"))
@@ -91,7 +93,7 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], *, at: str, order:
     shots = right.where(F.col(at).isNotNull()).groupBy(*keys, _micros(at).alias("at")).agg(F.max_by(shot, F.col(order)).alias("own"))
     asked = left.where(F.col(at).isNotNull()).select(*keys, _micros(at).alias("at")).distinct()
     every = shots.unionByName(asked, allowMissingColumns=True).groupBy(*keys, "at").agg(F.first("own", True).alias("own"))
-    seen = _carry(every, keys, bucket, _last, lambda a, b: F.coalesce(b, a)).select(*keys, F.col("at").alias("_at"), F.col("upto").alias("seen"))
+    seen = _carry(every, keys, bucket, _last, _latest).select(*keys, F.col("at").alias("_at"), F.col("upto").alias("seen"))
     got = left.withColumn("_at", _micros(at)).join(seen, [*keys, "_at"], "left")
     if fresh:
         old = F.col("seen._taken") < _micros(at) - (F.unix_micros(F.expr(f"timestamp_seconds(0) + interval {fresh}")))
@@ -99,6 +101,53 @@ def as_of(left: DataFrame, right: DataFrame, keys: list[str], *, at: str, order:
     return got.withColumn("seen", F.col("seen").dropFields("_taken")).drop("_at")
 
 
+def _latest(a: str, b: str) -> Column:
+    return F.coalesce(F.col(b), F.col(a))
+
+
+def _running(rows: DataFrame, keys: list[str], at: str, order: str, value: Column, name: str, bucket: int, fold, combine) -> DataFrame:
+    each = rows.withColumn("_at", _micros(at)).withColumn("_own", value)
+    moments = each.where(F.col("_at").isNotNull()).groupBy(*keys, F.col("_at").alias("at")).agg(fold("_own", order).alias("own"))
+    ahead = _carry(moments, keys, bucket, fold, combine, own=False).select(*keys, F.col("at").alias("_at"), F.col("upto").alias("_ahead"), F.lit(True).alias("_known"))
+    each = each.withColumn("_here", fold("_own").over(W.partitionBy(*keys, "_at").orderBy(order).rowsBetween(W.unboundedPreceding, 0)))
+    return each.join(ahead, [*keys, "_at"], "left").withColumn(name, F.when(F.col("_known"), combine("_ahead", "_here"))).drop("_at", "_own", "_here", "_ahead", "_known")
+
+
+def running_sum(rows: DataFrame, keys: list[str], *, at: str, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` with the sum of ``value`` over all rows of their key up to and with them, by (at, order); nulls add nothing.
+    Rows with a null key or time have null."""
+    return _running(rows, keys, at, order, F.coalesce(value.cast("long"), F.lit(0)), name, bucket, _sum, _add)
+
+
+def running_last(rows: DataFrame, keys: list[str], *, at: str, order: str, value: Column, name: str, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` with the last ``value`` that is not null of their key up to and with them, by (at, order), null if there is none.
+    Rows with a null key or time have null."""
+    return _running(rows, keys, at, order, value, name, bucket, _last, _latest)
+
+
+def numbered(rows: DataFrame, keys: list[str], *, at: str, order: str, name: str, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` with their place from 1 among the rows of their key by (at, order); rows with a null key or time are left out."""
+    return _numbered(rows.where(F.col(at).isNotNull()).dropna(subset=keys), keys, at, order, name, bucket).drop("_at")
+
+
+def earlier(rows: DataFrame, keys: list[str], *, at: str, order: str, value: str, name: str, back: int, bucket: int = BUCKET) -> DataFrame:
+    """``rows`` with the ``value`` of the row that is ``back`` places before them in their key, null if there is none."""
+    placed = numbered(rows, keys, at=at, order=order, name="_place", bucket=bucket)
+    other = placed.select(*keys, (F.col("_place") + back).alias("_place"), F.col(value).alias(name))
+    return placed.join(other, [*keys, "_place"], "left").drop("_place")
+
+
+def uptimes(rows: DataFrame, keys: list[str], *, at: str, gap: str, bucket: int = BUCKET) -> DataFrame:
+    """(keys, session, first, last, n): rows of a key at most ``gap`` apart belong together; those without key or time to none."""
+    many = rows.where(F.col(at).isNotNull()).dropna(subset=keys).groupBy(*keys, F.col(at).alias("_ts")).agg(F.count("*").alias("n"))
+    moments = many.withColumn("at", _micros("_ts")).withColumn("own", F.col("at"))
+    ahead = _carry(moments.select(*keys, "at", "own"), keys, bucket, _last, _latest, own=False)
+    new = F.col("at") > F.col("upto") + F.unix_micros(F.expr(f"timestamp_seconds(0) + interval {gap}"))
+    begins = ahead.select(*keys, "at", F.coalesce(new.cast("long"), F.lit(0)).alias("own"))
+    sessions = _carry(begins, keys, bucket, _sum, _add).withColumnRenamed("upto", "session")
+    return moments.join(sessions, [*keys, "at"]).groupBy(*keys, "session").agg(F.min("_ts").alias("first"), F.max("_ts").alias("last"), F.sum("n").alias("n"))
+
+
 def _numbered(rows: DataFrame, keys: list[str], at: str, order: str, name: str, bucket: int) -> DataFrame:
     """``rows`` with their place in the queue of their key by (at, order), from 1."""
     each = rows.withColumn("_at", _micros(at))

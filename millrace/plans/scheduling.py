@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from millrace import fixtures as fx
-from millrace.operators import leases, scheduling
+from millrace.operators import leases, scheduling, timeline
 
 _CAP = """case when total_memory_gib <> 0 and memory_available_gib < 10 then running_tasks
   else least(max_tasks, greatest(num_processors - greatest(current_load - running_tasks, 0), 0)) end"""
@@ -52,20 +52,23 @@ QUERIES = {
     "t7_latest_snapshot": lambda s, d: leases.latest_snapshot(fx.heartbeats(s, d), "k", "kind"),
     "t18_renewals": lambda s, d: leases.renew(_reports(s, d).select("grant_id"), _grants(s, d)),
     "t19_departures": lambda s, d: fx.servants(s, d).where("next_heartbeat_in_ms = 0").select("registry_ord", F.lit(0).cast("bigint").alias("max_tasks")),
-    "w4_cpu_load": lambda s, d: fx.heartbeats(s, d).select("servant", "event_id", (
-        F.lit(16) - F.floor((F.col("k") - F.lag("k", 5).over(W.partitionBy("servant").orderBy("ts", "event_id"))) / 5.0)).cast("bigint").alias("load")),
+    "w4_cpu_load": lambda s, d: timeline.earlier(fx.heartbeats(s, d), ["servant"], at="ts", order="event_id", value="k", name="before", back=5).select(
+        "servant", "event_id", (F.lit(16) - F.floor((F.col("k") - F.col("before")) / 5.0)).cast("bigint").alias("load")),
     "w6_token_rollout": lambda s, d: fx.heartbeats(s, d).groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.max("event_id").alias("token")).select(
         "day", F.col("token").alias("next_token"), F.lag("token").over(W.orderBy("day")).alias("serving"), F.lag("token", 2).over(W.orderBy("day")).alias("previous")),
     "w7_history": lambda s, d: fx.heartbeats(s, d).withColumn("rn", F.row_number().over(W.partitionBy("servant").orderBy(F.desc("ts"), F.desc("event_id")))).where("rn <= 61").select("servant", "event_id"),
-    "w8_grant_fifo": lambda s, d: _grants(s, d).where("started_at >= timestamp_ntz'1996-01-01 00:00:00'").select(
-        "servant", "grant_id", F.row_number().over(W.partitionBy("servant").orderBy("started_at", "grant_id")).cast("bigint").alias("place")),
+    "w8_grant_fifo": lambda s, d: timeline.numbered(
+        _grants(s, d).where("started_at >= timestamp_ntz'1996-01-01 00:00:00'"), ["servant"], at="started_at", order="grant_id", name="place", bucket=30 * timeline.BUCKET
+    ).select("servant", "grant_id", "place"),
     "f42_next_id": lambda s, d: scheduling.numbered(fx.servants(s, d).select("registry_ord"), "registry_ord"),
     "t5_batch_grants": lambda s, d: scheduling.batch_grants(fx.requests(s, d).selectExpr("request_id", "request_id % 4 as immediate", "request_id % 3 as prefetch", "request_id % 5 as free").where("immediate + prefetch > 0")),
     "t8_bounded_staleness": lambda s, d: leases.visible_snapshot(fx.heartbeats(s, d).select("servant", "event_id", "ts", (F.col("kind") != "error").alias("ok")), "20 hours").drop("ts"),
-    "t17_references": lambda s, d: fx.heartbeats(s, d).select("servant", "event_id", F.sum(F.when(F.col("k") % 2 == 0, 1).otherwise(-1)).over(
-        W.partitionBy("servant").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).cast("bigint").alias("refs")),
-    "m10_token_refresh": lambda s, d: fx.heartbeats(s, d).select("event_id", F.last(F.when(F.col("k") % 3 == 0, F.col("k")), True).over(
-        W.partitionBy("servant").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)).alias("token")),
+    "t17_references": lambda s, d: timeline.running_sum(
+        fx.heartbeats(s, d), ["servant"], at="ts", order="event_id", value=F.when(F.col("k") % 2 == 0, 1).otherwise(-1), name="refs"
+    ).select("servant", "event_id", "refs"),
+    "m10_token_refresh": lambda s, d: timeline.running_last(
+        fx.heartbeats(s, d), ["servant"], at="ts", order="event_id", value=F.when(F.col("k") % 3 == 0, F.col("k")), name="token"
+    ).select("event_id", "token"),
 }
 
 _v = fx.with_views

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import timeline
 
@@ -88,3 +89,45 @@ def test_queues(spark, rng, run, span, monkeypatch):
         assert got == want
         assert minutes < 1000 or sum(v is not None for v in want.values()) > 5
     assert all(r.grant_id is None for r in timeline.match_queues(w, g.limit(0), ["servant"], at="ts", lifetime="1 minute").collect())
+
+
+def running_rows(rng):
+    """Nulls, ties and a hot key."""
+    return [(i, rng.choice([1, 1, 1, 1, 2, 3, None]), at(moment(rng)), rng.choice([None, *range(-3, 9)])) for i in range(250)]
+
+
+@pytest.mark.parametrize("bucket", [3600, 10**7])
+def test_running_values(spark, rng, bucket, monkeypatch):
+    monkeypatch.setattr(timeline, "FAN", 4)
+    rows = running_rows(rng)
+    df = spark.createDataFrame(rows, "event_id long, servant long, ts timestamp, k long")
+    how = {"at": "ts", "order": "event_id", "bucket": bucket}
+    upto = lambda r: [x for x in sorted(rows, key=lambda x: (x[2] or START, x[0])) if x[1] == r[1] and x[2] is not None and (x[2], x[0]) <= (r[2], r[0])]
+    whole = [r for r in rows if r[1] is not None and r[2] is not None]
+    sums = {r.event_id: r.s for r in timeline.running_sum(df, ["servant"], value=F.col("k"), name="s", **how).collect()}
+    assert sums == {r[0]: sum(x[3] or 0 for x in upto(r)) if r in whole else None for r in rows}
+    last = {r.event_id: r.v for r in timeline.running_last(df, ["servant"], value=F.col("k"), name="v", **how).collect()}
+    known = {r[0]: [x[3] for x in upto(r) if x[3] is not None] if r in whole else [] for r in rows}
+    assert last == {i: v[-1] if v else None for i, v in known.items()}
+    places = {r.event_id: r.n for r in timeline.numbered(df, ["servant"], name="n", **how).collect()}
+    assert places == {r[0]: len(upto(r)) for r in whole}
+    before = {r.event_id: r.b for r in timeline.earlier(df, ["servant"], value="k", name="b", back=5, **how).collect()}
+    assert before == {r[0]: upto(r)[-6][3] if len(upto(r)) > 5 else None for r in whole}
+    assert timeline.running_sum(df.limit(0), ["servant"], value=F.col("k"), name="s", **how).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [3600, 10**7])
+def test_uptimes(spark, rng, bucket, monkeypatch):
+    monkeypatch.setattr(timeline, "FAN", 4)
+    rows = running_rows(rng)
+    df = spark.createDataFrame(rows, "event_id long, servant long, ts timestamp, k long")
+    got = timeline.uptimes(df, ["servant"], at="ts", gap="90 minutes", bucket=bucket)
+    want = []
+    for key in (1, 2, 3):
+        runs = []
+        for t in sorted(r[2] for r in rows if r[1] == key and r[2] is not None):
+            if not runs or t - runs[-1][-1] > dt.timedelta(minutes=90):
+                runs.append([])
+            runs[-1].append(t)
+        want += [(key, i, r[0], r[-1], len(r)) for i, r in enumerate(runs)]
+    assert len(want) > 9 and sorted(tuple(r) for r in got.select("servant", "session", "first", "last", "n").collect()) == want
