@@ -20,13 +20,27 @@ def ring(nodes: DataFrame) -> DataFrame:
     points = nodes.select("node", F.explode(F.sequence(F.lit(0), (F.col("weight") * POINTS - 1).cast("int"))).alias("i"))
     points = points.select("node", ring_hash(F.concat("node", F.lit("#VN"), F.col("i").cast("string"))).alias("hi"))
     points = points.groupBy("hi").agg(F.min("node").alias("node"))  # equal points: the smaller name
-    order = W.partitionBy(F.lit(0)).orderBy("hi")  # a ring has a hundred points for each weight, not rows of data
-    points = points.withColumn("lo", F.lag("hi").over(order)).withColumn("last", F.max("hi").over(W.partitionBy(F.lit(0))))
+    points = points.withColumn("_part", F.floor(F.col("hi") / (RANGE // BUCKETS)))
+    # a part of the hash range takes its first bound from the last point of the parts before it; there are BUCKETS parts at most
+    whole = W.partitionBy(F.lit(0))
+    tops = points.groupBy("_part").agg(F.max("hi").alias("_top"))
+    tops = tops.select("_part", F.lag("_top").over(whole.orderBy("_part")).alias("_before"), F.max("_top").over(whole).alias("last"))
+    points = points.withColumn("_lo", F.lag("hi").over(W.partitionBy("_part").orderBy("hi"))).join(tops, "_part")
+    points = points.select("node", "hi", F.coalesce("_lo", "_before").alias("lo"), "last")
     body = points.select("node", F.coalesce("lo", F.lit(-1)).alias("lo"), "hi")
     wrap = points.where("lo is null").select("node", F.col("last").alias("lo"), F.lit(RANGE).alias("hi"))
     return body.union(wrap.where("lo < hi"))
 
 
+def places(intervals: DataFrame) -> DataFrame:
+    """(node, hi, place): intervals numbered from 1 by (hi, node), each part of the hash range on its own."""
+    dealt = intervals.select("node", "hi", F.floor(F.col("hi") / (RANGE // BUCKETS)).alias("_part"))
+    ahead = F.sum("_n").over(W.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))  # a row for each part
+    inside = F.row_number().over(W.partitionBy("_part").orderBy("hi", "node"))
+    return dealt.withColumn("_in", inside).join(sizes, "_part").select("node", "hi", (F.col("_ahead") + F.col("_in")).cast("long").alias("place"))
+
+
 def assign(keys: DataFrame, intervals: DataFrame, h: Column) -> DataFrame:
     """``keys`` with the node whose interval holds the hash ``h``: an equi-join on buckets of the hash range, then the bounds."""
     width = RANGE // BUCKETS

@@ -48,7 +48,7 @@ def _tot():
 
 
 QUERIES = {
-    "o1_ring_order": lambda s, d: _ring(s, d).select("node", "hi", F.row_number().over(W.orderBy("hi", "node")).cast("bigint").alias("place")),
+    "o1_ring_order": lambda s, d: placement.places(_ring(s, d)),
     "u2_merged_listings": lambda s, d: fx.cache_entries(s, d).where("seq % 3 = 0").select("key", "size").union(fx.cache_entries(s, d).where("seq % 3 <> 0").select("key", "size")),
     "u4_first_environment": _sources,
     "s3_stray_files": lambda s, d: listing.stray(_files(s, d).withColumn("path", F.concat(F.lit("/data/cache/"), "path")), "/data/cache").select("path"),

@@ -1,5 +1,7 @@
 """Golden values and scenarios."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,3 +164,22 @@ def test_gets_touch_entries(spark):
     entries = spark.createDataFrame([("a", 5), ("b", 5), ("c", 5)], "key string, last_used long")
     gets = spark.createDataFrame([("a", 9), ("a", 7), ("b", 3), ("x", 8)], "key string, ts long")
     assert {r.key: r.last_used for r in cache.touched(entries, gets).collect()} == {"a": 9, "b": 5, "c": 5}
+
+
+def test_ring_in_parts(spark, monkeypatch):
+    """Bounds and places as of one sorted list, whatever the parts."""
+    nodes = [("a", 1), ("b", 3), ("c", 2)]
+    df = spark.createDataFrame(nodes, "node string, weight int")
+    for parts in (1, 8, 4096):
+        monkeypatch.setattr(placement, "BUCKETS", parts)
+        got = sorted((r.hi, r.node, r.lo) for r in placement.ring(df).collect())
+        points = {}
+        for n, w in nodes:
+            for i in range(100 * w):
+                h = int(hashlib.md5(f"{n}#VN{i}".encode()).hexdigest()[:8], 16)
+                points[h] = min(points.get(h, n), n)
+        order = sorted(points)
+        want = [(h, points[h], lo) for lo, h in zip([-1, *order], order)] + [(1 << 32, points[order[0]], order[-1])]
+        assert got == want
+        assert [(r.hi, r.node) for r in placement.places(placement.ring(df)).orderBy("place").collect()] == [w[:2] for w in want]
+    assert placement.ring(df.limit(0)).count() == 0
