@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+
+#: State store that keyed state with timers needs.
+_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STARTING = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,18 +26,26 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def start(spark: SparkSession, writer: DataStreamWriter) -> StreamingQuery:
+    """Start a stream with keyed state.  A stream takes the session's settings as it starts, so they are changed for that
+    moment alone, by one thread at a time."""
+    with _STARTING:
+        before = spark.conf.get(_STORE, None)
+        spark.conf.set(_STORE, _ROCKS)
+        try:
+            return writer.start()
+        finally:
+            spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
+
+
 def available_now(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Write all available input through ``stream`` to Parquet in the shared folder and read it back."""
+    """Write all available input through ``stream`` to Parquet in the shared folder and read it back; its state is removed."""
     spark = stream.sparkSession
     root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    writer = stream.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{root}/state").option("path", f"{root}/out")
+    start(spark, writer.trigger(availableNow=True)).awaitTermination()
+    state = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/state")
+    state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(state, True)
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 

@@ -66,13 +66,8 @@ def test_deadlines_pass_by_the_clock_and_state_ages(spark, tmp_path):
             (2, at(4), 4, "start", None), (4, at(5), 5, "share", None), (5, at(6), 6, "run", None), (5, at(7), 7, "free", None),
             (4, at(8), 8, "done", None), (6, at(9), 9, "run", None), (6, at(10), 10, "gone", None), (7, at(11), 11, None, None)]
     stream = lifetimes.task_ends(batches(spark, tmp_path / "in", rows, SCHEMA, 3), alive_ms=700, keep_ms=800, clock="processing", forget_ms=6_000)
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = stream.writeStream.format("memory").queryName("lives").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="300 milliseconds").start()
-    finally:
-        spark.conf.set(key, before) if before else spark.conf.unset(key)
+    writer = stream.writeStream.format("memory").queryName("lives").outputMode("append").option("checkpointLocation", str(tmp_path / "state"))
+    query = run.start(spark, writer.trigger(processingTime="300 milliseconds"))
     want, stop = {(1, "not_started"), (2, "silent"), (4, "dropped"), (5, "killed"), (6, "orphaned")}, time.time() + 90
     while time.time() < stop and spark.table("lives").count() < len(want):
         time.sleep(0.5)

@@ -146,3 +146,20 @@ def test_requests_reuse_what_is_in_flight(spark, tmp_path):
         want[i] = max(live)[1] if live else None
     assert {r.request_id: r.reused_grant for r in got.collect()} == want
     assert {r.outcome for r in got.collect()} == {"reuse_existing", "actually_run"}
+
+
+def test_streams_side_by_side(spark, tmp_path):
+    """Two at once: both have their state, and the session's settings and the state folders are as before."""
+    import os
+    from concurrent.futures import ThreadPoolExecutor
+
+    key, root = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before, there = spark.conf.get(key, None), set(os.listdir(root))
+    rows = [(i % 2, START + dt.timedelta(seconds=i), i) for i in range(30)]
+    streams = [leases.lease_stream(batches(spark, tmp_path / x, rows, "servant long, ts timestamp, event_id long", 3), 1) for x in "ab"]
+    with ThreadPoolExecutor(2) as pool:
+        one, two = pool.map(run.available_now, streams)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect())) != []
+    assert spark.conf.get(key, None) == before
+    new = [x for x in os.listdir(root) if x not in there and x.startswith("stream-")]
+    assert len(new) == 2 and all(os.listdir(f"{root}/{x}") == ["out"] for x in new)
