@@ -29,28 +29,21 @@ ONE_VALUE = (
 REMOTE_DROP = ("-MMD", "-MF", "-MD", "-MT", "-MP", "-o", "-Wmissing-include-dirs")
 REMOTE_DROP_PREFIXES = ("-Wp,-MMD", "-Wp,-MF", "-Wp,-MD", "-Wp,-MP", "-I", "-include", "-isystem")
 
-_PARSED = "struct<options:array<struct<opt:string,args:array<string>>>,files:array<string>,open:boolean>"
-
 
 def parse(argv: Column) -> Column:
-    """struct(options, files): each option with its value, if it takes one, and the remaining words as file names."""
-    empty = F.struct(
-        F.array().cast("array<struct<opt:string,args:array<string>>>").alias("options"), F.array().cast("array<string>").alias("files"), F.lit(False).alias("open")
-    ).cast(_PARSED)
-
-    def step(s: Column, w: Column) -> Column:
-        last = F.element_at(s["options"], -1)
-        closed = F.concat(
-            F.slice(s["options"], F.lit(1), F.size(s["options"]) - 1), F.array(F.struct(last["opt"].alias("opt"), F.concat(last["args"], F.array(w)).alias("args")))
-        )
-        added = F.concat(s["options"], F.array(F.struct(w.alias("opt"), F.array().cast("array<string>").alias("args"))))
-        return (
-            F.when(s["open"], F.struct(closed.alias("options"), s["files"].alias("files"), F.lit(False).alias("open")).cast(_PARSED))
-            .when(w.startswith("-"), F.struct(added.alias("options"), s["files"].alias("files"), w.isin(*ONE_VALUE).alias("open")).cast(_PARSED))
-            .otherwise(F.struct(s["options"].alias("options"), F.concat(s["files"], F.array(w)).alias("files"), F.lit(False).alias("open")).cast(_PARSED))
-        )
-
-    return F.aggregate(argv, empty, step, lambda s: F.struct(s["options"].alias("options"), s["files"].alias("files")))
+    """struct(options, files): each option with its value, if it takes one, and the remaining words as file names.
+
+    Words are marked first, T if they take a value; then each T and the mark behind it, whichever that is, become O and V.
+    """
+    takes = F.transform(argv, lambda w: F.when(w.isin(*ONE_VALUE), "T").otherwise("-"))
+    marks = F.split(F.regexp_replace(F.array_join(takes, ""), "T.", "OV"), "")
+    after = F.slice(argv, F.lit(2), F.greatest(F.size(argv), F.lit(1)))
+    words = F.filter(F.arrays_zip(argv.alias("word"), marks.alias("mark"), after.alias("next")), lambda x: x["mark"].isin("O", "T", "-"))
+    is_option = lambda x: F.coalesce(x["word"].startswith("-"), F.lit(False))
+    value = lambda x: F.when(x["mark"] == "O", F.array(x["next"])).otherwise(F.array().cast("array<string>"))
+    options = F.transform(F.filter(words, is_option), lambda x: F.struct(x["word"].alias("opt"), value(x).alias("args")))
+    files = F.transform(F.filter(words, lambda x: ~is_option(x)), lambda x: x["word"])
+    return F.when(argv.isNotNull(), F.struct(options.alias("options"), files.alias("files")))
 
 
 def lookup(options: Column, name: str, prefix: bool = False) -> Column:

@@ -74,3 +74,9 @@ def find_path_locations(prefix: str):
         return s.map(lambda x: None if x is None else path_locations(bytes(x), prefix.encode()))
 
     return find
+
+
+@F.pandas_udf(_LOCATIONS)
+def locations_of(content: pd.Series, prefix: pd.Series) -> pd.Series:
+    """``path_locations`` of a prefix that differs by row; none in a null content or for a null or empty prefix."""
+    return pd.Series([[] if c is None or not p else path_locations(bytes(c), p.encode()) for c, p in zip(content, prefix)], dtype=object)

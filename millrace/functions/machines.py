@@ -59,3 +59,42 @@ def local_limits(flag: Column, quota: Column, processors: Column, ratio: float =
 def temp_dir(flag: Column, free: Column) -> Column:
     """Where temporary files go: nowhere with an empty flag, on disk while the memory file system has little room, else there."""
     return F.when(flag == "", "").when(free < LEAST_SHM, "/tmp").otherwise("/dev/shm")
+
+
+def is_alive(state: Column) -> Column:
+    """Whether the letter that the system shows for a process is of one that has not ended; null if there is none."""
+    return ~state.isin("Z", "x", "X")
+
+
+def quota_processors(quota: Column, period: Column, processors: Column) -> Column:
+    """Processors that a group of processes may use, null if it has no limit: neither number may be missing or below one."""
+    return F.when((quota > 0) & (period > 0), F.least(processors, F.floor(quota / period))).cast("long")
+
+
+#: Fields of a memory report and the names of its lines.
+MEMORY = {
+    "mem_total": "MemTotal", "mem_free": "MemFree", "mem_available": "MemAvailable", "buffers": "Buffers", "cached": "Cached",
+    "swap_total": "SwapTotal", "swap_free": "SwapFree",
+}
+
+
+def memory_report(text: Column) -> Column:
+    """struct of the fields of ``MEMORY`` in KiB, from lines ``name: number [unit]``; lines of another form do not count, the last
+    of a name does, and what is missing is 0. Null for a null text."""
+
+    def field(name: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(rf"(?m)^{name}:[ \t]+(-?[0-9]{{1,18}})"), F.lit(1))
+        return F.coalesce(F.try_element_at(found, F.lit(-1)).cast("long"), F.lit(0))
+
+    return F.when(text.isNotNull(), F.struct(*[field(name).alias(c) for c, name in MEMORY.items()]))
+
+
+def idle_seconds(text: Column, per_second: int = 100) -> Column:
+    """Seconds that the processors have been idle, the fourth number of the first line; null if it is not positive."""
+    ticks = F.regexp_extract(text, r"\A[a-z]+(?:[ \t]+[0-9]+){3}[ \t]+([0-9]{1,18})", 1).try_cast("long")
+    return F.when(ticks > 0, ticks.cast("double") / per_second)
+
+
+def load_last_minute(text: Column) -> Column:
+    """The first load average, rounded up; null if there is none."""
+    return F.ceil(F.regexp_extract(text, r"\A([0-9]{1,9}(?:\.[0-9]{1,9})?)(?:\s|\z)", 1).try_cast("decimal(20,9)")).cast("long")

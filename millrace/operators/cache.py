@@ -16,6 +16,18 @@ def two_level_get(wanted: DataFrame, l1: DataFrame, l2: DataFrame) -> DataFrame:
     return got.withColumns({"level": level, "size": F.coalesce("s1", "s2"), "fill": F.col("s1").isNull() & F.col("s2").isNotNull()}).drop("s1", "s2")
 
 
+def worth_asking(wanted: DataFrame, keys: DataFrame, fresh: str = "10 minutes") -> DataFrame:
+    """``wanted`` (key, asked_at, filter_at, ...) with ``ask``: false if the key is unknown to a list of keys that is still fresh.
+
+    ``filter_at`` is when the list was taken; one that is older than ``fresh``, or none at all (null), rules nothing out.
+    A null key is in no list.
+    """
+    known = keys.select("key").distinct().withColumn("_known", F.lit(True))
+    got = wanted.join(known, "key", "left")
+    young = F.coalesce(F.col("filter_at") + F.expr(f"interval {fresh}") > F.col("asked_at"), F.lit(False))
+    return got.withColumn("ask", ~young | F.col("_known").isNotNull()).drop("_known")
+
+
 def touched(entries: DataFrame, gets: DataFrame) -> DataFrame:
     """``entries`` with ``last_used`` moved to their last get (key, ts seconds); a get never makes an entry older, and gets of
     unknown keys leave no trace."""

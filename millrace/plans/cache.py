@@ -90,7 +90,6 @@ QUERIES = {
     "a10_last_wins": lambda s, d: fx.tasks(s, d).groupBy("digest").agg(F.max_by("task_id", F.struct("started_at", "task_id")).alias("task_id")),
     "a11_first_wins": lambda s, d: fx.tasks(s, d).groupBy("digest").agg(F.min_by("task_id", F.struct("started_at", "task_id")).alias("task_id")),
     "a12_total_size": lambda s, d: fx.cache_entries(s, d).groupBy("tenant").agg(F.sum("size").alias("bytes")),
-    "a14_executor_dump": lambda s, d: fx.grants(s, d).groupBy("servant").agg(F.count("*").alias("ever"), F.count_if(~F.col("zombie")).alias("alive"), F.max("started_at").alias("last")),
     "a15_quota_dump": lambda s, d: tasks.quota_dump(_quota(s, d).withColumnRenamed("k", "pid"), F.col("servant") % 8 + 2, 2).withColumn("pids", F.array_join(F.transform("pids", lambda x: F.lpad(x.cast("string"), 3, "0")), ",")),
     "m6_file_digest_upsert": lambda s, d: fx.cache_entries(s, d).groupBy("tenant", "size").agg(F.max_by("key", "seq").alias("key")),
     "w2_purge_oldest": lambda s, d: cache.purge_oldest(_entries(s, d), LIMIT).select("key", "size"),
@@ -145,7 +144,6 @@ SQL = {
     "a10_last_wins": _v("select digest, arg_max(task_id, (started_at, task_id)) as task_id from tasks group by 1", "tasks"),
     "a11_first_wins": _v("select digest, arg_min(task_id, (started_at, task_id)) as task_id from tasks group by 1", "tasks"),
     "a12_total_size": _v("select tenant, sum(size)::bigint as bytes from cache_entries group by 1", "cache_entries"),
-    "a14_executor_dump": _v("select servant, count(*) as ever, count(*) filter (not zombie) as alive, max(started_at) as last from grants group by 1", "grants"),
     "a15_quota_dump": _v("""select servant, count(*) filter (kind = 'view') as heavyweight_waiters, count(*) filter (kind = 'click') as lightweight_waiters,
   count(distinct case when kind in ('signup', 'purchase') then k end) as running_tasks, servant % 8 + 2 as max_tasks, 2 as lightweight_task_overprovisioning,
   coalesce(string_agg(distinct lpad(k::varchar, 3, '0'), ',' order by lpad(k::varchar, 3, '0')) filter (kind in ('signup', 'purchase')), '') as pids

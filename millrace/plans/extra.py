@@ -53,14 +53,9 @@ QUERIES = {
     "u4_first_environment": _sources,
     "s3_stray_files": lambda s, d: listing.stray(_files(s, d).withColumn("path", F.concat(F.lit("/data/cache/"), "path")), "/data/cache").select("path"),
     "s9_startup_load": lambda s, d: placement.startup_load(_files(s, d), cache._nodes(s, d)).select("path", "key", "expected", "action"),
-    "s10_memory_info": lambda s, d: fx.servants(s, d).select("registry_ord", F.concat(F.lit("MemAvailable:   "), F.col("memory_available_gib") * 1048576, F.lit(" kB")).alias("l")).select(
-        "registry_ord", F.regexp_extract("l", r"^MemAvailable:\s+([0-9]+) kB$", 1).cast("bigint").alias("kib")),
     "p21_admission": _admission,
     "t2_zombie_leases": _zombies,
     "t6_prefetch": lambda s, d: fx.requests(s, d).groupBy("env", F.to_date("submitted_at").alias("day")).agg(F.count("*").alias("immediate"), F.lit(1).cast("bigint").alias("prefetch")),
-    "m3_rebuild_output": lambda s, d: fx.tasks(s, d).selectExpr("task_id", "exit_code >= 0 as has_files", "exit_code <> 0 or task_id % 6 <> 0 as usable"),
-    "m4_output_suffix": lambda s, d: fx.tasks(s, d).where("exit_code = 0").selectExpr("task_id", "substr(concat('out', task_id, '.o'), 4 + length(task_id)) as suffix"),
-    "m15_reclaimed_holders": lambda s, d: fx.heartbeats(s, d).where("k % 9 = 0").select("event_id", "k"),
     "x_join_inner": lambda s, d: _t(s, d, "orders").join(_t(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n")),
     "x_join_outer": lambda s, d: _t(s, d, "customer").join(_t(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "full").agg(F.count("c_custkey").alias("c"), F.count("o_orderkey").alias("o")),
     "x_join_semi": lambda s, d: _t(s, d, "customer").join(_t(s, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("c_custkey"),
@@ -91,13 +86,9 @@ SQL = {
     "s3_stray_files": cache._e(f"select '/data/cache/' || path || '.tmp/x' as path from paths where {_STRAY}", cache._RING, cache._PATH),
     "s9_startup_load": cache._e(f"""select case when {_STRAY} then path || '.tmp/x' when {_OLD} then 'old/0/0/' || url_encode(key) else path end as path, case when not {_STRAY} then key end as key,
   case when not {_STRAY} then path end as expected, case when {_STRAY} then 'stray' when {_OLD} then 'move' else 'load' end as action from paths""", cache._RING, cache._PATH),
-    "s10_memory_info": _v("select registry_ord, memory_available_gib * 1048576 as kib from servants", "servants"),
     "p21_admission": _v("select registry_ord, running_tasks + 1 <= max_tasks and memory_available_gib >= 2 as admitted from servants", "servants"),
     "t2_zombie_leases": _v("""select event_id, coalesce(lead(ts) over (partition by servant, k order by ts, event_id), timestamp '2024-02-01') > ts + interval 3 days as becomes_zombie from heartbeats""", "heartbeats"),
     "t6_prefetch": _v("select env, submitted_at::date as day, count(*) as immediate, 1::bigint as prefetch from requests group by 1, 2", "requests"),
-    "m3_rebuild_output": _v("select task_id, exit_code >= 0 as has_files, exit_code <> 0 or task_id % 6 <> 0 as usable from tasks", "tasks"),
-    "m4_output_suffix": _v("select task_id, '.o' as suffix from tasks where exit_code = 0", "tasks"),
-    "m15_reclaimed_holders": _v("select event_id, k from heartbeats where k % 9 = 0", "heartbeats"),
     "x_join_inner": "select c_mktsegment, count(*) as n from orders join customer on o_custkey = c_custkey group by 1",
     "x_join_outer": "select count(c_custkey) as c, count(o_orderkey) as o from customer full join orders on o_custkey = c_custkey",
     "x_join_semi": "select c_custkey from customer where c_custkey in (select o_custkey from orders)",

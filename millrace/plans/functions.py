@@ -98,7 +98,6 @@ QUERIES = {
     "f41_temp_dir": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.temp_dir(F.expr("if(p_brand like '%2', '', p_name)"), F.expr("cast(p_retailprice * 8000000 as bigint)")).alias("v")),
     "f43_content_hash": _docs(lambda: F.sha2("text", 256)),
     "s11_cgroup": lambda s, d: fx.table(s, d, "part").select("p_partkey", machines.in_cgroup(F.expr("array(concat('9:', if(p_size % 2 = 0, 'pids', 'cpu,cpuacct'), ':', if(p_size % 3 = 0, '/', '/docker/a:b')), if(p_partkey % 10 = 0, '0::/init.scope', '4:memory:/user.slice'), 'x')")).alias("v")),
-    "s12_cpu_quota": lambda s, d: _parts(s, d).selectExpr("id", "least(cores, bytes div 100000000) as v"),
     "s21_keyed_buffers": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct(F.concat("role", F.col("turn").cast("string")), F.octet_length("text"))))).alias("m")).select("conv_id", F.explode("m").alias("name", "bytes")),
     "p8_distributable": lambda s, d: _cl(s, d).select("id", F.coalesce(arguments.distributable(F.col("p")), F.lit(False)).alias("v")),
     "p9_lightweight": lambda s, d: _cl(s, d).select("id", arguments.lightweight(F.col("p")).alias("v")),
@@ -171,7 +170,6 @@ SQL = {
     "f41_temp_dir": """select p_partkey, case when ends_with(p_brand, '2') then '' when trunc(p_retailprice * 8000000) < 10737418240 then '/tmp' else '/dev/shm' end as v from part""",
     "f43_content_hash": "select doc_id, sha256(text) as v from documents",
     "s11_cgroup": "select p_partkey, p_partkey % 10 = 0 or (p_size % 2 = 1 and p_size % 3 > 0) as v from part",
-    "s12_cpu_quota": _p("least(cores, bytes // 100000000) as v"),
     "s21_keyed_buffers": "select distinct conv_id, role || turn as name, strlen(text)::int as bytes from conversations",
     "p8_distributable": _c("c and coalesce(x in ('c', 'c++'), true) and not dash and len(coalesce(files, [])) = 1 and not regexp_matches(files[1], '\\.[sS]$') as v"),
     "p9_lightweight": _c("light as v"),

@@ -45,7 +45,6 @@ QUERIES = {
     "j4_orphans": lambda s, d: leases.orphans(_grants(s, d), fx.servants(s, d).where("max_tasks > 0").selectExpr("registry_ord as servant")).select("servant", "grant_id"),
     "j5_zombie_sweep": lambda s, d: leases.swept_zombies(_grants(s, d), _reports(s, d)).select("servant", "grant_id"),
     "j9_kill_expired": lambda s, d: _reports(s, d).join(_grants(s, d).where("started_at < timestamp_ntz'1996-01-01 00:00:00'"), "grant_id", "left_semi"),
-    "a9_running_tasks": lambda s, d: _reports(s, d).select("servant", "grant_id"),
     "a17_zombies_swept": lambda s, d: leases.swept_zombies(_grants(s, d), _reports(s, d)).agg(F.count_if(~F.col("is_prefetch")).alias("n_zombies")),
     "t1_lease_sessions": lambda s, d: leases.lease_sessions(fx.heartbeats(s, d), "6 hours").drop("session"),
     "t2_lease_expiry": lambda s, d: leases.expired(leases.lease_sessions(fx.heartbeats(s, d), "6 hours"), "2024-01-15 00:00:00").select("servant", "expires_at"),
@@ -100,7 +99,6 @@ SQL = {
     "j5_zombie_sweep": _v(f"""with rep as ({_REPORTS}) select servant, grant_id from grants g where zombie and servant in (select servant from rep)
   and not exists (select 1 from rep r where r.servant = g.servant and r.grant_id = g.grant_id)""", "grants"),
     "j9_kill_expired": _v(f"select r.servant, r.grant_id from ({_REPORTS}) r where r.grant_id in (select grant_id from grants where started_at < timestamp '1996-01-01')", "grants"),
-    "a9_running_tasks": _v(_REPORTS, "grants"),
     "a17_zombies_swept": _v(f"""with rep as ({_REPORTS}) select count(*) filter (not is_prefetch) as n_zombies from grants g where zombie and servant in (select servant from rep)
   and not exists (select 1 from rep r where r.servant = g.servant and r.grant_id = g.grant_id)""", "grants"),
     "t1_lease_sessions": _v(f"""with m as (select *, case when ts > lag(ts) over w + interval 6 hours then 1 else 0 end as new from heartbeats window w as (partition by servant {_B})),

@@ -59,7 +59,6 @@ QUERIES = {
     "m16_file_times": lambda s, d: listing.tree(s, d).select(listing.relative(F.col("path"), d).alias("path"), "size", "modified"),
     "s6_merged_listing": lambda s, d: fx.cache_entries(s, d).where("last_used % 2 = 0").select("key").unionByName(fx.cache_entries(s, d).where("last_used % 2 = 1").select("key")),
     "s13_compiler_dirs": lambda s, d: listing.compiler_dirs(fx.command_lines(s, d).selectExpr("concat('/usr/', id % 5) as directory"), fx.command_lines(s, d).selectExpr("concat('/opt/rh/devtoolset-', id % 7, '/root') as directory")),
-    "s20_output_files": lambda s, d: fx.table(s, d, "conversations").groupBy("conv_id").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes")),
 }
 
 _v = fx.with_views
@@ -76,5 +75,4 @@ SQL = {
     "s6_merged_listing": _v("select key from cache_entries", "cache_entries"),
     "s13_compiler_dirs": """select directory, min(rank)::int as rank from (select '/usr/' || p_partkey % 5 as directory, 0 as rank from part
   union all select '/opt/rh/devtoolset-' || p_partkey % 7 || '/root/bin', 1 from part union all select '/opt/rh/devtoolset-' || i || '/root/bin', 2 from range(1, 100) r(i)) group by 1""",
-    "s20_output_files": "select conv_id, count(*) as files, sum(strlen(text))::bigint as bytes from conversations group by 1",
 }
