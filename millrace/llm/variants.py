@@ -31,6 +31,9 @@ def count_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
     Where ``slip`` divides the checksum of document and run, one character of the run is left out, so that the corpus has
     variants to find.  Null texts have no words; a null key counts as an empty one; repeated rows count again."""
 
+    def counted(found):  # a task without words yields strings as well
+        return pd.DataFrame({"word": pd.Series([w.decode("latin-1") for w in found], dtype="object"), "n": pd.Series(list(found.values()), dtype="int64")})
+
     def run(batches):
         found: dict[bytes, int] = {}
         for pdf in batches:
@@ -48,9 +51,9 @@ def count_words(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lea
                     if len(w) >= least_chars:
                         found[w] = found.get(w, 0) + n
             if len(found) > _HELD:
-                yield pd.DataFrame({"word": [w.decode("latin-1") for w in found], "n": list(found.values())})
+                yield counted(found)
                 found = {}
-        yield pd.DataFrame({"word": [w.decode("latin-1") for w in found], "n": pd.Series(list(found.values()), dtype="int64")})
+        yield counted(found)
 
     rows = docs.select(F.col(key).cast("string").alias(key), text).mapInPandas(run, "word string, n long")
     return rows.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)

@@ -196,6 +196,21 @@ def test_variants(spark):
     assert variants.group(docs.limit(0)).collect() == []
 
 
+def test_variants_with_tasks_that_hold_no_words(spark, tmp_path):
+    """Some tasks read null and empty texts alone, or a part of a file in which no row group begins."""
+    rows = [(i, "abcdeabcde abcdeabcdf" if i < 4 else None if i < 8 else "1 2") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(variants.group(docs.repartitionByRange(15, "doc_id"))) == brute_groups(brute_words(rows))
+    docs.coalesce(1).write.parquet(str(tmp_path / "docs"))
+    split = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "500b")
+    try:
+        read = spark.read.parquet(str(tmp_path / "docs"))
+        assert read.rdd.getNumPartitions() > 1 and rows_of(variants.group(read)) == brute_groups(brute_words(rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+
+
 @pytest.mark.parametrize("largest", [1, 2, 8, 1000])
 def test_pairs_are_found_once_whatever_the_groups(spark, largest):
     rng = random.Random(largest)
