@@ -183,3 +183,18 @@ def test_ring_in_parts(spark, monkeypatch):
         assert got == want
         assert [(r.hi, r.node) for r in placement.places(placement.ring(df)).orderBy("place").collect()] == [w[:2] for w in want]
     assert placement.ring(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("scheme", ["", "file:", "file://"])
+def test_listing_has_folders_as_well_as_files(spark, tmp_path, scheme):
+    """A table that is a folder of parts is one entry, of the size of its parts."""
+    root = tmp_path / "t+(1) $.x"
+    for name, size in (("a.parquet", 3), ("b.parquet/part-0.parquet", 4), ("b.parquet/deep/part-1.parquet", 5), ("c.txt", 1)):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"x" * size)
+    found = listing.enumerated(spark, f"{scheme}{root}/").select("name", "is_folder", "size").collect()
+    assert sorted(map(tuple, found)) == [("a.parquet", False, 3), ("b.parquet", True, 9), ("c.txt", False, 1)]
+    from __spark_entry__ import queries
+
+    got = queries()["s1_listing"](spark, f"{scheme}{root}").collect()
+    assert sorted(map(tuple, got)) == [("a.parquet", True), ("b.parquet", True)]
