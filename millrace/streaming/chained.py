@@ -7,6 +7,7 @@ time, so results do not depend on how rows fall into batches.  Ends of leases co
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Rows that one value of the state holds at most.
+_PACKED = 10_000
 #: Event id of the end of a silent machine: after all rows of that moment.
 SILENT = 1 << 62
 _ORDER = {"up": 0, "down": 2}
@@ -25,10 +28,9 @@ class InOrder(StatefulProcessor):
     """Takes the rows of a key in order of (at, event_id) once the watermark is ``slack`` milliseconds past them.
 
     A later operator of a chain needs more slack than an earlier one, so that it has all of its rows of that time. Times are
-    microseconds. Rows older than the watermark have been dropped before; those of one time and id go by ``rank``."""
+    microseconds, rows are held many to a value of the state. Rows older than the watermark have been dropped before; those of one time and id go by ``rank``."""
 
     columns: list[str]
-    row: str
     out: list[str]
 
     def __init__(self, slack: int):
@@ -36,11 +38,15 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.row)
+        self.pending = handle.getListState("pending", "rows binary")
 
     def rank(self, row: tuple) -> tuple:
         return row[0], row[1]
 
+    @staticmethod
+    def _packed(rows: list[tuple]) -> list[tuple]:
+        return [(pickle.dumps(rows[i : i + _PACKED]),) for i in range(0, len(rows), _PACKED)]
+
     def _wake(self, at: int | None) -> None:
         if at is not None:
             self.handle.registerTimer(at // 1000 + self.slack + 1)
@@ -50,7 +56,7 @@ class InOrder(StatefulProcessor):
         for pdf in rows:
             got = [self.parsed(r) for r in pdf[self.columns].itertuples(index=False, name=None)]
             if got:
-                self.pending.appendList(got)
+                self.pending.appendList(self._packed(got))
                 first = min([r[0] for r in got] + ([] if first is None else [first]))
         self._wake(first)
         yield pd.DataFrame([], columns=self.out)
@@ -58,10 +64,10 @@ class InOrder(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
         horizon = (now - self.slack) * 1000
-        held = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
+        held = [r for packed in self.pending.get() for r in pickle.loads(packed[0])] if self.pending.exists() else []
         due, later = sorted((r for r in held if r[0] <= horizon), key=self.rank), [r for r in held if r[0] > horizon]
         if due:
-            self.pending.put(later) if later else self.pending.clear()
+            self.pending.put(self._packed(later)) if later else self.pending.clear()
         made, wake = self.advance(key[0], due, horizon)
         self._wake(min([r[0] for r in later] + ([] if wake is None else [wake]), default=None))
         yield self.framed(made, now)
@@ -84,7 +90,7 @@ class Uptimes(InOrder):
     """Changes of a machine from its heartbeats (at, event_id, lease_ms): up with the first, down once no lease is left, or at
     once with a lease of 0. A lease that ends at that very moment still holds."""
 
-    columns, row, out = ["at", "event_id", "lease_ms"], "at long, event_id long, lease_ms long", ["servant", "seen_at", "at", "event_id", "change"]
+    columns, out = ["at", "event_id", "lease_ms"], ["servant", "seen_at", "at", "event_id", "change"]
 
     def __init__(self, slack: int, zone: str):
         super().__init__(slack)
@@ -128,7 +134,6 @@ class Grants(InOrder):
     report that does not list it sweeps; freeing, replacing and the end of the machine end it as well."""
 
     columns = ["at", "event_id", "action", "grant_id", "lease_ms", "running"]
-    row = "at long, event_id long, action string, grant_id long, lease_ms long, running array<long>"
     out = ["servant", "grant_id", "granted_at", "at", "outcome", "renewals"]
 
     def init(self, handle: StatefulProcessorHandle) -> None:

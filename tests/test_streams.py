@@ -148,6 +148,20 @@ def test_requests_reuse_what_is_in_flight(spark, tmp_path):
     assert {r.outcome for r in got.collect()} == {"reuse_existing", "actually_run"}
 
 
+def test_requests_meet_runs_without_pairs(spark, tmp_path):
+    """One busy digest: no join holds requests against runs; runs over several spans, equal starts and repeated requests count once."""
+    rng = random.Random(3)
+    at = lambda m: START + dt.timedelta(seconds=m)
+    runs = [(i, "a", at(i // 2 * 40), at(i // 2 * 40 + rng.choice([0, 20, 900, 43_200]))) for i in range(2000)]
+    asked = [(i, "a", at(i // 2 * 37 + 3)) for i in range(2000)]
+    flow = reuse.in_flight(
+        batches(spark, tmp_path / "q", [*asked, *asked[-5:], (-1, "a", at(400_000))], "request_id long, digest string, ts timestamp", 2),
+        batches(spark, tmp_path / "r", [*[(*r, r[2]) for r in runs], (-1, "z", at(400_000), at(400_001), at(400_000))], "grant_id long, digest string, started_at timestamp, ends_at timestamp, seen timestamp", 2))
+    assert "Join" not in flow._jdf.queryExecution().analyzed().toString()
+    got = [(r.request_id, r.reused_grant) for r in run.available_now(flow).collect()]
+    assert sorted(got) == [(i, max(((b, g) for g, _, b, e in runs if b <= t < e), default=(None, None))[1]) for i, _, t in asked]
+
+
 def test_streams_side_by_side(spark, tmp_path):
     """Two at once: both have their state, and the session's settings and the state folders are as before."""
     import os
