@@ -1,12 +1,14 @@
 """Lives of submitted and executing tasks as keyed state with timers, by event time or by the clock of the machine.
 
 A submitter's task is queued, started, kept alive and done; an executor's task runs for the clients that share it.  A task has
-at most one deadline: to be started, to be kept alive, or to be fetched.  What passes it ends the task.  The key is the task,
-so state and rows of one task are bounded by its own life and no machine or digest gathers the tasks of others.
+at most one deadline: to be started, to be kept alive, or to be fetched.  What passes it ends the task.  By the clock the key
+is the task; by event time tasks are dealt by hash over a number of groups, as a call for each task costs more than its rows.
+No machine or digest gathers the tasks of others.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -68,9 +70,9 @@ class Rules(NamedTuple):
 
 
 class LivesInOrder(InOrder):
-    """Lives by event time: rows wait for the watermark and are taken in order, so batches do not change results."""
+    """Lives of a group of tasks by event time: rows wait for the watermark and are taken in order, so batches do not change results."""
 
-    columns, row, out = ["at", "event_id", "action", "start_ms"], "at long, event_id long, action string, start_ms long", _OUT
+    columns, out = ["at", "event_id", "action", "start_ms", "task_id"], _OUT
 
     def __init__(self, slack: int, rules: Rules):
         super().__init__(slack)
@@ -78,23 +80,38 @@ class LivesInOrder(InOrder):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.life = handle.getValueState("life", _LIFE)
+        self.lives = handle.getListState("lives", "rows binary")
+
+    def rank(self, row):
+        return row[4], row[0], row[1]
 
     def parsed(self, row):
-        return int(row[0]), int(row[1]), row[2], 0 if pd.isna(row[3]) else int(row[3])
+        return int(row[0]), int(row[1]), row[2], 0 if pd.isna(row[3]) else int(row[3]), int(row[4])
 
     def advance(self, key, due, horizon):
-        life, made = Life(*self.life.get()) if self.life.exists() else None, []
-        for at, _, action, start in [*due, (horizon + 1, 0, None, 0)]:
-            if self.rules.overdue(life, at):
-                made.append((key, life.born_at, life.deadline, PASSED[life.phase], life.clients))
+        lives = {task: Life(*held) for packed in self.lives.get() for task, *held in pickle.loads(packed[0])} if self.lives.exists() else {}
+        made, overdue = [], self.rules.overdue
+
+        def passed(task, life):
+            made.append((task, life.born_at, life.deadline, PASSED[life.phase], life.clients))
+
+        for at, _, action, start, task in due:
+            life = lives.pop(task, None)
+            if overdue(life, at):
+                passed(task, life)
                 life = None
             after, outcome = self.rules.step(life, at, action, start)
             if outcome:
-                made.append((key, life.born_at, at, outcome, life.clients))
-            life = after
-        self.life.clear() if life is None else self.life.update(tuple(life))
-        return made, life.deadline if life else None
+                made.append((task, life.born_at, at, outcome, life.clients))
+            if after is not None:
+                lives[task] = after
+        for task in [task for task, life in lives.items() if overdue(life, horizon + 1)]:
+            passed(task, lives.pop(task))
+        if lives:
+            self.lives.put(self._packed([(task, *life) for task, life in lives.items()]))
+        else:
+            self.lives.clear()
+        return made, min((life.deadline for life in lives.values() if life.deadline is not None), default=None)
 
 
 class LivesByClock(StatefulProcessor):
@@ -117,7 +134,7 @@ class LivesByClock(StatefulProcessor):
         if self.rules.overdue(life, now):
             made.append((key[0], life.born_at, life.deadline, PASSED[life.phase], life.clients))
             life = None
-        got = sorted((int(at), int(event), action, 0 if pd.isna(ms) else int(ms)) for pdf in rows for at, event, action, ms in pdf[LivesInOrder.columns].itertuples(index=False, name=None))
+        got = sorted((int(at), int(event), action, 0 if pd.isna(ms) else int(ms)) for pdf in rows for at, event, action, ms in pdf[LivesInOrder.columns[:4]].itertuples(index=False, name=None))
         for _, _, action, start in got:
             after, outcome = self.rules.step(life, now, action, start)
             if outcome:
@@ -144,7 +161,7 @@ class LivesByClock(StatefulProcessor):
 
 
 def task_ends(events: DataFrame, *, alive_ms: int = 60_000, keep_ms: int = 60_000, late: str = "0 seconds", clock: str = "event",
-              forget_ms: int = 86_400_000) -> DataFrame:
+              forget_ms: int = 86_400_000, groups: int = 1024) -> DataFrame:
     """How tasks end: (task_id, born_at, at, outcome, clients), times in microseconds, ``clients`` those that still hold it.
 
     ``events`` are streamed rows (task_id, ts timestamp, event_id, action, start_ms).  ``queue`` opens a submitter's task, which
@@ -154,7 +171,7 @@ def task_ends(events: DataFrame, *, alive_ms: int = 60_000, keep_ms: int = 60_00
     ``gone`` (the submitter died) orphans it.  A deadline's very moment is still in time.
 
     ``clock`` is ``event`` (rows in order of time, with a watermark of ``late``) or ``processing`` (rows as they arrive, deadlines
-    by the machine's clock, state without rows for ``forget_ms`` ages away).  Rows without task or time are left out, a null
+    by the machine's clock, state without rows for ``forget_ms`` ages away); by event time tasks are held in ``groups``.  Rows without task or time are left out, a null
     ``start_ms`` is none, unknown actions and those that do not fit do nothing, and an ended id may be opened again."""
     known = events.where(F.col("task_id").isNotNull() & F.col("ts").isNotNull()).withColumn("at", F.unix_micros("ts"))
     known = known.select("task_id", "ts", "at", "event_id", F.coalesce("action", F.lit("")).alias("action"), "start_ms")
@@ -163,4 +180,5 @@ def task_ends(events: DataFrame, *, alive_ms: int = 60_000, keep_ms: int = 60_00
         return known.groupBy("task_id").transformWithStateInPandas(LivesByClock(rules, forget_ms), _ENDED, "Append", "ProcessingTime")
     if clock != "event":
         raise ValueError(f"clock is event or processing, not {clock}")
-    return known.withWatermark("ts", late).groupBy("task_id").transformWithStateInPandas(LivesInOrder(1, rules), _ENDED, "Append", "EventTime")
+    dealt = known.withWatermark("ts", late).withColumn("group", F.pmod(F.xxhash64("task_id"), F.lit(groups)))
+    return dealt.groupBy("group").transformWithStateInPandas(LivesInOrder(1, rules), _ENDED, "Append", "EventTime")

@@ -59,6 +59,20 @@ def test_lives_match_a_plain_replay(spark, tmp_path):
     assert sorted(map(tuple, got)) == sorted((k, micros(b), micros(t), o, n) for k, b, t, o, n in want)
 
 
+def test_groups_hold_several_tasks(spark, tmp_path):
+    rng = random.Random(15)
+    rows = [(rng.randrange(6), START + dt.timedelta(minutes=10 * i), i, rng.choice(ACTIONS), rng.choice([None, 3_600_000, 7_200_000])) for i in range(900)]
+    rows += [(50, START, 2000, "queue", 7_200_000), (50, START + 2 * HOUR, 2001, "start", None), (51, START, 2002, "queue", 7_199_999), (51, START + 2 * HOUR, 2003, "start", None)]
+    odd = [(None, START, 3000, "queue", 5), (52, None, 3001, "queue", 5)]
+    stream = batches(spark, tmp_path / "in", sorted(rows, key=lambda r: (r[1], r[2])) + odd, SCHEMA, 4)
+    got = run.available_now(lifetimes.task_ends(stream, alive_ms=2 * 3_600_000, keep_ms=4 * 3_600_000, groups=2)).collect()
+    want = plain(rows, rows[899][1] - dt.timedelta(milliseconds=1), 2 * HOUR, 4 * HOUR)
+    assert {w[3] for w in want} == {"not_started", "silent", "dropped", "killed", "freed", "orphaned", "fetched"}
+    assert [w[3] for w in want if w[0] == 50] == ["silent"] and [w[3] for w in want if w[0] == 51] == ["not_started"]
+    micros = lambda t: (t - dt.datetime(1970, 1, 1)) // dt.timedelta(microseconds=1)
+    assert sorted(map(tuple, got)) == sorted((k, micros(b), micros(t), o, n) for k, b, t, o, n in want)
+
+
 def test_deadlines_pass_by_the_clock_and_state_ages(spark, tmp_path):
     """Three batches, then none: deadlines still pass, and the task that only runs is forgotten."""
     at = lambda i: START + dt.timedelta(seconds=i)
