@@ -9,7 +9,9 @@ together for a text.  Questions on truncation and budgets are then lookups: noth
 
 from __future__ import annotations
 
+import bisect
 import functools
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -115,6 +117,17 @@ class PrefixCounter:
     def total(self, words: list[str]) -> int:
         return sum(map(self.totals.__getitem__, words))
 
+    def cut(self, words: list[str], limit: int) -> int:
+        """Code points of the longest prefix of a text of at most ``limit`` tokens.  Every prefix of a word has a token at least and
+        the words before it have theirs whole, so the cut lies in the last word that such a prefix can reach, or before it."""
+        ahead = [0, *itertools.accumulate(map(self.totals.__getitem__, words))]
+        k = min(bisect.bisect_left(ahead, limit), len(words)) - 1  # the last word with less than the limit before it
+        if k < 0:
+            return 0
+        ((_, counts),) = self.tables(words[k : k + 1])
+        inside = max(i for i, n in enumerate(counts) if ahead[k] + n <= limit)  # counts may fall where a longer token fits
+        return max(0, sum(map(len, words[:k])) + inside - 1)  # without the added space
+
     def prefixes(self, words: list[str]) -> np.ndarray:
         """Count of every prefix of a text, from that of no code point to the whole."""
         found = {w: np.array(counts[1:], np.int32) for w, counts in self.tables(sorted(set(words)))}
@@ -143,14 +156,9 @@ def counter(path: str) -> PrefixCounter:
     return PrefixCounter(path)
 
 
-def longest_within(counts: np.ndarray, limit: int) -> int:
-    """Code points of the longest prefix of at most ``limit`` tokens; counts may fall where a longer token fits."""
-    return int(np.flatnonzero(counts <= limit)[-1])
-
-
 def count(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: int = 4096, model: str = MODEL) -> DataFrame:
     """(key, n_bytes, n_tokens, cut_chars): UTF-8 bytes and tokens of the whole text, and the code points of its longest
-    prefix of at most ``limit`` tokens, all from the prefix counts.
+    prefix of at most ``limit`` tokens, all from the prefix counts of words; a cut asks for those of one word.
 
     Rows are counted one by one: null and empty texts have 0 of each, repeated rows equal figures, null keys stay; an empty
     table gives none; other columns play no part, whatever their names.  Work and memory are linear in the text."""
@@ -165,7 +173,7 @@ def count(docs: DataFrame, *, key: str = "doc_id", text: str = "text", limit: in
                 c.learn(split)
                 for t, words in zip(texts, split):
                     n = c.total(words)
-                    out.append((len(t.encode()), n, len(t) if n <= limit else longest_within(c.prefixes(words), limit)))
+                    out.append((len(t.encode()), n, len(t) if n <= limit else c.cut(words, limit)))
             got = pd.DataFrame(out, columns=["n_bytes", "n_tokens", "cut_chars"], dtype="int64")
             got.insert(0, key, pdf[key].to_numpy())
             yield got

@@ -134,6 +134,20 @@ def test_token_counts(spark, texts, pieces):
     assert token_counts.count(table(spark, [])).collect() == []
 
 
+def test_a_cut_needs_the_table_of_one_word(texts, pieces, monkeypatch):
+    c, made = token_counts.PrefixCounter(token_counts.MODEL), []
+    tables = c.tables
+    monkeypatch.setattr(c, "tables", lambda words: made.extend(words) or tables(words))
+    for t in [t for t in texts if t and len(t) < 300]:
+        words = c.words(t)
+        c.learn([words])
+        sizes = [len(pieces.encode(t[:k])) for k in range(len(t) + 1)]
+        for limit in (0, 1, 5, 40):
+            made.clear()
+            assert c.cut(words, limit) == max(k for k, n in enumerate(sizes) if n <= limit)
+            assert len(made) <= 1
+
+
 def test_counts_of_all_prefixes(spark, texts, pieces):
     some = [t for t in texts if t is None or len(t) < 300]
     made = token_counts.prefix_table(table(spark, some)).persist()
