@@ -154,7 +154,7 @@ def matches(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str
     bench = scratch.save(_bench(items, item, canonical(source), words(source), window, literals, ordinary))
     verbatim = scratch.save(_bench(items, item, literal(source), words(source), window, literals, no_number))
     anchors = bench.select(_anchors(F.col("ic"), ordinary).alias("a")).union(verbatim.select(_anchors(F.col("ic"), lambda x: x != "").alias("a")))
-    anchors = scratch.save(anchors.select("a.n", "a.gram").where("n is not null").distinct())
+    anchors = scratch.save(anchors.select("a.n", "a.gram").where("n is not null").distinct(), bench.count() + verbatim.count())
     lengths = sorted(r.n for r in anchors.select("n").distinct().collect())  # of 1 to GRAM
 
     rows = docs.where(F.col(key).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("d"), F.col(text).alias("t"))
@@ -197,7 +197,7 @@ def clean(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", **options)
     """``docs`` with all their columns, less those that hold a benchmark item's window.
 
     Rows with a null key or text stay; of rows that repeat a key, all go if one holds a window.  See ``matches``."""
-    found = Scratch(docs.sparkSession, "decontaminate").save(leaks(docs, items, key=key, **options).select(key).distinct())
+    found = Scratch(docs.sparkSession, "decontaminate").save(leaks(docs, items, key=key, **options).select(key).distinct(), docs.count())
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
     return docs.join(found, key, "left_anti")

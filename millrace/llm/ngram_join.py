@@ -177,20 +177,21 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
 
     sets = scratch.save(rows.mapInPandas(_heads(k, num, den), "id long, n long, s1 long, s2 long, head array<long>"))
-    twice = scratch.save(sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    texts = sets.count()  # bounds all tables of one row a text
+    twice = scratch.save(sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), texts)
     repeats = twice.count() > 0
     if repeats:
         one = sets.join(twice, "id", "left_semi").groupBy("id").agg(F.min(F.struct(F.expr("n = 0").alias("void"), "s1", "s2", "n", "head")).alias("v"))
         sets = scratch.save(sets.join(twice, "id", "left_anti").union(one.select("id", "v.n", "v.s1", "v.s2", "v.head")))
-    same = scratch.save(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "rep"))
-    members = scratch.save(sets.select("id", "n", "s1", "s2").join(same, ["s1", "s2"], "left").select("id", "n", "s1", "s2", F.coalesce("rep", "id").alias("rep")))
+    same = scratch.save(sets.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.count("*").alias("c")).where("c > 1").select("s1", "s2", "rep"), texts)
+    members = scratch.save(sets.select("id", "n", "s1", "s2").join(same, ["s1", "s2"], "left").select("id", "n", "s1", "s2", F.coalesce("rep", "id").alias("rep")), texts)
     copies = small(members.where("id != rep").select("id"))
 
     heads = sets.where("n > 0").join(copies, "id", "left_anti").select("id", "n", F.explode("head").alias("token"))
     often = scratch.save(_often(heads).select("token"))
     asked = heads.join(often.hint("shuffle_hash"), "token", "left_semi").groupBy("id", "n").agg(F.count("*").alias("c"))
     asked = asked.where(F.expr(f"c >= greatest(1L, {need} - {rest('n')} - 1)")).select("id")
-    asked = scratch.save(asked.join(members.select("id", "s1", "s2"), "id"))
+    asked = scratch.save(asked.join(members.select("id", "s1", "s2"), "id"), texts)
     scratch.drop(sets, often)
     nodes = rows.join(small(asked), "id").select("id", "text", "s1", "s2")
     nodes = nodes.mapInPandas(_whole(k, num, den), "id long, n long, tokens array<long>, prefixes array<array<long>>")
@@ -201,8 +202,9 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     index = every.join(often.hint("shuffle_hash"), "token").groupBy("id", "n").agg(F.collect_list(F.struct("df", "token")).alias("e"))
     index = index.withColumn("lone", F.expr("n - size(e)")).where(F.expr(f"size(e) >= {need}"))
     index = index.select("id", "n", "lone", F.expr(f"slice(array_sort(e), 1, cast(n - {need} + 1 - lone as int))").alias("e"))
-    index = scratch.save(index.select("id", "n", "lone", F.transform("e", lambda x: x["token"]).alias("prefix")))
+    index = scratch.save(index.select("id", "n", "lone", F.transform("e", lambda x: x["token"]).alias("prefix")), texts)
     scratch.drop(often)
+    tokens = index.agg(F.sum(F.size("prefix"))).first()[0] or 0  # bounds all tables of one row a prefix token
 
     fits = F.expr(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
     # what two sets can share from their first common token on, against what they must share
@@ -221,18 +223,19 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         central = F.col("lone") / F.col("n") if r == 0 else F.xxhash64("id", F.lit(r))
         pivot = F.min(F.struct(central.alias("rank"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("component").alias("ca")))
         mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), pivot.alias("pivot")).where("lo < hi")
-        mixed = scratch.save(mixed.select("token", "pivot.a", "pivot.na", "pivot.pa", "pivot.ca"))
+        mixed = scratch.save(mixed.select("token", "pivot.a", "pivot.na", "pivot.pa", "pivot.ca"), tokens)
         votes = placed.withColumnsRenamed({"n": "nb", "p": "pb"}).join(mixed, "token")
         votes = votes.where("component != ca").where(fits).where(reach).groupBy("id", "a").agg(F.count("*").alias("c"))
         star = votes.groupBy("id").agg(F.max_by("a", F.struct("c", "a")).alias("a")).select(F.least("id", "a").alias("a"), F.greatest("id", "a").alias("b")).distinct()
-        star = scratch.save(star if tried is None else star.join(tried, ["a", "b"], "left_anti"))
-        new = scratch.save(verified(star))
+        star = scratch.save(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), texts)
+        new = scratch.save(verified(star), texts)
         links, tried = (new, star) if tried is None else (links.union(new), tried.union(star))
         if r == 0 or not new.isEmpty():
-            groups = scratch.save(connected_components(scratch, links, "a", "b"))
-        again = scratch.save(entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")))
+            edges = links.count()
+            groups = scratch.save(connected_components(scratch, links, "a", "b", edges), 2 * edges)
+        again = scratch.save(entries.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), tokens)
         mixed = again.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-        placed = scratch.save(again.join(scratch.save(mixed), "token", "left_semi"))
+        placed = scratch.save(again.join(scratch.save(mixed, tokens), "token", "left_semi"), tokens)
     # sizes by powers of 1 / t: the larger set of a pair is in the class of the smaller one or in the next
     size = lambda n: F.floor(F.log(F.col(n).cast("double")) / F.lit(math.log(den / num)) + 1e-9) if num < den else F.col(n)
     y = placed.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("component").alias("cb"), size("n").cast("long").alias("size"))
@@ -240,12 +243,15 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     x = x.select("*", F.explode(F.array(F.col("s"), F.col("s") + 1)).alias("size"))
     pairs = x.join(y, ["token", "size"]).where("(na < nb or na = nb and a < b) and ca != cb").where(fits).where(reach)
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = scratch.save(verified(scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))))
+    pairs = scratch.save(pairs.join(tried, ["a", "b"], "left_anti"))
+    more = scratch.save(verified(pairs), pairs.count())
     if not more.isEmpty():
-        groups = scratch.save(connected_components(scratch, links.union(more), "a", "b"))
+        links = links.union(more)
+        edges = links.count()
+        groups = scratch.save(connected_components(scratch, links, "a", "b", edges), 2 * edges)
 
     found = members.select("id", "rep", "n").join(groups.withColumnRenamed("id", "rep"), "rep", "left")
-    found = scratch.save(found.select("id", "n", F.coalesce("component", "rep").alias("component_id")))
+    found = scratch.save(found.select("id", "n", F.coalesce("component", "rep").alias("component_id")), texts)
     return docs.select(F.col(key)).join(found.withColumnRenamed("id", key), key, "left").select(
         key, F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("component_id", F.col(key).cast("long")).alias("component_id")
     )
@@ -256,7 +262,7 @@ def keep_first(docs: DataFrame, *, key: str = "doc_id", text: str = "text", k: i
     rows with a null id or text."""
     scratch = Scratch(docs.sparkSession, "keep-first")
     found = similar_groups(docs, key=key, text=text, k=k, num=num, den=den, scratch=scratch)
-    gone = scratch.save(found.where(F.col(key) != F.col("component_id")).select(key).distinct())
+    gone = scratch.save(found.where(F.col(key) != F.col("component_id")).select(key).distinct(), docs.count())
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, key, "left_anti")
 
 

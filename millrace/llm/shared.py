@@ -18,6 +18,8 @@ from pyspark.sql import Window as W
 SPACES = r"[\x20\x09-\x0D]+"
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
+#: Files of a table of few rows at least, and rows that make another file.
+FILES, FILE_ROWS = 32, 50_000
 _MADE: ContextVar[list | None] = ContextVar("made", default=None)
 
 
@@ -46,7 +48,11 @@ class Scratch:
         if _MADE.get() is not None:
             _MADE.get().append(self)
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """``df`` written and read again.  A table of at most ``rows`` rows gets as many files as these need, and no fewer than there
+        are cores, instead of one for each shuffle partition: opening and closing files is most of the time of a small one."""
+        if rows is not None:
+            df = df.coalesce(max(FILES, self.spark.sparkContext.defaultParallelism, rows // FILE_ROWS))
         self._n += 1
         path = f"{self.root}/t{self._n}"
         df.write.option("compression", "zstd").parquet(path)
@@ -130,25 +136,27 @@ class Segments:
         return mix64((self._total[stop] - self._total[start]) * self._back[start] + (stop - start).astype(np.uint64))
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame, a: str, b: str, rows: int | None = None) -> DataFrame:
     """(id, component): smallest id reachable over undirected edges, for ids that have an edge.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014) until every id has one edge, to an id that has none
     to a smaller one.  Minima are pre-aggregated and written, so that they are joined to the edges as two plain tables and
-    Spark can split a hub with many links.  Every round is a written table; nothing is gathered on the driver.
+    Spark can split a hub with many links.  Every round is a written table; nothing is gathered on the driver.  ``rows`` is
+    the number of edges, if that is known.
     """
+    rows = None if rows is None else 2 * rows  # both ways
     cur = scratch.save(
-        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+        edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), rows
     )
     while True:
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), rows)
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = scratch.save(large.where("u != v"))
-        mins = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        large = scratch.save(large.where("u != v"), rows)
+        mins = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), rows)
         small = large.join(mins, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.union(mins.select("u", F.col("m").alias("v"))).where("u != v").distinct()
-        nxt = scratch.save(small)
+        nxt = scratch.save(small, rows)
         scratch.drop(cur, low, large, mins)
         cur = nxt
         several = cur.groupBy("u").agg(F.count("*").alias("c")).where("c > 1")

@@ -7,8 +7,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, embedding_dedup, html_extract, line_dedup, mixing, ngram_join, pii, quality, substring_dedup, toxicity
+from millrace.llm.shared import Scratch, connected_components
 
 DOCS = "doc_id long, text string, source string, component_id string, n string"
 
@@ -540,3 +542,20 @@ def test_toxicity_locates_sentences(spark):
         assert (r.score >= 0.5) == bool(r.label)
         if r.label:
             assert "vile" in r.text[r.worst_start : r.worst_end]
+
+
+def test_tables_of_few_rows_have_few_files(spark, monkeypatch):
+    settings = {"spark.sql.shuffle.partitions": "90", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before, files, save = {k: spark.conf.get(k) for k in settings}, [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, rows=None: (out := save(self, df, rows), files.append(len(out.inputFiles())))[0])
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        scratch = Scratch(spark, "few")
+        edges = spark.range(400).selectExpr("id as a", "id - id % 50 as b")
+        got = {r.id: r.component for r in connected_components(scratch, edges, "a", "b", 400).collect()}
+        assert got == {i: i - i % 50 for i in range(400)} and max(files) <= 32
+        assert len(scratch.save(spark.range(400).groupBy((F.col("id") * 3).alias("k")).count(), 10**9).inputFiles()) > 60
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
