@@ -187,20 +187,29 @@ def match_queues(waiters: DataFrame, grants: DataFrame, keys: list[str], *, at:
     Both queues go by (at, id); a grant may be used from its time until before ``lifetime`` later, so of all grants up to a
     waiter some are over; the number gone moves by one with each waiter, but not below the number over nor beyond the number
     there.  Such steps can be put together in any bracketing, so they are folded in runs of a bounded length instead of being
-    replayed.  A waiter without a grant has null and does not wait; null keys and times are served nothing."""
-    known = lambda df: df.where(F.col(at).isNotNull()).dropna(subset=keys)
+    replayed; waiters of one moment see the same grants and are one step.  A waiter without a grant has null and does not wait;
+    null keys and times are served nothing."""
+    known = lambda df: df.where(F.col(at).isNotNull()).dropna(subset=keys).withColumn("_at", _micros(at))
+    inside = lambda order: F.row_number().over(W.partitionBy(*keys, "_at").orderBy(order))
     life = F.unix_micros(F.expr(f"timestamp_seconds(0) + interval {lifetime}"))
-    queue = _numbered(known(grants), keys, at, "grant_id", "place", bucket).select(*keys, "grant_id", "place", "_at")
-    line = _numbered(known(waiters), keys, at, "waiter_id", "n", bucket).select(*keys, "waiter_id", (F.col("n") - 1).alias("n"), "_at")
-    arrive = queue.select(*keys, F.col("_at").alias("at"), F.lit(1).cast("long").alias("own"))
-    there = counts_upto(arrive, line.select(*keys, F.col("_at").alias("at")).distinct(), keys, bucket).select(*keys, F.col("at").alias("_at"), F.col("upto").alias("there"))
-    ended = arrive.withColumn("at", F.col("at") + life)
-    over = counts_upto(ended, line.select(*keys, F.col("_at").alias("at")).distinct(), keys, bucket).select(*keys, F.col("at").alias("_at"), F.col("upto").alias("over"))
     shared_dir(waiters.sparkSession)  # where checkpoints go
-    asked = line.join(there, [*keys, "_at"]).join(over, [*keys, "_at"]).checkpoint()
-    step = F.struct(F.lit(1).cast("long").alias("by"), F.least(F.col("over") + 1, "there").alias("low"), F.col("there").alias("high"))
-    most = asked.agg(F.max("n")).first()[0] or 0
-    gone = _gone_before(asked.select(*keys, "n", step.alias("step")), keys, most)
-    place = F.greatest("gone", "over") + 1
-    served = asked.join(gone, [*keys, "n"]).where(place <= F.col("there")).select(*keys, "waiter_id", place.alias("place"))
-    return waiters.join(served.join(queue.drop("_at"), [*keys, "place"]).drop("place"), [*keys, "waiter_id"], "left")
+    queue, line = known(grants), known(waiters)
+    moments = lambda df: df.groupBy(*keys, F.col("_at").alias("at")).agg(F.count("*").alias("own")).checkpoint()
+    arrive, asked = moments(queue), moments(line)
+    upto = lambda events, moments, name: counts_upto(events, moments.select(*keys, "at"), keys, bucket).withColumnRenamed("upto", name)
+    there = upto(arrive, asked, "there")
+    over = upto(arrive.withColumn("at", F.col("at") + life), asked, "over")
+    nth = upto(asked.withColumn("own", F.lit(1).cast("long")), asked, "n")
+    steps = asked.join(there, [*keys, "at"]).join(over, [*keys, "at"]).join(nth, [*keys, "at"])
+    steps = steps.select(*keys, F.col("at").alias("_at"), "own", "there", "over", (F.col("n") - 1).alias("n")).checkpoint()
+    low = F.least(F.col("over") + F.col("own"), "there")  # each after the first is one step further
+    step = F.struct(F.col("own").alias("by"), low.alias("low"), F.col("there").alias("high"))
+    most = steps.agg(F.max("n")).first()[0] or 0
+    gone = steps.join(_gone_before(steps.select(*keys, "n", step.alias("step")), keys, most), [*keys, "n"]).select(*keys, "_at", "there", "over", "gone")
+
+    # of the waiters of a moment, the k-th takes the grant k places after those gone or over before the moment
+    place = F.greatest("gone", "over") + F.col("_inside")
+    served = line.withColumn("_inside", inside("waiter_id")).join(gone, [*keys, "_at"]).where(place <= F.col("there")).select(*keys, "waiter_id", place.alias("place"))
+    before = upto(arrive, arrive, "upto").join(arrive, [*keys, "at"]).select(*keys, F.col("at").alias("_at"), (F.col("upto") - F.col("own")).alias("_before"))
+    queue = queue.withColumn("_inside", inside("grant_id")).join(before, [*keys, "_at"]).select(*keys, "grant_id", (F.col("_before") + F.col("_inside")).alias("place"))
+    return waiters.join(served.join(queue, [*keys, "place"]).drop("place"), [*keys, "waiter_id"], "left")

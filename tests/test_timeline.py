@@ -91,6 +91,19 @@ def test_queues(spark, rng, run, span, monkeypatch):
     assert all(r.grant_id is None for r in timeline.match_queues(w, g.limit(0), ["servant"], at="ts", lifetime="1 minute").collect())
 
 
+def test_waiters_of_one_moment_are_one_step(spark, monkeypatch):
+    waiters = [(i, 1, at(10 * (i % 3))) for i in range(600)]
+    grants = [(1000 + i, 1, at(i % 25)) for i in range(400)]
+    w = spark.createDataFrame(waiters, "waiter_id long, servant long, ts timestamp")
+    g = spark.createDataFrame(grants, "grant_id long, servant long, ts timestamp")
+    made, fold = [], timeline._gone_before
+    monkeypatch.setattr(timeline, "_gone_before", lambda steps, *rest: made.append(steps.count()) or fold(steps, *rest))
+    for minutes in (4, 15, 100):
+        got = {r.waiter_id: r.grant_id for r in timeline.match_queues(w, g, ["servant"], at="ts", lifetime=f"{minutes} minutes", bucket=3600).collect()}
+        assert got == replay(waiters, grants, dt.timedelta(minutes=minutes))
+    assert made == [3, 3, 3]
+
+
 def running_rows(rng):
     """Nulls, ties and a hot key."""
     return [(i, rng.choice([1, 1, 1, 1, 2, 3, None]), at(moment(rng)), rng.choice([None, *range(-3, 9)])) for i in range(250)]
