@@ -30,7 +30,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,7 +46,7 @@ STARS = 2
 #: Ids up to which they are sent to all executors, instead of shuffling the texts.
 BROADCAST_IDS = 500_000
 #: Tokens of the sets that a Python worker holds at once.
-HELD_TOKENS = 1_000_000
+HELD_TOKENS = 250_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xD6E8FEB86659FD93))
 
 
@@ -102,20 +102,34 @@ def _marks(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(int(x) for x in np.array([mark >> 64, mark & ((1 << 64) - 1)], np.uint64).astype(np.int64))
 
 
-def _in_parts(batches, size, columns: list[str], make) -> Iterator[pd.DataFrame]:
-    """Rows that ``make`` gives for each text, as frames of a bounded number of tokens."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays)))
+
+
+def _column(values: list) -> pa.Array:
+    """Integers, arrays of them, or lists of such arrays."""
+    if isinstance(values[0], list):
+        ends = np.cumsum([0, *map(len, values)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), _lists([x for v in values for x in v]))
+    return _lists(values) if isinstance(values[0], np.ndarray) else pa.array(values, pa.int64())
+
+
+def _in_parts(batches, size, columns: list[str], make) -> Iterator[pa.RecordBatch]:
+    """Rows that ``make`` gives for each text, as batches of a bounded number of tokens.  Texts are taken from Arrow one at a
+    time, so a worker holds no second copy of what it is sent."""
     rows, held = [], 0
-    for pdf in batches:
-        for row in zip(*[pdf[c] for c in pdf.columns]):
-            got, n = make(*row)
+    for batch in batches:
+        for row in zip(*batch.columns):
+            got, n = make(*[x.as_py() for x in row])
             if got is not None:
                 rows.append(got)
                 held += n + size
             if held >= HELD_TOKENS:
-                yield pd.DataFrame(rows, columns=columns)
+                yield pa.RecordBatch.from_arrays([_column(c) for c in zip(*rows)], columns)
                 rows, held = [], 0
     if rows:
-        yield pd.DataFrame(rows, columns=columns)
+        yield pa.RecordBatch.from_arrays([_column(c) for c in zip(*rows)], columns)
 
 
 def _heads(k: int, num: int, den: int):
@@ -143,14 +157,19 @@ def _whole(k: int, num: int, den: int):
     return lambda batches: _in_parts(batches, 20, ["id", "n", "tokens", "prefixes"], one)
 
 
+def _rows(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """Each list as a view of the column's values."""
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy()
+    return (values[i:j] for i, j in zip(ends, ends[1:]))
+
+
 def _verify(num: int, den: int):
     def run(batches):
-        for pdf in batches:
-            keep = np.zeros(len(pdf), bool)
-            for i, (ta, tb, na, nb) in enumerate(zip(pdf["ta"], pdf["tb"], pdf["na"], pdf["nb"])):
-                both = len(np.intersect1d(ta, tb, assume_unique=True))
-                keep[i] = den * both >= num * (na + nb - both)
-            yield pdf.loc[keep, ["a", "b"]]
+        for batch in batches:
+            a, b, na, nb, ta, tb = batch.columns
+            sizes = na.to_numpy() + nb.to_numpy()
+            both = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in zip(_rows(ta), _rows(tb))], np.int64)
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(den * both >= num * (sizes - both)))
 
     return run
 
@@ -176,7 +195,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     need = f"(({num}L * n + {den - 1}L) div {den}L)"
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null")
 
-    sets = scratch.save(rows.mapInPandas(_heads(k, num, den), "id long, n long, s1 long, s2 long, head array<long>"))
+    sets = scratch.save(rows.mapInArrow(_heads(k, num, den), "id long, n long, s1 long, s2 long, head array<long>"))
     texts = sets.count()  # bounds all tables of one row a text
     twice = scratch.save(sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), texts)
     repeats = twice.count() > 0
@@ -194,7 +213,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     asked = scratch.save(asked.join(members.select("id", "s1", "s2"), "id"), texts)
     scratch.drop(sets, often)
     nodes = rows.join(small(asked), "id").select("id", "text", "s1", "s2")
-    nodes = nodes.mapInPandas(_whole(k, num, den), "id long, n long, tokens array<long>, prefixes array<array<long>>")
+    nodes = nodes.mapInArrow(_whole(k, num, den), "id long, n long, tokens array<long>, prefixes array<array<long>>")
     nodes = scratch.save(nodes.dropDuplicates(["id"]) if repeats else nodes)
 
     every = nodes.select("id", "n", F.explode("tokens").alias("token"))
@@ -215,7 +234,7 @@ def similar_groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         both = pairs.join(side("b"), "b").join(side("a"), "a")
         for j in range(ORDERS - 1):
             both = both.where(F.arrays_overlap(F.col("pa")[j], F.col("pb")[j]))
-        return both.select("a", "b", "na", "nb", "ta", "tb").mapInPandas(_verify(num, den), "a long, b long")
+        return both.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(_verify(num, den), "a long, b long")
 
     entries = index.select("id", "n", F.posexplode("prefix").alias("at", "token"), "lone").select("id", "n", "token", "lone", (F.col("lone") + F.col("at")).alias("p"))
     placed, links, tried = entries.withColumn("component", F.col("id")), None, None

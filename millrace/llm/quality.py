@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,9 +110,10 @@ def score(docs: DataFrame, model: QualityModel, *, key: str = "doc_id", text: st
     def run(batches):
         coders = model.coders()
         w = model.weights
-        for pdf in batches:
-            x = np.array([_features(t, coders) for t in pdf[text]]).reshape(-1, 3) * 10
+        for batch in batches:
+            x = np.array([_features(t.as_py(), coders) for t in batch.column(1)]).reshape(-1, 3) * 10
             z = np.clip(w[0] + x @ w[1:], -30, 30)
-            yield (pdf if carry is not None else pdf[[key]]).assign(score=1 / (1 + np.exp(-z)))
+            kept = batch.columns if carry is not None else batch.columns[:1]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(1 / (1 + np.exp(-z)))], schema.names)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInArrow(run, schema)

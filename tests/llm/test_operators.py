@@ -4,8 +4,10 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,6 +154,22 @@ def test_ngram_join_heads_share_enough():
                     assert both - lost >= max(ngram_join._least(n, num, den), ngram_join._least(m, num, den))
 
 
+def test_ngram_join_holds_few_texts_at_once():
+    """A worker copies neither the texts it is sent nor the token lists of pairs, and hands its tokens on in small parts."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(1000)) for i in range(2000)]
+    sent = pa.RecordBatch.from_pydict({"id": list(range(2000)), "text": texts})
+    del texts
+    tracemalloc.start()
+    parts = [len(got) for got in ngram_join._heads(4, 85, 100)([sent])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(parts) == 2000 and max(parts) < 1000 and peak < sent.nbytes / 2
+    sets = [[1, 2, 3, 4], [5, 6], [7], []]
+    pairs = pa.RecordBatch.from_pydict({"a": [1, 2, 3, 4], "b": [5, 6, 7, 8], "na": [4, 2, 1, 0], "nb": [4, 2, 1, 0], "ta": sets, "tb": [[1, 2, 3, 4], [5, 7], [7], []]},
+                                       pa.schema([(c, pa.int64()) for c in ("a", "b", "na", "nb")] + [(c, pa.list_(pa.int64())) for c in ("ta", "tb")]))
+    assert [list(ngram_join._verify(85, 100)([pairs.slice(i, 2)]))[0]["a"].to_pylist() for i in (0, 1)] == [[1], [3]]
+
+
 def test_substring_dedup(spark, corpus):
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup(table(spark, corpus), window=50).collect()}
     first = {}
@@ -529,6 +547,9 @@ def test_quality_scores_are_plain_sums(spark):
         assert abs(got[i].score - 1 / (1 + np.exp(-min(30, max(-30, z))))) < 1e-9 and got[i].w == "w"
     assert got[4].score == got[5].score and got[3].score > got[4].score
     assert quality.score(docs.limit(0), model).count() == 0
+    # carried numbers stay what they are beside nulls
+    wide = spark.createDataFrame([(0, "x", 2**60 + 1), (1, "x", None)], "doc_id long, text string, n long").coalesce(1)
+    assert {r.doc_id: r.n for r in quality.score(wide, model, carry=["n"]).collect()} == {0: 2**60 + 1, 1: None}
     assert quality._spread([b"%d" % i for i in range(30)], 4) == [b"0", b"9", b"19", b"29"]
 
 
